@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: tuple = ()
+from cuelake.llm import queries as _queries
+
+MODULES = (_queries,)
 
 
 def queries() -> dict[str, Callable]:
