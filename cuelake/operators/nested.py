@@ -108,8 +108,8 @@ def readable_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     good = F.forall("_p.segments", lambda s: s.isNotNull() & timed(s) & F.forall(F.coalesce(s["words"], F.array()), lambda w: w.isNotNull() & timed(w)))
     return (
         df.withColumn("_parsed", parsed)
-        .where("_parsed._broken IS NULL AND size(_parsed.root) = 1 AND _parsed.root[0] IS NOT NULL AND _parsed.root[0].segments IS NOT NULL")
-        .withColumn("_p", F.col("_parsed.root")[0])
+        .where("_parsed._broken IS NULL AND size(_parsed.root) = 1 AND get(_parsed.root, 0).segments IS NOT NULL")
+        .withColumn("_p", F.get("_parsed.root", F.lit(0)))
         .where(good)
         .drop("_parsed", "_p")
     )

@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(cores: str = "8", shuffle: int = 8, name: str = "cuelake", memory: str = "8g") -> SparkSession:
@@ -82,3 +84,21 @@ def shipped(query: Callable) -> Callable:
         return query(spark, folder)
 
     return run
+
+
+_SIMPLE = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampNTZType()}
+
+
+def _kind(name: str) -> T.DataType:
+    return T.ArrayType(_kind(name[6:-1])) if name.startswith("array<") else _SIMPLE[name]
+
+
+def struct(fields: str) -> T.StructType:
+    """A flat schema from ``name type, ...``; unlike ``fromDDL`` it needs no running session."""
+    return T.StructType([T.StructField(n, _kind(k)) for n, k in (x.split() for x in fields.split(","))])
+
+
+def arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """A record batch of row tuples."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
