@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import distinctive, sentences, turns
-from cuelake.session import read_table
+from cuelake.llm import distinctive, language, pii, sentences, turns
+from cuelake.session import materialise, read_table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +35,54 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive.distinctive_terms(read_table(spark, folder, "segments")).withColumn("z", F.round("z", 6))
 
 
+def _segment_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments with a text, repeated rows once."""
+    return read_table(spark, folder, "segments").select("media_id", "seg_ix", "text").where("text IS NOT NULL").dropDuplicates(["media_id", "seg_ix"])
+
+
+def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Parts of all segments (and of the texts of recordings that have no segment rows), and the recordings' languages."""
+    transcripts = read_table(spark, folder, "transcripts").select("media_id", "language", "text")
+    model = language.fit_on(transcripts)
+    texts = _segment_texts(spark, folder)
+    whole = transcripts.where("text IS NOT NULL").join(texts.select("media_id").distinct(), "media_id", "left_anti")
+    rows = texts.unionByName(whole.select("media_id", F.lit(-1).alias("seg_ix"), "text"))
+    parts = materialise(language.language_parts(rows, model))
+    return parts, language.recording_languages(parts, transcripts)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings whose label names no or another language, and every language of each mixed segment."""
+    parts, recordings = _languages(spark, folder)
+    wrong = recordings.where("label IS NULL OR label <> lang").select("media_id", F.lit(-1).alias("seg_ix"), "lang")
+    return wrong.unionByName(parts.where("mixed AND seg_ix >= 0").select("media_id", "seg_ix", "lang"))
+
+
+def p3_recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every recording."""
+    return _languages(spark, folder)[1]
+
+
+def p3_mixed_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages and confidences of the mixed segments."""
+    return _languages(spark, folder)[0].where("mixed AND seg_ix >= 0").select("media_id", "seg_ix", "lang", "confidence")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Type and occurrence of every personal detail of the segments."""
+    return pii.find_details(_segment_texts(spark, folder), ["media_id", "seg_ix"]).select("media_id", "seg_ix", "pii_type", "occurrence")
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments with placeholders."""
+    return pii.redact(read_table(spark, folder, "segments").select("media_id", "seg_ix", "text").dropDuplicates(["media_id", "seg_ix"]), ["media_id", "seg_ix"])
+
+
+def p4_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcripts with placeholders."""
+    return pii.redact(read_table(spark, folder, "transcripts").select("media_id", "text"), ["media_id"])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """First and last segment of every speaker turn."""
     return turns.speaker_turns(read_table(spark, folder, "segments")).select("media_id", "first_seg_ix", "last_seg_ix")
@@ -49,6 +97,12 @@ QUERIES = {
     "p1_segment_sentences": p1_segment_sentences,
     "p2_found": p2_found,
     "p2_scores": p2_scores,
+    "p3_found": p3_found,
+    "p3_recordings": p3_recordings,
+    "p3_mixed_segments": p3_mixed_segments,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
+    "p4_transcripts": p4_transcripts,
     "p6_found": p6_found,
     "p6_turns": p6_turns,
 }
