@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import distinctive, language, pii, sentences, turns
+from cuelake.llm import abuse, distinctive, language, mixing, pii, sentences, tokens, turns
 from cuelake.session import materialise, read_table
 
 
@@ -92,6 +92,47 @@ def p6_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.speaker_turns(read_table(spark, folder, "segments"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_column(read_table(spark, folder, "documents"), "doc_id")
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of tokens of every document, and whether decoding gives the text again."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    again = tokens.decode_column(tokens.encode_column(documents, "doc_id"), "doc_id").withColumnRenamed("text", "decoded")
+    return documents.join(again, "doc_id").select("doc_id", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mix with the number of times each occurs."""
+    return mixing.mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares of the sources."""
+    return mixing.mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
+
+
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories that documents hold."""
+    return abuse.held_categories(_abuse(spark, folder))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score, categories and evidence of every document."""
+    return _abuse(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of every source."""
+    return abuse.rates_by_source(_abuse(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_segment_sentences": p1_segment_sentences,
@@ -105,6 +146,13 @@ QUERIES = {
     "p4_transcripts": p4_transcripts,
     "p6_found": p6_found,
     "p6_turns": p6_turns,
+    "p8_ids": p8_ids,
+    "p8_roundtrip": p8_roundtrip,
+    "p9_mix": p9_mix,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _P2 = """
