@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cuelake.plans import general
+from cuelake.plans import general, reference
 
-MODULES = (general,)
-FLAGSHIP = "p7_found"
+MODULES = (general, reference)
+FLAGSHIP = "topic_chapters"
 
 
 def queries() -> dict[str, Callable]:
