@@ -36,7 +36,7 @@ from cuelake.llm.abuse_examples import EXAMPLES
 from cuelake.llm.noise import head_label
 from cuelake.llm.sentences import sentence_spans
 from cuelake.llm.turns import isotonic
-from cuelake.session import arrow_batch, materialise, struct
+from cuelake.session import arrow_batch, materialise, spread, struct
 
 CATEGORIES = ("abuse", "hate", "sexual")
 K = 7
@@ -290,7 +290,7 @@ def _frequencies(documents: DataFrame, wanted: frozenset) -> tuple[dict[str, int
                 counts.update(held)
         yield arrow_batch(list(counts.items()), schema)
 
-    rows = documents.select("text").where("text IS NOT NULL").mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = spread(documents.select("text").where("text IS NOT NULL")).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r["term"]: r["n"] for r in rows}
     return counts, counts.pop("", 0)
 
@@ -366,10 +366,11 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
             rows = []
             for doc, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw, said, example = s.document(text)
-                rows.append((doc, source, s.calibrated(max(raw.values(), default=0.0)), *(round(raw.get(c, 0.0), 6) for c in CATEGORIES), said, example))
+                blank = text is None or not text.strip()
+                rows.append((doc, source, 0.0 if blank else s.calibrated(max(raw.values(), default=0.0)), *(round(raw.get(c, 0.0), 6) for c in CATEGORIES), said, example))
             yield arrow_batch(rows, schema)
 
-    return documents.select("doc_id", "source", "text").mapInArrow(run, _SCORES)
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, _SCORES)
 
 
 def held_categories(scores: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cuelake.session import spread
+
 #: Folder of the vocabulary files.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -265,7 +267,7 @@ def encode_column(df: DataFrame, key: str, text: str = "text", folder: str = FOL
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(keys, at - keys), made.cast(schema.field(1).type)], schema=schema)
 
-    return df.select(key, text).mapInArrow(run, out)
+    return spread(df.select(key, text)).mapInArrow(run, out)
 
 
 def decode_column(df: DataFrame, key: str, ids: str = "ids", folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
@@ -293,4 +295,4 @@ def count_column(df: DataFrame, text: str = "text", name_out: str = "n_tokens",
             sizes = [len(encode(x.as_py(), v)) for x in b.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(sizes, pa.int64())], schema=schema)
 
-    return df.select(*kept, text).mapInArrow(run, out)
+    return spread(df.select(*kept, text)).mapInArrow(run, out)
