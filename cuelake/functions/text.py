@@ -50,6 +50,12 @@ def fold(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(c), marks, ""), source, target)
 
 
+def fold_token(c: Column) -> Column:
+    """``fold`` of a token, which has no marks of its own; plain ASCII, the common case, is only put in lower case."""
+    source, target, _ = fold_maps()
+    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(F.translate(F.lower(c), source, target))
+
+
 def fold_python(text: str) -> str:
     """Exact folding of one text: lower case, NFKD, no combining marks."""
     return "".join(ch for ch in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(ch))

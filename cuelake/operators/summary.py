@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import fold, is_action_item
 from cuelake.operators.terms import GRAPH_LIMIT, centroid, inverse_frequency, sentence_terms, sentences, similarity_edges, text_rank, vectors
-from cuelake.session import partitions_for
+from cuelake.session import materialise, partitions_for
 
 # Fixed values of the method.
 SIMILAR, LONG_WORDS, SHORT_WORDS, MOST_POINTS, MOST_ACTIONS = 0.6, 45, 6, 6, 8
@@ -19,7 +19,7 @@ SIMILAR, LONG_WORDS, SHORT_WORDS, MOST_POINTS, MOST_ACTIONS = 0.6, 45, 6, 6, 8
 def ranked_sentences(sents: DataFrame, stopwords: list[str] | None = None, limit: int = GRAPH_LIMIT) -> DataFrame:
     """``media_id, sent_ix, sentence, n, score, terms``: centrality times a factor for length."""
     terms = sentence_terms(sents, stopwords)
-    vecs = vectors(terms, inverse_frequency(terms, sents))
+    vecs = materialise(vectors(terms, inverse_frequency(terms, sents)))
     n = sents.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
     graph = text_rank(similarity_edges(vecs, sents, limit), sents, limit)
     large = centroid(vecs.join(n.where(F.col("n") > limit), "media_id", "left_semi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import fold, split_sentences, stopword_table, tokens
+from cuelake.functions.text import fold_token, split_sentences, stopword_table, tokens
 
 #: Fixed value: most sentences for the pairwise graph; beyond it the centroid ranks.
 GRAPH_LIMIT = 700
@@ -21,8 +21,10 @@ def content_terms(rows: DataFrame, text: str, stopwords: list[str] | None = None
     """One row for each content word of a text column: ``pos, surface, term`` beside the other columns of ``rows``.
 
     Words of at most two letters, numbers and stopwords (a broadcast anti-join) drop out."""
-    each = rows.select(*[c for c in rows.columns if c != text], F.posexplode(tokens(F.col(text))).alias("pos", "surface"))
-    each = each.withColumn("term", fold(F.col("surface"))).where(r"length(term) > 2 AND NOT term RLIKE '^\\p{Nd}+$'")
+    # Folded within the array, so that the filters and the join below don't fold again.
+    words = F.transform(tokens(F.col(text)), lambda t, i: F.struct(i.alias("pos"), t.alias("surface"), fold_token(t).alias("term")))
+    words = F.filter(words, lambda w: (F.length(w["term"]) > 2) & ~w["term"].rlike(r"^\p{Nd}+$"))
+    each = rows.select(*[c for c in rows.columns if c != text], F.explode(words).alias("_w")).select(*[c for c in rows.columns if c != text], "_w.pos", "_w.surface", "_w.term")
     return each.join(F.broadcast(stopword_table(rows.sparkSession, stopwords)), "term", "left_anti")
 
 
@@ -95,11 +97,3 @@ def text_rank(edges: DataFrame, sents: DataFrame, limit: int = GRAPH_LIMIT, damp
 
     return rows.groupBy("media_id").applyInPandas(rank, "media_id long, sent_ix int, score double")
 
-
-def distinctive_blocks(segment_terms: DataFrame, window_s: float = 40.0) -> DataFrame:
-    """``media_id, term, idf``: ln(blocks / blocks with the term) over blocks of ``window_s`` seconds from the first start."""
-    first = F.min("start_s").over(Window.partitionBy("media_id"))
-    rows = segment_terms.withColumn("block", F.floor((F.col("start_s") - first) / window_s))
-    n = rows.groupBy("media_id").agg(F.countDistinct("block").alias("n"))
-    df = rows.groupBy("media_id", "term").agg(F.countDistinct("block").alias("df"))
-    return df.join(n, "media_id").select("media_id", "term", F.log(F.col("n") / F.col("df")).alias("idf"))

@@ -184,7 +184,7 @@ def parse_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     r AS (SELECT media_id, w, unnest(range(len(w))) AS i FROM q) SELECT media_id, CAST(i AS INTEGER) AS pos, w[i + 1] AS surface, {_fold("w[i + 1]")} AS folded FROM r""")
 def fold_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = _texts(spark, folder).where("text IS NOT NULL").select("media_id", F.posexplode(ft.tokens(F.col("text"))).alias("pos", "surface"))
-    return rows.withColumn("folded", ft.fold(F.col("surface")))
+    return rows.withColumn("folded", ft.fold_token(F.col("surface")))
 
 
 _SENT = f"n AS (SELECT media_id, {_sentences('text')} AS l FROM transcripts), m AS (SELECT media_id, l, unnest(range(len(l))) AS i FROM n), sents AS (SELECT media_id, CAST(i AS INTEGER) AS sent_ix, l[i + 1] AS sentence FROM m)"

@@ -102,3 +102,10 @@ def arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of row tuples."""
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer partitions than there are cores (a small single file); large
+    inputs, which come in many splits, pass as they are without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -85,7 +85,7 @@ def timed_cues_stream(drafts: DataFrame, least: float = 0.7, cps: float = 17.0,
 
 def silence_turns_stream(segments: DataFrame, gap_seconds: float = 1.2, lateness: str = "1 minute") -> DataFrame:
     """A stream of ``media_id, start_ts, end_ts`` (wall clock) as turns: segments whose silence is at most the gap."""
-    gap = F.expr(f"make_dt_interval(0, 0, 0, greatest(unix_micros(end_ts) - unix_micros(start_ts), 0) / 1000000.0 + {gap_seconds})")
+    gap = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, cast(greatest(unix_micros(end_ts) - unix_micros(start_ts), 0) / 1000000.0 + {gap_seconds} as decimal(18, 6)))")
     turns = segments.withWatermark("start_ts", lateness).groupBy("media_id", F.session_window("start_ts", gap).alias("w"))
     return turns.agg(F.min("start_ts").alias("turn_start"), F.max("end_ts").alias("turn_end"), F.count(F.lit(1)).alias("n_segments")).drop("w")
 
