@@ -69,7 +69,7 @@ def action_items(sents: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
 
 def summaries(texts: DataFrame, stopwords: list[str] | None = None, limit: int = GRAPH_LIMIT) -> DataFrame:
     """``media_id, tldr, summary, key_points, action_items, method`` for every text with a sentence."""
-    sents = sentences(texts)
+    sents = materialise(sentences(texts))  # read four times below
     ranked = ranked_sentences(sents, stopwords, limit)
     best = F.max("score").over(Window.partitionBy("media_id"))
     order = ranked.withColumn("_best", best).where("score > 0 OR _best <= 0").withColumn("_rank", -F.col("score")).drop("_best", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import fold_token, split_sentences, stopword_table, tokens
+from cuelake.session import spread
 
 #: Fixed value: most sentences for the pairwise graph; beyond it the centroid ranks.
 GRAPH_LIMIT = 700
@@ -13,7 +14,7 @@ GRAPH_LIMIT = 700
 
 def sentences(texts: DataFrame) -> DataFrame:
     """``media_id, sent_ix, sentence, n_words`` of a ``media_id, text`` table."""
-    rows = texts.select("media_id", F.posexplode(split_sentences(F.coalesce("text", F.lit("")))).alias("sent_ix", "sentence"))
+    rows = spread(texts.select("media_id", "text")).select("media_id", F.posexplode(split_sentences(F.coalesce("text", F.lit("")))).alias("sent_ix", "sentence"))
     return rows.withColumn("n_words", F.size(F.split("sentence", " ")))
 
 
@@ -79,16 +80,13 @@ def text_rank(edges: DataFrame, sents: DataFrame, limit: int = GRAPH_LIMIT, damp
 
     def rank(g: pd.DataFrame) -> pd.DataFrame:
         size = int(g["n"].iloc[0])
-        m = np.zeros((size, size))
         e = g.dropna(subset=["a"]).sort_values(["a", "b"])
-        a, b, w = e["a"].to_numpy(int), e["b"].to_numpy(int), e["w"].to_numpy(float)
-        m[a, b] = w
-        m[b, a] = w
-        out = m.sum(axis=1)
-        move = np.divide(m, out[:, None], out=np.zeros_like(m), where=out[:, None] > 0).T
+        one, two, w = e["a"].to_numpy(int), e["b"].to_numpy(int), e["w"].to_numpy(float)
+        source, target, weight = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([w, w])
+        share = weight / np.bincount(source, weight, size)[source]
         score = np.full(size, 1.0 / size)
         for _ in range(iterations):
-            new = (1 - damping) / size + damping * (move @ score)
+            new = (1 - damping) / size + damping * np.bincount(target, score[source] * share, size)
             done = np.abs(new - score).sum() < tolerance
             score = new
             if done:

@@ -9,7 +9,7 @@ from cuelake.functions import text as ft
 from cuelake.functions import times as fm
 from cuelake.operators import batch, captions, chapters, completion, segments, summary, terms
 from cuelake.operators.nested import readable_payloads
-from cuelake.session import read_table
+from cuelake.session import materialise, read_table
 from cuelake.sources.files import decode_transcripts, payload_errors, transcript_json
 
 QUERIES: dict = {}
@@ -277,9 +277,9 @@ def _sents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    s = _sents(spark, folder)
+    s = materialise(_sents(spark, folder))
     t = terms.sentence_terms(s)
-    return terms.vectors(t, terms.inverse_frequency(t, s)), s
+    return materialise(terms.vectors(t, terms.inverse_frequency(t, s))), s
 
 
 @query(f"WITH {_TF} SELECT media_id, sent_ix, term, tf FROM tf")

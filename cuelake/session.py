@@ -22,6 +22,8 @@ def local_session(cores: str = "8", shuffle: int = 8, name: str = "cuelake", mem
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small partitions may carry much work in Python; don't merge them below the number of cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
