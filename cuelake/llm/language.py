@@ -31,7 +31,7 @@ from cuelake.session import arrow_batch, struct
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "ru", "ja", "zh", "ar", "hi", "el", "th", "ko")
 LATIN = LANGUAGES[:5]
-SAMPLE, LONGEST, VOCABULARY = 3000, 20_000, 30_000
+SAMPLE, LONGEST, VOCABULARY = 1500, 20_000, 30_000
 NGRAM = 5
 #: Cost in nats of a change of language, and the most a single word may say for one language against another.
 CHANGE, CAP = 5.0, 4.0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import abuse, distinctive, language, mixing, pii, sentences, tokens, turns
-from cuelake.session import materialise, read_table
+from cuelake.session import materialise, partitions_for, read_table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +37,9 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def _segment_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Segments with a text, repeated rows once."""
-    return read_table(spark, folder, "segments").select("media_id", "seg_ix", "text").where("text IS NOT NULL").dropDuplicates(["media_id", "seg_ix"])
+    rows = read_table(spark, folder, "segments").select("media_id", "seg_ix", "text").where("text IS NOT NULL")
+    # One exchange in explicit partitions, which adaptive execution doesn't merge before the work in Python.
+    return rows.repartition(partitions_for(rows), "media_id", "seg_ix").dropDuplicates(["media_id", "seg_ix"])
 
 
 def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

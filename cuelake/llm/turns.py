@@ -127,7 +127,8 @@ def utterances(segments: DataFrame) -> DataFrame:
     block = F.floor(F.col("seg_ix") / BLOCK).cast("int")
     also = F.when(F.col("seg_ix") % BLOCK >= BLOCK - MARGIN, F.array(block, block + 1)).otherwise(F.array(block))
     rows = rows.withColumn("_home", block).withColumn("_block", F.explode(also)).withColumn("_own", F.col("_home") == F.col("_block")).drop("_home")
-    fixed = rows.groupBy("media_id", "_block").applyInPandas(_repair, _REPAIRED)
+    # Explicit partitions: adaptive coalescing goes by bytes and would leave the grouped calls to a few tasks.
+    fixed = rows.repartition(partitions_for(rows), "media_id", "_block").groupBy("media_id", "_block").applyInPandas(_repair, _REPAIRED)
     fixed = materialise(fixed)
     # File numbers go on from block to block; only recordings with a reset have anything to add.
     resets = fixed.groupBy("media_id", "_block").agg(F.max("_resets").alias("n"))
