@@ -146,3 +146,18 @@ def timed_buckets(segments: DataFrame, step: float = 30.0) -> DataFrame:
         "x -> CASE WHEN x.a IS NULL THEN x.o ELSE concat(x.o, array(named_struct('s', x.a, 't', array_join(x.t, ' ')))) END)"
     )
     return lists.select("media_id", F.posexplode(folded).alias("bucket_ix", "_b")).select("media_id", "bucket_ix", F.col("_b.s").alias("bucket_start"), F.col("_b.t").alias("bucket_text"))
+
+
+APPROXIMATE = "Speaker labels are approximate: they follow pauses, not voices."
+
+
+def transcript_text(segments: DataFrame, heuristic: DataFrame | None = None) -> DataFrame:
+    """``media_id, body``: dialogue where any segment has a speaker, else paragraphs. ``heuristic`` lists the recordings
+    (``media_id``) whose speakers come from pauses; a note goes before their dialogue."""
+    named = spoken_segments(segments).where("speaker IS NOT NULL AND speaker <> ''").select("media_id").distinct()
+    talk = dialogue(segments).join(named, "media_id", "left_semi").withColumnRenamed("dialogue", "body")
+    if heuristic is not None:
+        noted = heuristic.select("media_id").distinct().withColumn("_n", F.lit(1))
+        talk = talk.join(noted, "media_id", "left").select("media_id", F.when(F.col("_n") == 1, F.concat(F.lit(APPROXIMATE + "\n\n"), "body")).otherwise(F.col("body")).alias("body"))
+    plain = paragraphs(segments).join(named, "media_id", "left_anti").groupBy("media_id").agg(F.expr("listagg(paragraph, '\n\n') WITHIN GROUP (ORDER BY paragraph_ix)").alias("body"))
+    return talk.unionByName(plain).withColumn("body", F.concat(strip(F.col("body")), F.lit("\n")))

@@ -102,6 +102,17 @@ def dialogue_merge(spark: SparkSession, folder: str) -> DataFrame:
     return segments.dialogue(_segments(spark, folder))
 
 
+@query(f"""WITH {_P}, sp AS (SELECT DISTINCT media_id FROM p WHERE speaker IS NOT NULL AND speaker <> ''), q AS (SELECT media_id, seg_ix, text, coalesce(nullif(speaker, ''), 'Speaker 1') AS speaker FROM p WHERE media_id IN (SELECT media_id FROM sp)),
+    g AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY media_id ORDER BY seg_ix) THEN 0 ELSE 1 END AS b FROM q), h AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY seg_ix) AS block FROM g),
+    i AS (SELECT media_id, block, min(speaker) || ': ' || string_agg(text, ' ' ORDER BY seg_ix) AS line FROM h GROUP BY media_id, block), j AS (SELECT media_id, string_agg(line, chr(10) || chr(10) ORDER BY block) AS body FROM i GROUP BY media_id),
+    k AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY media_id ORDER BY seg_ix) <= 2.0 THEN 0 ELSE 1 END AS b FROM p WHERE media_id NOT IN (SELECT media_id FROM sp)), l AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY seg_ix) AS n FROM k),
+    m AS (SELECT media_id, n, string_agg(text, ' ' ORDER BY seg_ix) AS t FROM l GROUP BY media_id, n), o AS (SELECT media_id, string_agg(t, chr(10) || chr(10) ORDER BY n) AS body FROM m GROUP BY media_id)
+    SELECT media_id, CASE WHEN media_id IN (SELECT media_id FROM transcripts WHERE diarization = 'pause-heuristic') THEN '{segments.APPROXIMATE}' || chr(10) || chr(10) ELSE '' END || body || chr(10) AS body FROM j UNION ALL SELECT media_id, body || chr(10) FROM o""")
+def transcript_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The transcript of every recording as text."""
+    return segments.transcript_text(_segments(spark, folder), read_table(spark, folder, "transcripts").where("diarization = 'pause-heuristic'"))
+
+
 @query(f"""WITH {_P}, g AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY media_id ORDER BY seg_ix) <= 2.0 THEN 0 ELSE 1 END AS b FROM p),
     h AS (SELECT *, CAST(sum(b) OVER (PARTITION BY media_id ORDER BY seg_ix) - 1 AS BIGINT) AS paragraph_ix FROM g)
     SELECT media_id, paragraph_ix, string_agg(text, ' ' ORDER BY seg_ix) AS paragraph FROM h GROUP BY media_id, paragraph_ix""")
@@ -410,6 +421,31 @@ def normalized_chapters(spark: SparkSession, folder: str) -> DataFrame:
     return lists.mapInPandas(run, "doc_id long, chapter_no int, start_s double, title string")
 
 
+@query(f"""WITH {_SURF}, k AS (SELECT media_id, term, count(*) AS n, min(i0 * 1000000 + pos) AS f FROM terms GROUP BY media_id, term), r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, f) AS r FROM k)
+    SELECT media_id, string_agg(upper(substr(term, 1, 1)) || substr(term, 2), ' ' ORDER BY r) AS title FROM r WHERE r <= 4 GROUP BY media_id""")
+def frequency_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return chapters.frequency_titles(_ordered(spark, folder)[1])
+
+
+@query()
+def chapter_of_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The chapter of every spoken segment."""
+    return chapters.chapter_of_segments(_segments(spark, folder), topic_chapters(spark, folder))
+
+
+@query()
+def model_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters by a stand-in model that names the first line and fails for long prompts (those fall back)."""
+
+    def complete(messages: list[dict]) -> str:
+        lines = messages[1]["content"].split("\n")
+        if len(lines) > 8:
+            raise RuntimeError("too long")
+        return "\n".join(f"{line[1:].split(']')[0]} {' '.join(line.split()[1:4])}" for line in lines)
+
+    return completion.model_chapters(_segments(spark, folder), complete, read_table(spark, folder, "transcripts"))
+
+
 # ---- captions --------------------------------------------------------------------------------------------------------------
 
 _LINT = f"""{_C}, q AS (SELECT media_id, cue_index, start_s, end_s, coalesce(lines, []) AS l, lag(start_s) OVER w AS ps, lag(end_s) OVER w AS pe FROM c WINDOW w AS (PARTITION BY media_id ORDER BY cue_index, start_s, end_s)),
