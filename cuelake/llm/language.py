@@ -240,12 +240,12 @@ def _cjk_path(scores: list[float]) -> list[int]:
 
 
 def evidence(model: Model, text: str) -> dict[str, tuple[int, float, float]]:
-    """Words, weighted letters and log odds for every language with a part in the text."""
+    """Different words, weighted letters and log odds for every language with a part in the text."""
     words: Counter = Counter()
     letters: Counter = Counter()
     odds: Counter = Counter()
     latin: list[tuple[float, ...]] = []
-    sizes: list[int] = []
+    runs: list[str] = []
     cjk: list[float] = []
     previous = ""
     for m in _RUN.finditer(text):
@@ -257,7 +257,7 @@ def evidence(model: Model, text: str) -> dict[str, tuple[int, float, float]]:
             else:
                 scores = model.word(low)
             latin.append(scores)
-            sizes.append(len(run))
+            runs.append(low)
         elif kind == "C":
             cjk.extend(model.character(c) for c in run)
         else:
@@ -266,10 +266,13 @@ def evidence(model: Model, text: str) -> dict[str, tuple[int, float, float]]:
             odds[kind] += CAP
         previous = text[m.end() : m.end() + 2].strip()[-1:] if m.end() < len(text) else ""
     if latin:
-        for i, s, n in zip(_latin_path(latin), latin, sizes, strict=True):
+        seen: set[tuple[str, str]] = set()
+        for i, s, w in zip(_latin_path(latin), latin, runs, strict=True):
             k = LATIN[i]
-            words[k] += 1
-            letters[k] += n
+            if (k, w) not in seen:  # a name said again and again is no clause
+                seen.add((k, w))
+                words[k] += 1
+            letters[k] += len(w)
             odds[k] += s[i] - max(x for j, x in enumerate(s) if j != i)
     if cjk:
         for i, s in zip(_cjk_path(cjk), cjk, strict=True):

@@ -29,7 +29,7 @@ um umm uh uhm er erm hmm hm mhm mmm mm eh em euh heu hum hein hã äh ähm öh 
 # Phrases that fill a pause when set off by a comma or dots, in lower case.
 PHRASES = [
     "you know", "o sea", "este", "enfin bon", "ben", "bah", "né", "tipo", "é", "also äh", "ну это", "λοιπόν εε", "แบบว่า",
-    "这个嘛", "那个", "这个", "يعني", "मतलब", "तो", "그", "저기", "뭐랄까", "i mean", "sort of", "kind of", "pois", "então", "halt", "na",
+    "这个嘛", "那个", "这个", "يعني", "मतलब", "तो", "그", "그니까", "그러니까", "저기", "뭐랄까", "i mean", "sort of", "kind of", "pois", "então", "halt", "na",
 ]
 #: Names of parts in a talk that may stand as a label without more.
 ROLES = "host guest caller moderator interviewer interviewee narrator presenter operator agent customer speaker".split()
