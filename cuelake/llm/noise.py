@@ -123,18 +123,27 @@ _HESITATION = re.compile(r"(?<![\w'’\-])(?:" + "|".join(map(re.escape, sorted(
 _PAUSE = re.compile(r"(?<![\w'’\-])(?:" + "|".join(map(re.escape, sorted(PHRASES, key=len, reverse=True))) + r")\s*(?:[,，、،]|\.\.\.|…)(?!\w)\s*", re.IGNORECASE)
 
 
-def spoken(text: str) -> str:
-    """What is said: without stamps, notes, label and fillers; empty if nothing is."""
-    _, rest = head_label(text)
-    rest = without_notes(rest)
+def speech(text: str) -> tuple[str | None, str]:
+    """The speaker that the head of a text names, and what is said: without stamps, notes, label and fillers."""
+    label, rest = head_label(text)
+    if _NOTED.search(rest):
+        rest = without_notes(rest)
     if _ONLY_FILLERS.match(rest):
-        return ""
-    return _SPACE.sub(" ", rest).strip()
+        return label, ""
+    said = _SPACE.sub(" ", rest).strip()
+    return label, said
 
 
-def clean_utterance(text: str) -> str:
-    """A readable utterance: as ``spoken``, without hesitations and pause phrases inside, spaces before marks mended."""
-    s = spoken(text)
+_NOTED = re.compile(r"[\[(（【<*♪♫]|\d:\d")
+
+
+def spoken(text: str) -> str:
+    """What is said in a text; empty if nothing is."""
+    return speech(text)[1]
+
+
+def cleaned(s: str) -> str:
+    """A readable form of what is said: without hesitations and pause phrases inside, spaces before marks mended."""
     if not s:
         return ""
     t = _SPACE.sub(" ", _PAUSE.sub("", _HESITATION.sub("", s))).strip()
@@ -142,3 +151,7 @@ def clean_utterance(text: str) -> str:
     if t and s[:1].isupper() and t[:1].islower():
         t = t[0].upper() + t[1:]
     return t if any(ch.isalnum() for ch in t) else s
+
+
+def clean_utterance(text: str) -> str:
+    return cleaned(spoken(text))

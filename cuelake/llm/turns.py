@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cuelake.llm.noise import canonical_speaker, clean_utterance, head_label, spoken
-from cuelake.session import materialise, partitions_for, struct
+from cuelake.llm.noise import canonical_speaker, cleaned, speech
+from cuelake.session import arrow_batch, materialise, partitions_for, struct
 
 BLOCK = 4096
 MARGIN = 16
@@ -89,52 +89,69 @@ def repair_clock(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return files, order, fitted
 
 
-_UTTERANCE = struct("media_id long, seg_ix int, start_s double, end_s double, speaker string, said string, _block int, _own boolean")
 _REPAIRED = struct("media_id long, seg_ix int, _block int, _file int, _resets int, _at double, _fitted double, end_s double, speaker string, said string")
 
 
-def _utterances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(struct("media_id long, seg_ix int, start_s double, end_s double, speaker string, said string"))
+def _repaired(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """One block in list order: (seg_ix, own, start, end, text, speaker) as rows of what is spoken."""
+    nan = float("nan")
+    starts = np.array([nan if r[2] is None else r[2] for r in rows])
+    ends = np.array([nan if r[3] is None else r[3] for r in rows])
+    if np.isnan(starts).any() or (np.diff(starts) < 0).any():
+        files, order, fitted = repair_clock(starts, ends)
+    else:  # in order as it stands
+        files, order, fitted = np.zeros(len(rows), np.int64), starts, starts
+    own = [i for i, r in enumerate(rows) if r[1]]
+    if not own:
+        return []
+    before = [int(files[i]) for i, r in enumerate(rows) if not r[1]]
+    base = max(before) if before else int(files[own[0]])
+    resets = int(files[own[-1]]) - base
+    out = []
+    for i in own:
+        seg, _, _, end, text, speaker = rows[i]
+        if text is None or not text.strip():
+            continue
+        label, said = speech(text)
+        if said:
+            out.append((*key, int(files[i]) - base, resets, float(order[i]), float(fitted[i]), end, canonical_speaker(speaker) or label, cleaned(said), seg))
+    return [(m, seg, block, file, n, at, fit, end, who, said) for m, block, file, n, at, fit, end, who, said, seg in out]
+
+
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block; one block is held at a time."""
+    schema = to_arrow_schema(_REPAIRED)
+    current, held, out = None, [], []
     for b in batches:
-        who, said = [], []
-        for text, speaker in zip(b.column("text").to_pylist(), b.column("speaker").to_pylist(), strict=True):
-            key = canonical_speaker(speaker)
-            if text is None or not text.strip() or not spoken(text):
-                who.append(key)
-                said.append(None)
-                continue
-            who.append(key or head_label(text)[0])
-            said.append(clean_utterance(text))
-        yield pa.RecordBatch.from_arrays([b.column("media_id"), b.column("seg_ix"), b.column("start_s"), b.column("end_s"), pa.array(who, pa.string()), pa.array(said, pa.string())], schema=schema)
-
-
-def _repair(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("seg_ix", kind="stable").reset_index(drop=True)
-    starts, ends = rows["start_s"].to_numpy(float), rows["end_s"].to_numpy(float)
-    files, order, fitted = repair_clock(starts, ends)
-    own = rows["_own"].to_numpy(bool)
-    first = files[own][0] if own.any() else 0
-    before = files[~own].max() if (~own).any() else 0
-    rows = rows.assign(_file=(files - first + (first - before if (~own).any() else 0)).astype("int32"), _at=order, _fitted=fitted)[own]
-    rows["_resets"] = np.int32(rows["_file"].max() if len(rows) else 0)
-    return rows[rows["said"].notna()][[f.name for f in _REPAIRED]]
+        for m, block, seg, own, start, end, text, speaker in zip(*(b.column(c).to_pylist() for c in ("media_id", "_block", "seg_ix", "_own", "start_s", "end_s", "text", "speaker")), strict=True):
+            if (m, block) != current:
+                if held:
+                    out += _repaired(current, held)
+                    if len(out) > 5000:
+                        yield arrow_batch(out, schema)
+                        out = []
+                current, held = (m, block), []
+            if not held or held[-1][0] != seg:  # repeated rows count once
+                held.append((seg, own, start, end, text, speaker))
+    if held:
+        out += _repaired(current, held)
+    yield arrow_batch(out, schema)
 
 
 def utterances(segments: DataFrame) -> DataFrame:
-    """Spoken segments with canonical speaker, clean text, file number, order time and repaired time."""
-    rows = segments.select("media_id", "seg_ix", "start_s", "end_s", "text", "speaker").where("media_id IS NOT NULL AND seg_ix IS NOT NULL").dropDuplicates(["media_id", "seg_ix"])
-    rows = rows.mapInArrow(_utterances, struct("media_id long, seg_ix int, start_s double, end_s double, speaker string, said string"))
-    block = F.floor(F.col("seg_ix") / BLOCK).cast("int")
-    also = F.when(F.col("seg_ix") % BLOCK >= BLOCK - MARGIN, F.array(block, block + 1)).otherwise(F.array(block))
-    rows = rows.withColumn("_home", block).withColumn("_block", F.explode(also)).withColumn("_own", F.col("_home") == F.col("_block")).drop("_home")
-    # Explicit partitions: adaptive coalescing goes by bytes and would leave the grouped calls to a few tasks.
-    fixed = rows.repartition(partitions_for(rows), "media_id", "_block").groupBy("media_id", "_block").applyInPandas(_repair, _REPAIRED)
-    fixed = materialise(fixed)
+    """Spoken segments with canonical speaker, clean text, file number, order time and repaired time; one exchange."""
+    rows = segments.select("media_id", "seg_ix", "start_s", "end_s", "text", "speaker").where("media_id IS NOT NULL AND seg_ix IS NOT NULL")
+    home = F.floor(F.col("seg_ix") / BLOCK).cast("int")
+    also = F.when(F.col("seg_ix") % BLOCK >= BLOCK - MARGIN, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = rows.withColumn("_home", home).withColumn("_block", F.explode(also)).withColumn("_own", F.col("_home") == F.col("_block")).drop("_home")
+    keys = ["media_id", "_block"]
+    fixed = materialise(rows.repartition(partitions_for(rows), *keys).sortWithinPartitions(*keys, "seg_ix").mapInArrow(_repair, _REPAIRED))
     # File numbers go on from block to block; only recordings with a reset have anything to add.
-    resets = fixed.groupBy("media_id", "_block").agg(F.max("_resets").alias("n"))
-    earlier = resets.withColumn("_shift", F.sum("n").over(Window.partitionBy("media_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    earlier = earlier.where("_shift > 0").select("media_id", "_block", "_shift")
-    return fixed.join(earlier, ["media_id", "_block"], "left").withColumn("_file", F.col("_file") + F.coalesce("_shift", F.lit(0)).cast("int")).drop("_shift", "_block", "_resets")
+    resets = fixed.where("_resets > 0").groupBy(*keys).agg(F.max("_resets").alias("n"))
+    blocks = fixed.select(*keys).distinct().join(resets.select("media_id").distinct(), "media_id", "left_semi").join(resets, keys, "left")
+    earlier = blocks.withColumn("_shift", F.sum("n").over(Window.partitionBy("media_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
+    earlier = earlier.where("_shift > 0").select(*keys, "_shift")
+    return fixed.join(earlier, keys, "left").withColumn("_file", F.col("_file") + F.coalesce("_shift", F.lit(0)).cast("int")).drop("_shift", "_block", "_resets")
 
 
 _RUN = struct("media_id long, _pid int, _run int, _edge boolean, speaker string, first_seg_ix int, last_seg_ix int, start_s double, end_s double, n_segments int, text string")
