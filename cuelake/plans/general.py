@@ -50,7 +50,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_transcripts": p5_transcripts, "p5_segments": p5_segments, "p5_words": p5_words, "p5_recording_words": p5_recording_words, "p7_found": p7_found}
 
+_READABLE = """
+    j AS (SELECT raw_id, try_cast(regexp_replace(payload, '^\\x{FEFF}', '') AS JSON) AS j FROM raw_transcripts),
+    a AS (SELECT raw_id, j, CAST(json_extract(j, '$.segments[*]') AS JSON[]) AS s FROM j WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.segments') = 'ARRAY'),
+    b AS (SELECT raw_id, s, unnest(range(len(s))) AS i FROM a), c AS (SELECT raw_id, CAST(i AS INTEGER) AS seg_ix, s[i + 1] AS x FROM b),
+    d AS (SELECT raw_id, seg_ix, x, CASE WHEN json_type(x, '$.words') = 'ARRAY' THEN CAST(json_extract(x, '$.words[*]') AS JSON[]) ELSE [] END AS w,
+          json_type(x) = 'OBJECT' AND coalesce(json_type(x, '$.words'), 'NULL') IN ('NULL', 'ARRAY') AND coalesce(json_type(x, '$.start'), '') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') AND try_cast(x ->> '$.start' AS DOUBLE) IS NOT NULL
+          AND coalesce(json_type(x, '$.end'), '') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') AND try_cast(x ->> '$.end' AS DOUBLE) IS NOT NULL AS ok FROM c),
+    e AS (SELECT *, coalesce(len(list_filter(w, lambda y: NOT coalesce(json_type(y) = 'OBJECT' AND try_cast(y ->> '$.start' AS DOUBLE) IS NOT NULL AND try_cast(y ->> '$.end' AS DOUBLE) IS NOT NULL, false))), 0) = 0 AS wok FROM d),
+    g AS (SELECT raw_id FROM a WHERE raw_id NOT IN (SELECT raw_id FROM e WHERE NOT coalesce(ok AND wok, false)))"""
+
 ORACLES = {
+    "p5_found": f"""WITH {_READABLE}, f AS (SELECT * FROM e WHERE raw_id IN (SELECT raw_id FROM g))
+        SELECT raw_id, seg_ix, -1 AS word_ix FROM f UNION ALL SELECT raw_id, seg_ix, CAST(unnest(range(len(w))) AS INTEGER) FROM f""",
     "p5_recording_words": """
         WITH s AS (SELECT media_id, segments, unnest(range(len(segments))) AS seg_ix FROM transcripts WHERE segments IS NOT NULL),
              w AS (SELECT media_id, CAST(seg_ix AS INTEGER) AS seg_ix, segments[seg_ix + 1].words AS words FROM s),

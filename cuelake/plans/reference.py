@@ -166,7 +166,11 @@ def recording_stats(spark: SparkSession, folder: str) -> DataFrame:
     return segments.recording_stats(_segments(spark, folder))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_S}, o AS (SELECT *, {_strip("coalesce(text, '')")} AS said, row_number() OVER (PARTITION BY media_id ORDER BY seg_ix) AS n FROM t),
+    r AS (SELECT media_id, n, said, start_s AS anchor, 0 AS bucket_ix, end_s - start_s >= 30.0 AS shut FROM o WHERE n = 1
+        UNION ALL SELECT o.media_id, o.n, o.said, CASE WHEN r.shut THEN o.start_s ELSE r.anchor END, r.bucket_ix + CASE WHEN r.shut THEN 1 ELSE 0 END, o.end_s - CASE WHEN r.shut THEN o.start_s ELSE r.anchor END >= 30.0
+        FROM r JOIN o ON o.media_id = r.media_id AND o.n = r.n + 1)
+    SELECT media_id, bucket_ix, min(anchor) AS bucket_start, string_agg(said, ' ' ORDER BY n) AS bucket_text FROM r GROUP BY media_id, bucket_ix""")
 def timed_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return segments.timed_buckets(_segments(spark, folder))
 
@@ -321,7 +325,12 @@ def centroid_rank(spark: SparkSession, folder: str) -> DataFrame:
     return terms.centroid(_vectors(spark, folder)[0]).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_VEC}, ed AS (SELECT a.media_id, a.sent_ix AS a, b.sent_ix AS b, sum(a.w * b.w) AS w FROM vec a JOIN vec b ON a.media_id = b.media_id AND a.term = b.term AND a.sent_ix <> b.sent_ix
+        WHERE a.media_id IN (SELECT media_id FROM nn WHERE n <= 700) GROUP BY ALL), ow AS (SELECT media_id, a, sum(w) AS o FROM ed GROUP BY media_id, a),
+    sh AS (SELECT media_id, a, b, w / o AS share FROM ed JOIN ow USING (media_id, a) UNION ALL SELECT media_id, sent_ix, sent_ix, 0.0 FROM sents WHERE media_id IN (SELECT media_id FROM nn WHERE n <= 700)),
+    r AS (SELECT 0 AS it, media_id, sent_ix, 1.0::DOUBLE / n AS score, n FROM sents JOIN nn USING (media_id) WHERE n <= 700
+        UNION ALL (SELECT it + 1, r.media_id, b, 0.15 / any_value(n) + 0.85 * sum(score * share), any_value(n) FROM r JOIN sh ON r.media_id = sh.media_id AND r.sent_ix = sh.a WHERE it < 60 GROUP BY it, r.media_id, b))
+    SELECT media_id, sent_ix, round(score, 6) AS score FROM r WHERE it = 60""")
 def text_rank(spark: SparkSession, folder: str) -> DataFrame:
     v, s = _vectors(spark, folder)
     return terms.text_rank(terms.similarity_edges(v, s), s).withColumn("score", F.round("score", 6))
@@ -468,7 +477,10 @@ def srt_text(spark: SparkSession, folder: str) -> DataFrame:
     return captions.to_srt(_cues(spark, folder))
 
 
-@query()
+@query(f"""WITH {_C}, q AS (SELECT media_id, cue_index, start_s, end_s, speaker, coalesce(lines, []) AS l, label IS NOT NULL AND starts_with(coalesce(lines[1], ''), label) AS cut, {_strip("substr(coalesce(lines[1], ''), length(label) + 1)")} AS bare FROM c),
+    r AS (SELECT *, list_transform(CASE WHEN cut AND bare <> '' THEN list_concat([bare], l[2:]) WHEN cut THEN l[2:] ELSE l END, lambda x: replace(replace(replace(coalesce(x, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS e FROM q),
+    v AS (SELECT media_id, cue_index, {_stamp('start_s', '.')} || ' --> ' || {_stamp('end_s', '.')} AS t, CASE WHEN coalesce(speaker, '') <> '' AND len(e) > 0 THEN list_concat(['<v ' || replace(replace(replace(speaker, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '>' || e[1]], e[2:]) ELSE e END AS e FROM r)
+    SELECT media_id, 'WEBVTT' || chr(10) || chr(10) || rtrim(string_agg(array_to_string(list_concat([t], e), chr(10)), chr(10) || chr(10) ORDER BY cue_index), chr(10)) || chr(10) AS vtt FROM v GROUP BY media_id""")
 def vtt_text(spark: SparkSession, folder: str) -> DataFrame:
     return captions.to_vtt(_cues(spark, folder))
 
