@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import io
 import os
 import tempfile
 import zipfile
@@ -70,11 +71,17 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="cuelake-ship-")) / "cuelake.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
+    # In the folder that all executors share, through its own file system.
+    ensure_checkpoint_dir(spark)
+    target = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get(), "cuelake.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target.toString())
 
 
 def shipped(query: Callable) -> Callable:
