@@ -8,15 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from cuelake.functions.text import strip
+from cuelake.operators.ordered import with_previous, with_running_sum
 
 
-def in_list() -> WindowSpec:
-    """Rows of a recording in list order."""
-    return Window.partitionBy("media_id").orderBy("seg_ix")
-
 
 def timed_segments(segments: DataFrame) -> DataFrame:
     rows = segments.select("media_id", "seg_ix", "start_s", "end_s", "text", "speaker").where("media_id IS NOT NULL AND seg_ix IS NOT NULL")
@@ -32,8 +28,9 @@ def speaker_turns(segments: DataFrame, gap: float = 1.2, speakers: int = 2) -> D
     """Adds ``turn`` (from 0) and ``speaker`` by silence: a gap of more than ``gap`` seconds passes to the next label."""
     if speakers < 1:
         raise ValueError("speakers must be at least 1")
-    step = F.coalesce((F.col("start_s") - F.lag("end_s").over(in_list()) > gap).cast("int"), F.lit(0))
-    turned = timed_segments(segments).withColumn("_step", step).withColumn("turn", F.sum("_step").over(in_list())).drop("_step")
+    rows = with_previous(timed_segments(segments), ["media_id"], "seg_ix", ["end_s"])
+    rows = rows.withColumn("_step", F.coalesce((F.col("start_s") - F.col("_prev.end_s") > gap).cast("int"), F.lit(0)))
+    turned = with_running_sum(rows, ["media_id"], "seg_ix", "_step", "turn").drop("_step", "_prev")
     return turned.withColumn("speaker", F.concat(F.lit("Speaker "), (F.col("turn") % speakers + 1).cast("string")))
 
 
@@ -44,13 +41,15 @@ def talk_time(turns: DataFrame) -> DataFrame:
 
 
 def _islands(rows: DataFrame, begins: Column, name: str) -> DataFrame:
-    return rows.withColumn("_b", F.coalesce(begins.cast("int"), F.lit(1))).withColumn(name, F.sum("_b").over(in_list()) - 1).drop("_b")
+    """Numbers runs from 0 by where they begin (null: there); ``begins`` may use ``_prev``, the row before."""
+    rows = with_previous(rows, ["media_id"], "seg_ix", ["end_s", "speaker"]).withColumn("_b", F.coalesce(begins.cast("int"), F.lit(1)))
+    return with_running_sum(rows, ["media_id"], "seg_ix", "_b", name).withColumn(name, F.col(name) - 1).drop("_b", "_prev")
 
 
 def dialogue(segments: DataFrame) -> DataFrame:
     """``media_id, dialogue``: consecutive segments of a speaker merged, blocks set apart by a blank line."""
     rows = spoken_segments(segments).withColumn("speaker", F.coalesce(F.nullif("speaker", F.lit("")), F.lit("Speaker 1")))
-    blocks = _islands(rows, F.col("speaker") != F.lag("speaker").over(in_list()), "block")
+    blocks = _islands(rows, F.col("speaker") != F.col("_prev.speaker"), "block")
     merged = blocks.groupBy("media_id", "block").agg(F.min_by("speaker", "seg_ix").alias("speaker"), F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY seg_ix)").alias("said"))
     lines = merged.withColumn("line", F.concat("speaker", F.lit(": "), "said"))
     return lines.groupBy("media_id").agg(F.expr("listagg(line, '\n\n') WITHIN GROUP (ORDER BY block)").alias("dialogue"))
@@ -59,8 +58,7 @@ def dialogue(segments: DataFrame) -> DataFrame:
 def paragraphs(segments: DataFrame, gap: float = 2.0) -> DataFrame:
     """``media_id, paragraph_ix, paragraph``: a pause of more than ``gap`` seconds begins a new one."""
     rows = spoken_segments(segments)
-    first = F.lag("end_s").over(in_list()).isNull() | (F.col("start_s") - F.lag("end_s").over(in_list()) > gap)
-    islands = _islands(rows, first, "paragraph_ix")
+    islands = _islands(rows, F.col("start_s") - F.col("_prev.end_s") > gap, "paragraph_ix")
     return islands.groupBy("media_id", "paragraph_ix").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY seg_ix)").alias("paragraph"))
 
 

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -118,3 +119,14 @@ def spread(df: DataFrame) -> DataFrame:
     inputs, which come in many splits, pass as they are without an exchange."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows with the smallest hashes of ``key``, at most ``most``. Rows far from being among them are dropped before the
+    ordering, so the driver gets little more than ``most`` rows however many partitions there are."""
+    h = F.xxhash64(key)
+    n = rows.count()
+    if n > most:
+        share = min(1.0, (1.2 * most + 50) / n)
+        rows = rows.where(h < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    return rows.orderBy(h, key).limit(most)

@@ -296,3 +296,17 @@ def test_files_round_trip(spark, tmp_path):
     again = files.decode_transcripts(files.read_payloads(spark, str(tmp_path / "one")), "path").first()
     assert (again.segments, again.text, again.duration) == (r.segments, r.text, r.duration)
     assert [x.path.rsplit("/", 1)[-1] for x in files.media_listing(spark, str(tmp_path / "one")).collect()] == ["transcript.json"]
+
+
+def test_blocks_of_a_long_recording_are_tied(spark, monkeypatch):
+    from cuelake.operators import ordered
+
+    rng = random.Random(9)
+    rows, at = [], 0.0
+    for i in sorted(rng.sample(range(60), 40)):
+        rows.append((1, i, at, at + 1.0, f"w{i}", rng.choice(["A", "B"])))
+        at += rng.choice([1.0, 3.0, 3.5])
+    df = spark.createDataFrame(rows, SEGMENT)
+    whole = [rows_of(f(df)) for f in (segments.speaker_turns, segments.dialogue, segments.paragraphs)]
+    monkeypatch.setattr(ordered, "BLOCK", 7)
+    assert [rows_of(f(df)) for f in (segments.speaker_turns, segments.dialogue, segments.paragraphs)] == whole
