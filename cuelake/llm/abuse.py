@@ -34,9 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuelake.llm.abuse_examples import EXAMPLES
 from cuelake.llm.noise import head_label
-from cuelake.llm.sentences import sentence_spans
 from cuelake.llm.turns import isotonic
-from cuelake.session import arrow_batch, materialise, spread, struct
+from cuelake.session import arrow_batch, bounded_sample, materialise, spread, struct
 
 CATEGORIES = ("abuse", "hate", "sexual")
 K = 7
@@ -55,6 +54,9 @@ _LEET = str.maketrans({"4": "a", "3": "e", "1": "i", "0": "o", "5": "s", "7": "t
 _LOOKALIKE = str.maketrans("асеорхуіјѕһԁԛԝкмнтвАСЕОРХУІЈЅВКМНТαοερνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxyijshdqwkmhtbACEOPXYIJSBKMHTaoepviktuxABEZHIKMNOPTYX")
 _LATIN_LETTER = re.compile("[A-Za-zÀ-ɏ]")
 _REPEAT = re.compile(r"(.)\1+")
+#: Units are what stands between final marks or line breaks; a wrong cut at an abbreviation does no harm here.
+_UNIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[a-zà-ÿ][.!?])(?=[A-ZÀ-Ý¡¿])|(?<=[。！？।؟])[」』”’》）]*\s*|\n+")
+_LABELLED = re.compile(r"^.{0,40}?[:：\]]")
 _CUE_LINE = re.compile(r"^(?:\d+\s*\n)?[ \t]*\d[\d:.,]*\s*-->\s*\d[\d:.,]*[^\n]*$", re.MULTILINE)
 _TAG = re.compile(r"</?[a-z][^<>]{0,60}>", re.IGNORECASE)
 _BULLET = re.compile(r"^[\s>#*•\-–—_]+(?=\w)")
@@ -81,17 +83,25 @@ def spelling(word: str) -> str:
     return bones or w.replace("*", "")[:1]
 
 
-def terms(sentence: str) -> Counter:
-    """Words and pairs of words of a sentence, in the spelling that survives disguise."""
-    s = _SPACED.sub(lambda m: m.group().replace(" ", ""), unicodedata.normalize("NFKC", sentence))
-    words = [w for w in map(spelling, _WORD.findall(s)) if w]
+def words_of(sentence: str) -> list[str]:
+    """Words in the spelling that survives disguise; scripts without spaces as pairs of characters."""
+    s = sentence if sentence.isascii() else unicodedata.normalize("NFKC", sentence)
+    s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
     out: list[str] = []
-    for w in words:
-        if len(w) > 3 and not w.isascii() and 0x0E00 <= ord(w[0]) <= 0xD7A3:
-            out += [w[i : i + 2] for i in range(len(w) - 1)]  # scripts without spaces: pairs of characters
-        else:
+    for w in map(spelling, _WORD.findall(s)):
+        if len(w) > 3 and 0x0E00 <= ord(w[0]) <= 0xD7A3:
+            out += [w[i : i + 2] for i in range(len(w) - 1)]
+        elif w:
             out.append(w)
-    return Counter(out) + Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+    return out
+
+
+def terms(sentence: str) -> Counter:
+    """Words and pairs of neighbouring words of a sentence."""
+    words = words_of(sentence)
+    out = Counter(words)
+    out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+    return out
 
 
 def units(text: str | None) -> list[str]:
@@ -104,9 +114,12 @@ def units(text: str | None) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", text)
     out = []
-    for a, b in sentence_spans(text):
-        s = _BULLET.sub("", text[a:b])
-        s = head_label(s)[1].strip()
+    for s in _UNIT.split(text):
+        s = s.strip()
+        if s and not s[0].isalnum():
+            s = _BULLET.sub("", s)
+        if s and _LABELLED.match(s):
+            s = head_label(s)[1].strip()
         if s:
             out.append(s)
     return out
@@ -137,10 +150,27 @@ class Index:
         self.whole = {t: max(b for _, b in blocks) for t, blocks in self.blocks.items()}
 
     def vector(self, sentence: str) -> dict[str, float]:
-        v = terms(sentence)
-        w = {t: n * self.idf.get(t, UNSEEN if " " not in t else 0.0) for t, n in v.items()}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items() if t in self.idf} if norm else {}
+        idf, w = self.idf, {}
+        previous = None
+        unseen: dict[str, int] = {}
+        for word in words_of(sentence):
+            x = idf.get(word)
+            if x is None:
+                unseen[word] = unseen.get(word, 0) + 1
+                previous = None
+                continue
+            w[word] = w.get(word, 0.0) + x
+            if previous is not None:
+                pair = f"{previous} {word}"
+                x = idf.get(pair)
+                if x is not None:
+                    w[pair] = w.get(pair, 0.0) + x
+            previous = word
+        if not w:
+            return {}
+        rest = sum((n * UNSEEN) ** 2 for n in unseen.values())
+        norm = math.sqrt(rest + sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
 
     def bound(self, v: dict[str, float]) -> float:
         """No example of a category is more similar than this."""
@@ -274,19 +304,21 @@ def _frequencies(documents: DataFrame, wanted: frozenset) -> tuple[dict[str, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        seen: dict[str, frozenset] = {}
+        want = shared.value
         for b in batches:
             for text in b.column(0).to_pylist():
                 counts[""] += 1
                 held: set[str] = set()
                 for s in units(text):
-                    known = seen.get(s)
-                    if known is None:
-                        known = frozenset(t for t in terms(s) if t in shared.value)
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[s] = known
-                    held |= known
+                    previous = None
+                    for w in words_of(s):
+                        if w in want:
+                            held.add(w)
+                            if previous is not None and (pair := f"{previous} {w}") in want:
+                                held.add(pair)
+                            previous = w
+                        else:
+                            previous = None
                 counts.update(held)
         yield arrow_batch(list(counts.items()), schema)
 
@@ -332,7 +364,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Scorer:
     """Index and calibration from the examples, a bounded sample of labelled documents and counts over all documents."""
     voted = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
     rows = documents.where(f"text IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST}").join(voted, "doc_id").select("doc_id", "text", "toxic")
-    sample = [(r["text"], int(r["toxic"] > 0.5)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
+    sample = [(r["text"], int(r["toxic"] > 0.5)) for r in bounded_sample(rows, "doc_id", SAMPLE).collect()]
     examples = list(dict.fromkeys(_taken(sample[::2])))
     wanted = frozenset(t for _, s in examples for t in terms(s))
     frequency, documents_n = _frequencies(documents, wanted)
