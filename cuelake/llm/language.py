@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuelake.llm.pii import details, masked
 from cuelake.llm.sentences import sentence_spans
-from cuelake.session import arrow_batch, struct
+from cuelake.session import arrow_batch, bounded_sample, struct
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "ru", "ja", "zh", "ar", "hi", "el", "th", "ko")
 LATIN = LANGUAGES[:5]
@@ -310,7 +310,7 @@ def mixed_languages(shares: dict[str, tuple[int, float, float]]) -> list[tuple[s
 def fit_on(transcripts: DataFrame) -> Broadcast:
     """The model of a bounded sample of labelled transcripts, broadcast."""
     rows = transcripts.select("media_id", "language", "text").where(f"language IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST}")
-    sample = rows.orderBy(F.xxhash64("media_id"), "media_id").limit(SAMPLE).select("language", "text")
+    sample = bounded_sample(rows, "media_id", SAMPLE).select("language", "text")
     return transcripts.sparkSession.sparkContext.broadcast(fit([tuple(r) for r in sample.collect()]))
 
 
