@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from conftest import write_tables
 from cuelake import llm
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +43,17 @@ def test_found_columns(spark, edge_folder):
         df = QUERIES[name](spark, edge_folder)
         assert df.columns == columns
         assert df.count() == df.distinct().count()
+
+
+def test_terms_of_a_recording_with_a_third_of_all_tokens(spark, tmp_path):
+    """A case there may be less likely than in the rest (z below 0); the counts decide."""
+    hot = [(1, i, 1, float(i), i + 1.0, "quartz" if i < 3 else "filler", "A", None) for i in range(100)]
+    small = [(2, i, 1, float(i), i + 1.0, "quartz" if i < 7 else "padding", "A", None) for i in range(10)]
+    rest = [(3 + i // 10, i % 10, 1, 0.0, 1.0, "padding", "A", None) for i in range(190)]
+    folder = write_tables(spark, tmp_path, {"segments": [*hot, *small, *rest]})
+    z = {(r.media_id, r.term): r.z for r in QUERIES["p2_scores"](spark, folder).collect()}
+    assert z[1, "quartz"] < 0
+    got = {tuple(r) for r in QUERIES["p2_found"](spark, folder).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW segments AS SELECT * FROM '{folder}/segments.parquet/*.parquet'")
+    assert got == set(con.sql(SQL["p2_found"]).fetchall()) == {(1, "quartz"), (1, "filler"), (2, "quartz")}
