@@ -7,7 +7,9 @@ as letters, accents, vowels, repeated letters and asterisks fall away.
 
 * Examples are those of ``abuse_examples`` and sentences of a bounded sample of labelled documents (``SAMPLE``), taken
   with the majority of their labels; sentences of toxic documents count only near a known example, which gives the category.
-* Document frequencies are counted over all documents, for the terms of the examples (a bounded set).
+* Document frequencies of all terms are counted over all documents. Those of the examples (a bounded set) go into the index;
+  the others stay in a table, which is joined to the terms of the sentences that can be near an example. As no inverse
+  frequency is below 1, a sentence's norm has a lower bound without that table, so no other sentence can be near one.
 * The index holds postings by example in blocks with their largest weight (block-max); a query walks the examples in order
   and skips blocks whose bounds can't reach the K-th best (Block-Max WAND), so results are those of a full scan. Sentences
   whose bound over the examples of a category stays below ``NEAR`` cannot be near one and score 0 without a walk.
@@ -44,8 +46,8 @@ NEAR, HELD = 0.42, 0.5
 #: Bounds of the fit: labelled documents, their characters, examples taken from them.
 SAMPLE, LONGEST, TAKEN = 4000, 20_000, 6000
 BLOCK = 32
-#: Inverse document frequency of words that no example has.
-UNSEEN = 3.0
+#: Terms a task holds while it counts.
+HELD_TERMS = 300_000
 
 _SPACED = re.compile(r"(?<![\w*])(?:[^\W_] ){2,}[^\W_](?![\w*])")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[*@$!|'’](?=[\w*@$!|]))*|[*@$](?=\w)(?:[\w*@$!|])*")
@@ -130,12 +132,13 @@ class Index:
 
     def __init__(self, examples: list[tuple[str, str]], frequency: dict[str, int], documents: int) -> None:
         self.examples = examples
+        self.frequency, self.documents = frequency, documents
         self.labels = [c for c, _ in examples]
         self.idf = {}
         vectors = [terms(s) for _, s in examples]
         for v in vectors:
             for t in v:
-                self.idf[t] = math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1.0
+                self.idf[t] = self.inverse(frequency.get(t, 0))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.most: dict[str, float] = {}
         for i, v in enumerate(vectors):
@@ -149,14 +152,25 @@ class Index:
         self.blocks = {t: [(p[0][min(k + BLOCK, len(p[0])) - 1], max(p[1][k : k + BLOCK])) for k in range(0, len(p[0]), BLOCK)] for t, p in self.postings.items()}
         self.whole = {t: max(b for _, b in blocks) for t, blocks in self.blocks.items()}
 
-    def vector(self, sentence: str) -> dict[str, float]:
+    def inverse(self, frequency: int) -> float:
+        """Inverse document frequency; at least 1."""
+        return math.log((1 + self.documents) / (1 + frequency)) + 1.0
+
+    def others(self, sentence: str) -> Counter:
+        """Terms of a sentence that no example has."""
+        return Counter({t: n for t, n in terms(sentence).items() if t not in self.idf})
+
+    def rest(self, others: Counter) -> float:
+        """Squared weights of the terms that no example has, by the frequencies given to the index."""
+        return round(sum((n * self.inverse(self.frequency.get(t, 0))) ** 2 for t, n in others.items()), 9)
+
+    def known(self, words: list[str]) -> dict[str, float]:
+        """Weights of the terms that examples have."""
         idf, w = self.idf, {}
         previous = None
-        unseen: dict[str, int] = {}
-        for word in words_of(sentence):
+        for word in words:
             x = idf.get(word)
             if x is None:
-                unseen[word] = unseen.get(word, 0) + 1
                 previous = None
                 continue
             w[word] = w.get(word, 0.0) + x
@@ -166,9 +180,25 @@ class Index:
                 if x is not None:
                     w[pair] = w.get(pair, 0.0) + x
             previous = word
+        return w
+
+    def may_be_near(self, sentence: str) -> bool:
+        """False only if no example of a category is as near as ``NEAR``, whatever the frequencies of other terms are."""
+        words = words_of(sentence)
+        w = self.known(words)
+        if not w:
+            return False
+        # Every other word weighs at least its count.
+        least = sum(n * n for t, n in Counter(words).items() if t not in self.idf)
+        return self.bound(w) >= (NEAR - 1e-9) * math.sqrt(least + sum(x * x for x in w.values()))
+
+    def vector(self, sentence: str, rest: float | None = None) -> dict[str, float]:
+        """Weights of the example terms in a sentence over the norm of all its terms; ``rest`` is the other terms' part of it."""
+        w = self.known(words_of(sentence))
         if not w:
             return {}
-        rest = sum((n * UNSEEN) ** 2 for n in unseen.values())
+        if rest is None:
+            rest = self.rest(self.others(sentence))
         norm = math.sqrt(rest + sum(x * x for x in w.values()))
         return {t: x / norm for t, x in w.items()}
 
@@ -240,9 +270,11 @@ class Index:
                         c[2] = bisect_left(self.postings[c[0]][0], to, c[2])
         return best
 
-    def votes(self, sentence: str) -> tuple[dict[str, float], int]:
+    def votes(self, sentence: str, rest: float | None = None) -> tuple[dict[str, float], int]:
         """Score of each category for a sentence, and the nearest example of the best one (-1: none)."""
-        v = self.vector(sentence)
+        if not self.may_be_near(sentence):
+            return {}, -1
+        v = self.vector(sentence, rest)
         if self.bound(v) < NEAR:
             return {}, -1
         found = [(s, i) for s, i in self.nearest(v) if s > 0.2]
@@ -297,34 +329,33 @@ class Scorer:
 _COUNTS = struct("term string, n long")
 
 
-def _frequencies(documents: DataFrame, wanted: frozenset) -> tuple[dict[str, int], int]:
-    """Documents that hold each wanted term, over all documents; each task adds up before the shuffle."""
+def _frequencies(documents: DataFrame) -> DataFrame:
+    """Rows ``term, n``: documents that hold each term, over all documents; ``term`` "" has the number of documents. Each
+    task adds up before the shuffle."""
     schema = to_arrow_schema(_COUNTS)
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        want = shared.value
         for b in batches:
             for text in b.column(0).to_pylist():
-                counts[""] += 1
-                held: set[str] = set()
+                held = {""}
                 for s in units(text):
-                    previous = None
-                    for w in words_of(s):
-                        if w in want:
-                            held.add(w)
-                            if previous is not None and (pair := f"{previous} {w}") in want:
-                                held.add(pair)
-                            previous = w
-                        else:
-                            previous = None
+                    words = words_of(s)
+                    held.update(words)
+                    held.update(map(" ".join, zip(words, words[1:], strict=False)))
                 counts.update(held)
+                if len(counts) > HELD_TERMS:
+                    yield arrow_batch(list(counts.items()), schema)
+                    counts.clear()
         yield arrow_batch(list(counts.items()), schema)
 
-    rows = spread(documents.select("text").where("text IS NOT NULL")).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r["term"]: r["n"] for r in rows}
-    return counts, counts.pop("", 0)
+    return materialise(spread(documents.select("text").where("text IS NOT NULL")).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")))
+
+
+def _looked_up(counts: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """Frequencies of a bounded set of terms."""
+    rows = counts.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "term string")
+    return {r["term"]: r["n"] for r in counts.join(F.broadcast(rows), "term").collect()}
 
 
 def _taken(sample: list[tuple[str, int]]) -> list[tuple[str, str]]:
@@ -360,15 +391,16 @@ def _taken(sample: list[tuple[str, int]]) -> list[tuple[str, str]]:
     return own + out
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Scorer:
+def fit(documents: DataFrame, labels: DataFrame, counts: DataFrame) -> Scorer:
     """Index and calibration from the examples, a bounded sample of labelled documents and counts over all documents."""
     voted = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
     rows = documents.where(f"text IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST}").join(voted, "doc_id").select("doc_id", "text", "toxic")
     sample = [(r["text"], int(r["toxic"] > 0.5)) for r in bounded_sample(rows, "doc_id", SAMPLE).collect()]
     examples = list(dict.fromkeys(_taken(sample[::2])))
-    wanted = frozenset(t for _, s in examples for t in terms(s))
-    frequency, documents_n = _frequencies(documents, wanted)
-    index = Index(examples, frequency, documents_n)
+    frequency = _looked_up(counts, {"", *(t for _, s in examples for t in terms(s))})
+    index = Index(examples, frequency, frequency.get("", 0))
+    # The other terms of the half that calibrates; for all other sentences they are joined.
+    index.frequency = _looked_up(counts, {t for text, _ in sample[1::2] for s in units(text) if index.may_be_near(s) for t in index.others(s)})
     scorer = Scorer(index, [])
     # Calibration on the other half of the sample, so that no document is judged by its own sentences.
     by_raw: dict[float, list[int]] = defaultdict(list)
@@ -381,28 +413,77 @@ def fit(documents: DataFrame, labels: DataFrame) -> Scorer:
     else:
         scorer.steps = [(x / 10, x / 10) for x in range(11)]
     scorer._seen.clear()
+    index.frequency = {}
     return scorer
 
 
+_UNITS = struct("doc_id long, source string, blank boolean, place int, sentence string")
+_OTHERS = struct("sentence string, term string, n long")
+_VOTES = struct("sentence string, abuse double, hate double, sexual double, top double, example string")
 _SCORES = struct("doc_id long, source string, score double, abuse double, hate double, sexual double, evidence string, example string")
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: calibrated ``score``, raw scores by category, the deciding sentence and its example."""
-    scorer = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
-    schema = to_arrow_schema(_SCORES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scorer.value
+    counts = _frequencies(documents)
+    fitted = fit(documents, labels, counts)
+    scorer = documents.sparkSession.sparkContext.broadcast(fitted)
+    as_units, as_others, as_votes, as_scores = map(to_arrow_schema, (_UNITS, _OTHERS, _VOTES, _SCORES))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sentences that can be near an example; one row without a sentence for documents that have none."""
+        index = scorer.value.index
+        seen: dict[str, bool] = {}
         for b in batches:
             rows = []
             for doc, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw, said, example = s.document(text)
-                blank = text is None or not text.strip()
-                rows.append((doc, source, 0.0 if blank else s.calibrated(max(raw.values(), default=0.0)), *(round(raw.get(c, 0.0), 6) for c in CATEGORIES), said, example))
-            yield arrow_batch(rows, schema)
+                found = set()
+                for i, s in enumerate(units(text)):
+                    near = seen.get(s)
+                    if near is None:
+                        if len(seen) > 50_000:
+                            seen.clear()
+                        near = seen[s] = index.may_be_near(s)
+                    if near and s not in found:
+                        found.add(s)
+                        rows.append((doc, source, False, i, s))
+                if not found:
+                    rows.append((doc, source, text is None or not text.strip(), -1, None))
+            yield arrow_batch(rows, as_units)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Terms that no example has; "" keeps the sentences without any."""
+        index = scorer.value.index
+        for b in batches:
+            yield arrow_batch([(s, t, n) for s in b.column(0).to_pylist() for t, n in [("", 0), *index.others(s).items()]], as_others)
 
-    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, _SCORES)
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = scorer.value.index
+        for b in batches:
+            rows = []
+            for s, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, near = index.votes(s, rest)
+                rows.append((s, *(found.get(c, 0.0) for c in CATEGORIES), max(found.values(), default=0.0), index.examples[near][1] if near >= 0 else None))
+            yield arrow_batch(rows, as_votes)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = scorer.value
+        for b in batches:
+            rows = []
+            for doc, source, blank, *raw, said, example in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                rows.append((doc, source, 0.0 if blank else s.calibrated(max(raw)), *(round(x, 6) for x in raw), said, example))
+            yield arrow_batch(rows, as_scores)
+
+    held = materialise(spread(documents.select("doc_id", "source", "text")).mapInArrow(passing, _UNITS))
+    said = held.where("sentence IS NOT NULL")
+    weight = F.col("n") * (F.log(F.lit(1.0 + fitted.index.documents) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
+    terms_ = said.select("sentence").distinct().mapInArrow(others, _OTHERS).join(counts.withColumnRenamed("n", "df"), "term", "left")
+    voted = terms_.groupBy("sentence").agg(F.round(F.sum(weight * weight), 9).alias("rest")).mapInArrow(votes, _VOTES)
+    best = F.max_by(F.when(F.col("top") > 0, F.struct("sentence", "example")), F.struct("top", -F.col("place")))
+    scored = said.join(voted, "sentence").groupBy("doc_id", "source", "blank").agg(*[F.max(c).alias(c) for c in CATEGORIES], best.alias("best"))
+    scored = scored.select("doc_id", "source", "blank", *CATEGORIES, "best.sentence", "best.example")
+    none = held.where("sentence IS NULL").select("doc_id", "source", "blank", *[F.lit(0.0).alias(c) for c in CATEGORIES], "sentence", F.lit(None).cast("string").alias("example"))
+    return none.unionByName(scored).mapInArrow(scores, _SCORES)
 
 
 def held_categories(scores: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -113,3 +114,33 @@ def test_held_out_accuracy(spark):
     held = {(r.doc_id, r.category) for r in abuse.held_categories(abuse.score_documents(documents, labels)).collect()}
     want = {(i, c) for i, c in truth.items() if c}
     assert len(held & want) / len(want) > 0.95 and len(held - want) / max(1, len(held)) < 0.05
+
+
+def test_cosine_over_frequencies_of_all_terms(spark):
+    """Common words outside the examples weigh little, rare ones much: scores are those of a plain TF-IDF cosine."""
+    common = "window lantern copper meadow violin harbour"
+    texts = [f"{common}. Number {w} came." for w in ("one", "two", "red", "blue", "far", "near")] * 5
+    texts += [f"You useless fool, go jump off a bridge {common}.", "You useless fool, go jump off a bridge xylophone quagmire zeppelin obelisk walrus tundra."]
+    documents = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    n = Counter(t for x in texts for t in {t for u in abuse.units(x) for t in abuse.terms(u)})
+    idf = lambda t: math.log((1 + len(texts)) / (1 + n[t])) + 1
+
+    def vector(s):
+        w = {t: k * idf(t) for t, k in abuse.terms(s).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    own = [(c, s) for c, v in EXAMPLES.items() for s in v.strip().split("\n")]
+    exact = abuse.Index(own, n, len(texts))
+    got = {r.doc_id: r for r in abuse.score_documents(documents, labels).collect()}
+    assert len(got) == len(texts)
+    for i in (len(texts) - 2, len(texts) - 1):
+        v = vector(texts[i])
+        plain = sorted((-round(sum(x * v.get(t, 0.0) for t, x in vector(s).items()), 9), k) for k, (_, s) in enumerate(own))[: abuse.K]
+        assert [(round(s, 9), k) for s, k in exact.nearest(exact.vector(texts[i]))][:1] == [(-plain[0][0], plain[0][1])]
+        raw, said, example = abuse.Scorer(exact, []).document(texts[i])
+        assert [got[i][c] for c in abuse.CATEGORIES] == pytest.approx([raw.get(c, 0.0) for c in abuse.CATEGORIES], abs=1e-6)
+        assert (got[i].evidence, got[i].example) == (said, example)
+    nearest = [exact.nearest(exact.vector(t))[0][0] for t in texts[-2:]]
+    assert nearest[0] > nearest[1] + 0.05
