@@ -56,8 +56,19 @@ _LEET = str.maketrans({"4": "a", "3": "e", "1": "i", "0": "o", "5": "s", "7": "t
 _LOOKALIKE = str.maketrans("асеорхуіјѕһԁԛԝкмнтвАСЕОРХУІЈЅВКМНТαοερνικτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxyijshdqwkmhtbACEOPXYIJSBKMHTaoepviktuxABEZHIKMNOPTYX")
 _LATIN_LETTER = re.compile("[A-Za-zÀ-ɏ]")
 _REPEAT = re.compile(r"(.)\1+")
+# Line ends, Thai and Greek letters as in ``sentences``.
+_LINES = "\r\n\v\f\x1c-\x1e\x85\u2028\u2029"
+_THAI, _GREEK = "\u0e01-\u0e3a\u0e40-\u0e4e", "\u0370-\u03ff\u1f00-\u1fff"
+_LINE = re.compile(f"\r\n|[{_LINES}]")
 #: Units are what stands between final marks or line breaks; a wrong cut at an abbreviation does no harm here.
-_UNIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[a-zà-ÿ][.!?])(?=[A-ZÀ-Ý¡¿])|(?<=[。！？।؟])[」』”’》）]*\s*|\n+")
+_UNIT_ASCII = re.compile(rf"(?<=[.!?])[\"')\]]*\s+|(?<=[a-z][.!?])(?=[A-Z])|[{_LINES}]+")
+#: Also after the Greek question mark and full-width dots outside numbers.
+_UNIT = re.compile(
+    rf"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[a-zà-ÿ][.!?])(?=[A-ZÀ-Ý¡¿])|(?<=[。！？।॥؟])[」』”’》）]*\s*|(?<=．)(?!\d)[」』”’》）]*\s*|[{_LINES}]+|(?<=[{_GREEK}][;\u037e])[\"'»”’)\]]*\s+"
+)
+#: White space between Thai letters ends a sentence or a part of one (or a line of a caption); so parts are units, and up to
+#: ``JOINED`` neighbouring ones together as well.
+_THAI_SPACE, JOINED = re.compile(rf"(?<=[{_THAI}])\s+(?=[{_THAI}])"), 4
 _LABELLED = re.compile(r"^.{0,40}?[:：\]]")
 _CUE_LINE = re.compile(r"^(?:\d+\s*\n)?[ \t]*\d[\d:.,]*\s*-->\s*\d[\d:.,]*[^\n]*$", re.MULTILINE)
 _TAG = re.compile(r"</?[a-z][^<>]{0,60}>", re.IGNORECASE)
@@ -111,19 +122,24 @@ def units(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
     if "-->" in text:
-        text = _CUE_LINE.sub(" ", text.replace("\r\n", "\n"))
+        text = _CUE_LINE.sub(" ", _LINE.sub("\n", text))
         text = re.sub(r"\s*\n\s*", " ", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     out = []
-    for s in _UNIT.split(text):
+    for s in (_UNIT_ASCII if text.isascii() else _UNIT).split(text):
         s = s.strip()
         if s and not s[0].isalnum():
             s = _BULLET.sub("", s)
         if s and _LABELLED.match(s):
             s = head_label(s)[1].strip()
-        if s:
+        if not s:
+            continue
+        parts = [s] if s.isascii() else _THAI_SPACE.split(s)
+        if len(parts) == 1:
             out.append(s)
+        else:
+            out += [" ".join(parts[i : i + n]) for i in range(len(parts)) for n in range(1, min(JOINED, len(parts) - i) + 1)]
     return out
 
 

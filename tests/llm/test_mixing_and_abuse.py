@@ -98,6 +98,33 @@ def test_captions_are_joined_over_cues():
     assert abuse.units(text) == ["Kill the child process first, then the dumb terminal comes back."]
 
 
+THAI_RUN = ["ทีมวิจัยลืมรายการคำถามหลังจากเงียบไปนาน", "ช่างเสียงย้ายรายงานการเก็บเกี่ยว", "แขกรับเชิญอธิบายตารางเรือก่อนอาหารกลางวันครับ", "พิธีกรทดสอบซอสมะเขือเทศตอนสิ้นเดือน"] * 4
+
+
+@pytest.mark.parametrize("said", ["แกมันโง่ หุบปากไปเลย", "แกมันโง่\nหุบปากไปเลย"])
+def test_abuse_inside_long_thai_texts(index, said):
+    """A part of a long line or of a caption file without any final mark."""
+    line = " ".join([*THAI_RUN[:8], said.replace("\n", " "), *THAI_RUN[8:]])
+    cues = [*THAI_RUN[:8], said, *THAI_RUN[8:]]
+    stamp = "00:00:0{}.000 --> 00:00:0{}.500".format
+    captions = "WEBVTT\n\n" + "\n\n".join(f"{stamp(i % 10, i % 10)}\n{c}" for i, c in enumerate(cues))
+    for text in (line, captions):
+        scores, evidence, _ = abuse.Scorer(index, []).document(text)
+        assert scores.get("abuse", 0.0) >= abuse.HELD
+        assert len(evidence) < 40
+    assert abuse.Scorer(index, []).document(" ".join(THAI_RUN))[0] == {}
+
+
+@pytest.mark.parametrize("end", ["\r", "\v", "\x0c", "\x85", "\u2028", "\u2029", "\u0965 ", "\uff0e"])
+def test_units_end_at_line_ends_and_marks(end):
+    assert [u.rstrip("\u0965\uff0e") for u in abuse.units(f"erster Teil{end}zweiter Teil")] == ["erster Teil", "zweiter Teil"]
+
+
+def test_units_end_at_greek_question_marks():
+    assert abuse.units("Ποιος είδε; Μετά ήρθε\u037e Τέλος") == ["Ποιος είδε;", "Μετά ήρθε\u037e", "Τέλος"]
+    assert abuse.units("1\r00:00:01,000 --> 00:00:02,000\rKill the child\r\r2\r00:00:02,000 --> 00:00:03,000\rprocess first.") == ["Kill the child process first."]
+
+
 def test_held_out_accuracy(spark):
     """Labelled documents, one in ten labels wrong; the held categories of others are the true ones."""
     rng = random.Random(7)
