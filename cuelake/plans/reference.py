@@ -269,8 +269,8 @@ def language_instruction(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def summary_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """A model's reply, an object amid prose, parsed for every document."""
-    reply = F.concat(F.lit("Here it is:\n```"), F.to_json(F.struct(F.col("kind").alias("tldr"), F.substring("text", 1, 40).alias("summary"), F.array("source", "lang").alias("key_points"))), F.lit("```"))
+    """A model's reply, an object amid prose with the whole text in it, parsed for every document."""
+    reply = F.concat(F.lit("Here it is:\n```"), F.to_json(F.struct(F.col("kind").alias("tldr"), F.col("text").alias("summary"), F.array("source", "lang").alias("key_points"))), F.lit("```"))
     return read_table(spark, folder, "documents").select("doc_id", ft.parse_summary(reply).alias("s")).select("doc_id", "s.*")
 
 

@@ -2,9 +2,12 @@
 
 import math
 import os
+import sys
+import unicodedata
 
 import duckdb
 import pytest
+from conftest import write_tables
 
 from cuelake.plans import registry
 
@@ -44,3 +47,17 @@ def test_equals_sql(spark, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in got.collect()) == sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
+
+
+def test_summary_replies_hold_whole_texts(spark, tmp_path):
+    """Quotes, braces, line breaks, odd Unicode and long texts come back as they went in, without white space around."""
+    head = "forty characters of plain text and more. "
+    odd = ['"quoted" \\ and \\n', "{a} }{ ```json {}```", "line\nbreak\r\nand\ttab\x85\u2028x", "\U0001f600 e\u0301 \u0000\u0007 \ufeff \U0010ffff", "ends in space \u3000\u00a0\n", "[1, 2] } end }", "word " * 60_000]
+    texts = [*(head + t for t in odd), *odd, None, "", " \n ", head + "{" * 5000]
+    rows = [(i, t, "en" if i % 2 else None, " src ", 1, "notes" if i % 3 else None, 1, None) for i, t in enumerate(texts)]
+    folder = write_tables(spark, tmp_path, {"documents": rows})
+    white = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c in "\t\n\v\f\r" or unicodedata.category(c)[0] == "Z")
+    want = {i: ((kind or "").strip(white), (t or "").strip(white), [x for x in ((source or "").strip(white), lang) if x], []) for i, t, lang, source, _, kind, _, _ in rows}
+    got = {r.doc_id: (r.tldr, r.summary, r.key_points, r.action_items) for r in QUERIES["summary_replies"](spark, folder).collect()}
+    assert got.keys() == want.keys()
+    assert [i for i in want if got[i] != want[i]] == []
