@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -444,12 +446,15 @@ def chapter_of_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def model_chapters(spark: SparkSession, folder: str) -> DataFrame:
-    """Chapters by a stand-in model that names the first line and fails for long prompts (those fall back)."""
+    """Chapters by a stand-in model. By the checksum of the prompt, whatever its length, it fails for a quarter of the
+    recordings (those fall back), names the first line only for a quarter (those are filled) and every line of the others."""
 
     def complete(messages: list[dict]) -> str:
-        lines = messages[1]["content"].split("\n")
-        if len(lines) > 8:
-            raise RuntimeError("too long")
+        prompt = messages[1]["content"]
+        share = zlib.crc32(prompt.encode()) % 4
+        if share == 0:
+            raise RuntimeError("no answer")
+        lines = prompt.split("\n")[: 1 if share == 1 else None]
         return "\n".join(f"{line[1:].split(']')[0]} {' '.join(line.split()[1:4])}" for line in lines)
 
     return completion.model_chapters(_segments(spark, folder), complete, read_table(spark, folder, "transcripts"))

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 import sys
 import unicodedata
 
@@ -61,3 +62,27 @@ def test_summary_replies_hold_whole_texts(spark, tmp_path):
     got = {r.doc_id: (r.tldr, r.summary, r.key_points, r.action_items) for r in QUERIES["summary_replies"](spark, folder).collect()}
     assert got.keys() == want.keys()
     assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_model_chapters_of_long_recordings(spark, tmp_path):
+    """Long recordings take the model's path too: every line named, filled from the first line, or the local chapters."""
+    words = "bridge storm kitchen river copper violin meadow lantern harbour sugar window engine".split()
+    rows = [(m, i, 1, 30.0 * i, 30.0 * i + 20, f"{words[(i * m) % 12]} {words[(i + m) % 12]} number{i} came along take{m}", "A", None) for m in range(1, 25) for i in range(20)]
+    folder = write_tables(spark, tmp_path, {"segments": rows, "transcripts": [(m, 1, "en", 600.0, None, "", "", None, []) for m in range(1, 25)]})
+
+    def found(name):
+        out = {}
+        for r in QUERIES[name](spark, folder).collect():
+            out.setdefault(r.media_id, []).append((r.chapter_no, r.start_s, r.title))
+        return {m: sorted(c) for m, c in out.items()}
+
+    made, local = found("model_chapters"), found("topic_chapters")
+    assert made.keys() == set(range(1, 25))
+    # A chapter that the model names has the first three words of a bucket; of neighbours nearer than a chapter's least length the last title stays.
+    named = {m: sum(bool(re.fullmatch(r"\w+ \w+ number\d+", t)) for _, _, t in c) for m, c in made.items()}
+    whole = [m for m in made if named[m] >= 9]
+    filled = [m for m in made if m not in whole and made[m] != local[m]]
+    fallen = [m for m in made if made[m] == local[m]]
+    assert whole and filled and fallen
+    assert len(whole) > len(fallen)
+    assert all(made[m][0][1] == 0.0 and len(made[m]) >= 3 for m in filled)
