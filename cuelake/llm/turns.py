@@ -1,6 +1,6 @@
 """Speech transcripts into clean speaker turns (problem 6).
 
-1. Repair of the clock, in list order: blocks of ``BLOCK`` segments of a recording (with a margin of the block before)
+1. Repair of the clock, in list order: blocks of ``BLOCK`` segments of a recording (with margins of its neighbours)
    form bounded groups. A clock reset begins a new file segment; within file segments the starts are fitted by isotonic
    regression (pool adjacent violators), which gives lost times a place and the turns monotone times.
 2. Utterances are cleaned and speakers made canonical, row by row.
@@ -28,6 +28,8 @@ from cuelake.session import arrow_batch, materialise, partitions_for, struct
 
 BLOCK = 4096
 MARGIN = 16
+#: Segments from which a reset is judged; so many of the next block go with each.
+AHEAD = 8
 #: A reset: the clock falls by more than so many seconds to less than RESET_TO and stays below.
 RESET_BY, RESET_TO = 60.0, 10.0
 
@@ -57,9 +59,9 @@ def file_numbers(starts: np.ndarray) -> np.ndarray:
     for i, s in enumerate(starts.tolist()):
         if s == s:
             if s < RESET_TO and top - s > RESET_BY:
-                later = starts[i : i + 8]
+                later = starts[i : i + AHEAD]  # fewer at the end of a recording
                 later = later[~np.isnan(later)]
-                if len(later) == 8 and (later < top - RESET_BY).all() and (np.diff(later) > -5).all():
+                if (later < top - RESET_BY).all() and (np.diff(later) > -5).all():
                     file, top = file + 1, s
             top = max(top, s)
         out[i] = file
@@ -104,7 +106,7 @@ def _repaired(key: tuple, rows: list[tuple]) -> list[tuple]:
     own = [i for i, r in enumerate(rows) if r[1]]
     if not own:
         return []
-    before = [int(files[i]) for i, r in enumerate(rows) if not r[1]]
+    before = [int(x) for x in files[: own[0]]]
     base = max(before) if before else int(files[own[0]])
     resets = int(files[own[-1]]) - base
     out = []
@@ -142,7 +144,8 @@ def utterances(segments: DataFrame) -> DataFrame:
     """Spoken segments with canonical speaker, clean text, file number, order time and repaired time; one exchange."""
     rows = segments.select("media_id", "seg_ix", "start_s", "end_s", "text", "speaker").where("media_id IS NOT NULL AND seg_ix IS NOT NULL")
     home = F.floor(F.col("seg_ix") / BLOCK).cast("int")
-    also = F.when(F.col("seg_ix") % BLOCK >= BLOCK - MARGIN, F.array(home, home + 1)).otherwise(F.array(home))
+    place = F.pmod("seg_ix", F.lit(BLOCK))
+    also = F.when(place >= BLOCK - MARGIN, F.array(home, home + 1)).when((place < AHEAD) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
     rows = rows.withColumn("_home", home).withColumn("_block", F.explode(also)).withColumn("_own", F.col("_home") == F.col("_block")).drop("_home")
     keys = ["media_id", "_block"]
     fixed = materialise(rows.repartition(partitions_for(rows), *keys).sortWithinPartitions(*keys, "seg_ix").mapInArrow(_repair, _REPAIRED))

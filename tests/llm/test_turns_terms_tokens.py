@@ -154,3 +154,14 @@ def test_decoder_keeps_unfinished_characters(vocabulary):
     d = tokens.Decoder(vocabulary)
     assert "".join(d.feed([i]) for i in ids) + d.finish() == "🙂研"
     assert tokens.encode(None, vocabulary) == tokens.encode("", vocabulary) == [] and tokens.decode(None, vocabulary) == ""
+
+
+@pytest.mark.parametrize(("first", "second"), [(4090, 200), (4096, 20), (4100, 20), (100, 3), (4090, 3), (4094, 5)])
+def test_reset_near_the_edge_of_a_block_or_the_end(spark, first, second):
+    """The second file's turns come after the first file's, wherever the clock starts again."""
+    starts = [2.0 * i for i in range(first)] + [1.0 * i for i in range(second)]
+    rows = [(1, i, t, t + 0.9, "So it goes.", "AB"[i % 2], None) for i, t in enumerate(starts)]
+    df = spark.createDataFrame(rows, "media_id long, seg_ix int, start_s double, end_s double, text string, speaker string, ingested_at timestamp")
+    got = sorted((r.first_seg_ix, r.last_seg_ix) for r in turns.speaker_turns(df).collect())
+    # Turns of one speaker go on over the border of the files only if the speaker does.
+    assert got == [(i, i) for i in range(first + second)]
