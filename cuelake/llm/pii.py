@@ -303,16 +303,61 @@ def details(text: str | None) -> list[tuple[int, int, str]]:
 KEY = b"cuelake"
 
 
+#: Dates in digits: year first (also with 年月日) or last.
+_DATE = re.compile(
+    r"(?<![\w.\-/])(?:(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<a>\d{1,2})(?P<t>[-/.])(?P<b>\d{1,2})(?P=t)(?P<z>\d{4}))(?![\w]|[.\-/:]\d)"
+    r"|(?<!\d)(?P<cy>\d{4})年(?P<cm>\d{1,2})月(?P<cd>\d{1,2})日"
+)
+
+
+def _day(year: str, month: str, day: str) -> dt.date | None:
+    try:
+        found = dt.date(int(year), int(month), int(day))
+    except ValueError:
+        return None
+    return found if _FIRST <= found.toordinal() <= _LAST else None
+
+
+def date_pseudonym(m: re.Match, key: bytes, back: bool = False) -> str:
+    """A valid date permuted within its format; others as they are. Day and month that can be read both ways are day first."""
+    pad = lambda n, like: str(n) if len(like) == 1 else f"{n:02d}"
+    if m["z"]:
+        a, t, b, z = m["a"], m["t"], m["b"], m["z"]
+        if day := _day(z, b, a):
+            new = permute_date(day, key, back)
+            return f"{pad(new.day, a)}{t}{pad(new.month, b)}{t}{new.year}"
+        if day := _day(z, a, b):
+            new = permute_date(day, key, back)
+            while new.day <= 12:  # stays one that can be read month first only
+                new = permute_date(new, key, back)
+            return f"{pad(new.month, a)}{t}{pad(new.day, b)}{t}{new.year}"
+        return m.group()
+    year, month, day_ = (m["y"], m["m"], m["d"]) if m["y"] else (m["cy"], m["cm"], m["cd"])
+    if not (day := _day(year, month, day_)):
+        return m.group()
+    new = permute_date(day, key, back)
+    month, day_ = pad(new.month, month), pad(new.day, day_)
+    return f"{new.year}{m['s']}{month}{m['s']}{day_}" if m["y"] else f"{new.year}年{month}月{day_}日"
+
+
+def _dates_replaced(text: str, key: bytes) -> str:
+    def one(m: re.Match) -> str:
+        new = date_pseudonym(m, key)
+        return m.group() if new == m.group() else f"<date {new}>"
+
+    return _DATE.sub(one, text)
+
+
 def redacted(text: str | None, key: bytes = KEY) -> str | None:
-    """The text with a typed placeholder, ``<type pseudonym>``, for each detail."""
+    """The text with a typed placeholder, ``<type pseudonym>``, for each detail and each valid date."""
     if text is None:
         return None
     out, at = [], 0
     for a, b, kind in details(text):
-        out.append(text[at:a])
+        out.append(_dates_replaced(text[at:a], key))
         out.append(f"<{kind} {pseudonym(kind, re.sub(r'\s+', ' ', masked(text)[a:b]).strip(), key)}>")
         at = b
-    out.append(text[at:])
+    out.append(_dates_replaced(text[at:], key))
     return "".join(out)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import random
 
 import pytest
@@ -114,3 +115,18 @@ def test_same_number_same_pseudonym_and_checks_hold():
     assert pii.pseudonym("email", "Ann.B@x.example", key) == pii.pseudonym("email", "ann dot b at x dot example", key)
     text = pii.redacted("Call (202) 555-0123 now.", key)
     assert text.startswith("Call <phone ") and text.endswith("> now.")
+
+
+@pytest.mark.parametrize("date", ["1987-03-14", "14.03.1987", "3/4/1987", "03/14/1987", "1987/3/4", "1987年3月14日"])
+def test_dates_are_permuted_within_their_format(date):
+    key = b"k"
+    out = pii.redacted(f"She was born on {date}, at 10:30.", key)
+    assert date not in out and out.startswith("She was born on <date ") and out.endswith(">, at 10:30.")
+    new = out[len("She was born on <date ") : -len(">, at 10:30.")]
+    numbers = lambda t: [int(x) for x in re.findall(r"\d+", t)]
+    assert numbers(pii.date_pseudonym(pii._DATE.fullmatch(new), key, back=True)) == numbers(date)
+
+
+@pytest.mark.parametrize("text", ["Version 1.2.3 of 31/02/1987", "99.99.1999 or 10.20.30.4000", "at 12:30:45"])
+def test_what_is_no_valid_date_stays(text):
+    assert pii._dates_replaced(text, b"k") == text
