@@ -121,11 +121,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str, most: int, n: int | None = None) -> DataFrame:
     """The rows with the smallest hashes of ``key``, at most ``most``. Rows far from being among them are dropped before the
-    ordering, so the driver gets little more than ``most`` rows however many partitions there are."""
+    ordering, so the driver gets little more than ``most`` rows however many partitions there are. ``n`` is the number of
+    rows, counted if it isn't known."""
     h = F.xxhash64(key)
-    n = rows.count()
+    n = rows.count() if n is None else n
     if n > most:
         share = min(1.0, (1.2 * most + 50) / n)
         rows = rows.where(h < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
