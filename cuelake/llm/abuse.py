@@ -5,15 +5,20 @@ votes of the ``K`` nearest give a score for each category, with the examples as
 words in a spelling that survives disguise: letters set apart are joined, digits and signs that stand for letters are read
 as letters, accents, vowels, repeated letters and asterisks fall away.
 
-* Examples are those of ``abuse_examples`` and sentences of a bounded sample of labelled documents (``SAMPLE``), taken
-  with the majority of their labels; sentences of toxic documents count only near a known example, which gives the category.
-* Document frequencies of all terms are counted over all documents. Those of the examples (a bounded set) go into the index;
-  the others stay in a table, which is joined to the terms of the sentences that can be near an example. As no inverse
-  frequency is below 1, a sentence's norm has a lower bound without that table, so no other sentence can be near one.
+* Examples come from a bounded sample of labelled documents (``TOXIC``, ``CLEAN``). A label says that a document is toxic, not
+  where or how, and may be wrong: sentences with terms that tell toxic documents from clean ones are candidates, a candidate
+  is toxic if most of the labels of the documents near it say so (its own is one of them), and its category is that of the
+  written examples of ``abuse_examples`` and of toxic candidates that it is nearest to. Candidates that are near toxic ones
+  and stand in clean documents are examples of ``none``.
+* One pass over the texts writes their spelled sentences and counts the document frequencies of all terms over all documents.
+  Those of the examples (a bounded set) go into the index; the others stay in a table, which is joined to the terms of the
+  sentences that can be near an example. As no inverse frequency is below 1, a sentence's norm has a lower bound without that
+  table, so no other sentence can be near one.
 * The index holds postings by example in blocks with their largest weight (block-max); a query walks the examples in order
   and skips blocks whose bounds can't reach the K-th best (Block-Max WAND), so results are those of a full scan. Sentences
   whose bound over the examples of a category stays below ``NEAR`` cannot be near one and score 0 without a walk.
-* Scores are calibrated by isotonic regression of the label on the raw score, on a half of the sample that gave no examples.
+* Scores are calibrated by isotonic regression of the label on the raw score, each half of the sample scored with the examples
+  of the other; a document holds a category from a calibrated score of ``HELD``.
 
 Defined results: null, empty and blank texts score 0 and hold no category; equal similarities go to the earlier example.
 """
@@ -23,9 +28,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,14 +42,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cuelake.llm.abuse_examples import EXAMPLES
 from cuelake.llm.noise import head_label
 from cuelake.llm.turns import isotonic
+from cuelake.llm.mixing import source_key
 from cuelake.session import arrow_batch, bounded_sample, materialise, spread, struct
 
 CATEGORIES = ("abuse", "hate", "sexual")
 K = 7
-#: Cosine from which an example counts as near, and vote share and score from which a category is held.
+#: Cosine from which an example counts as near, and calibrated score from which a category is held.
 NEAR, HELD = 0.42, 0.5
-#: Bounds of the fit: labelled documents, their characters, examples taken from them.
-SAMPLE, LONGEST, TAKEN = 4000, 20_000, 6000
+#: Bounds of the fit: toxic and clean labelled documents, their characters.
+TOXIC, CLEAN, LONGEST = 1500, 3000, 20_000
+#: A telling term: its least z-score, and the largest share of clean documents that have it. Candidates from each document.
+TELLING, RARE, CANDIDATES = 2.0, 0.01, 2
+#: Cosine of candidates whose labels count for each other, and share of toxic labels from which one is toxic or not.
+ALIKE, SURE, CLEAR = 0.3, 0.5, 0.35
 BLOCK = 32
 #: Terms a task holds while it counts.
 HELD_TERMS = 300_000
@@ -111,10 +121,7 @@ def words_of(sentence: str) -> list[str]:
 
 def terms(sentence: str) -> Counter:
     """Words and pairs of neighbouring words of a sentence."""
-    words = words_of(sentence)
-    out = Counter(words)
-    out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
-    return out
+    return bag(words_of(sentence))
 
 
 def units(text: str | None) -> list[str]:
@@ -143,8 +150,15 @@ def units(text: str | None) -> list[str]:
     return out
 
 
+def bag(words: list[str]) -> Counter:
+    """Words and pairs of neighbouring words."""
+    out = Counter(words)
+    out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+    return out
+
+
 class Index:
-    """Examples as TF-IDF vectors under a block-max inverted index."""
+    """Examples as TF-IDF vectors under a block-max inverted index. Queries are lists of spelled words."""
 
     def __init__(self, examples: list[tuple[str, str]], frequency: dict[str, int], documents: int) -> None:
         self.examples = examples
@@ -172,9 +186,9 @@ class Index:
         """Inverse document frequency; at least 1."""
         return math.log((1 + self.documents) / (1 + frequency)) + 1.0
 
-    def others(self, sentence: str) -> Counter:
-        """Terms of a sentence that no example has."""
-        return Counter({t: n for t, n in terms(sentence).items() if t not in self.idf})
+    def others(self, words: list[str]) -> Counter:
+        """Terms that no example has."""
+        return Counter({t: n for t, n in bag(words).items() if t not in self.idf})
 
     def rest(self, others: Counter) -> float:
         """Squared weights of the terms that no example has, by the frequencies given to the index."""
@@ -198,9 +212,8 @@ class Index:
             previous = word
         return w
 
-    def may_be_near(self, sentence: str) -> bool:
+    def may_be_near(self, words: list[str]) -> bool:
         """False only if no example of a category is as near as ``NEAR``, whatever the frequencies of other terms are."""
-        words = words_of(sentence)
         w = self.known(words)
         if not w:
             return False
@@ -208,19 +221,20 @@ class Index:
         least = sum(n * n for t, n in Counter(words).items() if t not in self.idf)
         return self.bound(w) >= (NEAR - 1e-9) * math.sqrt(least + sum(x * x for x in w.values()))
 
-    def vector(self, sentence: str, rest: float | None = None) -> dict[str, float]:
-        """Weights of the example terms in a sentence over the norm of all its terms; ``rest`` is the other terms' part of it."""
-        w = self.known(words_of(sentence))
+    def vector(self, words: list[str], rest: float | None = None) -> dict[str, float]:
+        """Weights of the example terms over the norm of all terms; ``rest`` is the other terms' part of it."""
+        w = self.known(words)
         if not w:
             return {}
         if rest is None:
-            rest = self.rest(self.others(sentence))
+            rest = self.rest(self.others(words))
         norm = math.sqrt(rest + sum(x * x for x in w.values()))
         return {t: x / norm for t, x in w.items()}
 
     def bound(self, v: dict[str, float]) -> float:
         """No example of a category is more similar than this."""
-        return sum(x * self.most.get(t, 0.0) for t, x in v.items())
+        most = self.most
+        return sum(x * most[t] for t, x in v.items() if t in most)
 
     def nearest(self, v: dict[str, float], k: int = K) -> list[tuple[float, int]]:
         """The k most similar examples (similarity, number), exactly, by Block-Max WAND."""
@@ -286,11 +300,11 @@ class Index:
                         c[2] = bisect_left(self.postings[c[0]][0], to, c[2])
         return best
 
-    def votes(self, sentence: str, rest: float | None = None) -> tuple[dict[str, float], int]:
+    def votes(self, words: list[str], rest: float | None = None) -> tuple[dict[str, float], int]:
         """Score of each category for a sentence, and the nearest example of the best one (-1: none)."""
-        if not self.may_be_near(sentence):
+        if not self.may_be_near(words):
             return {}, -1
-        v = self.vector(sentence, rest)
+        v = self.vector(words, rest)
         if self.bound(v) < NEAR:
             return {}, -1
         found = [(s, i) for s, i in self.nearest(v) if s > 0.2]
@@ -310,62 +324,163 @@ class Index:
         return out, near[top][1] if top else -1
 
 
+def telling_terms(bags: list[tuple[set[str], int]]) -> dict[str, float]:
+    """Terms of documents that tell toxic ones from clean ones: z-scores of their smoothed log odds from ``TELLING`` on."""
+    toxic, clean = Counter(), Counter()
+    n = [0, 0]
+    for held, label in bags:
+        n[label] += 1
+        (toxic if label else clean).update(held)
+    out = {}
+    for t, k in toxic.items():
+        m = clean[t]
+        p = 2.0 * (k + m) / sum(n)
+        if m > max(1.0, RARE * n[0]):
+            continue
+        a, b = k + p, m + p
+        z = (math.log(a / (n[1] + 2.0 - a)) - math.log(b / (n[0] + 2.0 - b))) / math.sqrt(1 / a + 1 / b)
+        if z >= TELLING:
+            out[t] = z
+    return out
+
+
+def learned(sample: list[tuple[list[str], list[list[str]], int]], inverse: Callable[[str], float]) -> list[tuple[str, str]]:
+    """Examples (category, sentence) from labelled documents of (sentences, their spelled words, label)."""
+    bags = [({t for words in spelt for t in bag(words)}, label) for _, spelt, label in sample]
+    telling = telling_terms(bags)
+    seeds = [(c, words_of(s)) for c, v in EXAMPLES.items() for s in v.strip().split("\n")]
+    clean = Counter(t for held, label in bags if not label for t in held)
+    for c, words in seeds:
+        for t in bag(words) if c != "none" else ():
+            if clean[t] <= max(1.0, RARE * sum(not label for _, label in bags)):
+                telling.setdefault(t, TELLING)
+    # Candidates: the sentences of each document that have most of the telling terms; equal bags of terms are one.
+    candidates: dict[tuple, tuple[str, Counter, set[int]]] = {}
+    for i, (said, spelt, _) in enumerate(sample):
+        ranked = []
+        for s, words in zip(said, spelt, strict=True):
+            own = bag(words)
+            x = sum(telling.get(t, 0.0) for t in own) / math.sqrt(len(own) or 1)
+            if x > 0:
+                ranked.append((-x, s, own))
+        for _, s, own in sorted(ranked, key=lambda r: r[:2])[:CANDIDATES]:
+            candidates.setdefault(tuple(sorted(own.items())), (s, own, set()))[2].add(i)
+    rows = [candidates[k] for k in sorted(candidates)]
+
+    def unit(own: Counter) -> dict[str, float]:
+        w = {t: n * inverse(t) for t, n in own.items()}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / norm for t, x in w.items()}
+
+    vectors = [unit(own) for _, own, _ in rows]
+    sharing: dict[str, list[int]] = defaultdict(list)
+    for j, v in enumerate(vectors):
+        for t in v.keys() & telling.keys():
+            sharing[t].append(j)
+
+    def dot(a: dict[str, float], b: dict[str, float]) -> float:
+        if len(a) > len(b):
+            a, b = b, a
+        return sum(x * b[t] for t, x in a.items() if t in b)
+
+    # Labels of the documents near each candidate, itself included, weighted by cosine.
+    base = sum(label for _, _, label in sample) / max(1, len(sample))
+    near: list[list[tuple[float, int]]] = []
+    share = []
+    for j, v in enumerate(vectors):
+        others = sorted({k for t in v.keys() & telling.keys() for k in sharing[t]})
+        alike = [(x, k) for k in others if (x := dot(v, vectors[k])) >= ALIKE]
+        near.append(alike)
+        weight: dict[int, float] = {}
+        for x, k in alike:
+            for i in rows[k][2]:
+                weight[i] = max(weight.get(i, 0.0), x)
+        share.append((sum(x * sample[i][2] for i, x in weight.items()) + base) / (sum(weight.values()) + 1.0))
+    # Categories: each toxic candidate starts with its likeness to the written examples and takes over that of those near it.
+    written = [(c, unit(bag(words))) for c, words in seeds if c != "none"]
+    toxic = [j for j in range(len(rows)) if share[j] >= SURE]
+    start: dict[int, dict[str, float]] = {}
+    for j in toxic:
+        likeness = dict.fromkeys(CATEGORIES, 0.0)
+        own = {t: x for t, x in vectors[j].items() if t in telling}
+        for c, w in written:
+            likeness[c] += dot(own, w) ** 2
+        start[j] = likeness
+    held = start
+    for _ in range(8):
+        held = {j: {c: 0.2 * start[j][c] + 0.8 * sum(x * x * held[k][c] for x, k in near[j] if k in start) / sum(x * x for x, k in near[j] if k in start) for c in CATEGORIES} for j in toxic}
+    out = []
+    for j in toxic:
+        best = max(CATEGORIES, key=lambda c: held[j][c])
+        if held[j][best] > 0:
+            out.append((best, rows[j][0]))
+    isin = set(toxic)
+    out += [("none", rows[j][0]) for j in range(len(rows)) if share[j] <= CLEAR and any(k in isin for _, k in near[j])]
+    return [(c, s) for c, v in EXAMPLES.items() for s in v.strip().split("\n")] + out
+
+
 class Scorer:
+    """Index and calibration."""
+
     def __init__(self, index: Index, steps: list[tuple[float, float]]) -> None:
         self.index, self.steps = index, steps
-        self._seen: dict[str, tuple[dict[str, float], int]] = {}
 
-    def document(self, text: str | None) -> tuple[dict[str, float], str, str]:
-        """Raw score of each category, the sentence that decides and the example it is nearest to."""
+    def document(self, text: str | None) -> dict[str, float]:
+        """Raw score of each category."""
+        return self.sentences([words_of(s) for s in units(text)])
+
+    def sentences(self, spelt: list[list[str]]) -> dict[str, float]:
         best: dict[str, float] = {}
-        top, said, example = 0.0, None, None
-        for s in units(text):
-            found = self._seen.get(s)
-            if found is None:
-                found = self.index.votes(s)
-                if len(self._seen) > 50_000:
-                    self._seen.clear()
-                self._seen[s] = found
-            scores, near = found
-            for c, x in scores.items():
+        for words in spelt:
+            for c, x in self.index.votes(words)[0].items():
                 best[c] = max(best.get(c, 0.0), x)
-                if x > top:
-                    top, said, example = x, s, self.index.examples[near][1]
-        return best, said, example
+        return best
 
     def calibrated(self, raw: float) -> float:
-        out = 0.0
-        for x, y in self.steps:
-            if raw < x:
-                break
-            out = y
-        return out
+        at = bisect_right(self.steps, (raw + 1e-9, 2.0))
+        return self.steps[at - 1][1] if at else 0.0
 
 
-_COUNTS = struct("term string, n long")
+_TEXTS = struct("doc_id long, source string, blank boolean, said array<string>, spelt array<string>, term string, n long")
 
 
-def _frequencies(documents: DataFrame) -> DataFrame:
-    """Rows ``term, n``: documents that hold each term, over all documents; ``term`` "" has the number of documents. Each
-    task adds up before the shuffle."""
-    schema = to_arrow_schema(_COUNTS)
+def _spelled(documents: DataFrame) -> DataFrame:
+    """One row for each document with its sentences as they are and as spelled words, and rows ``term, n``: documents that
+    hold each term, added up within a task (``term`` "" has the number of documents)."""
+    schema = to_arrow_schema(_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        spelled: dict[str, list[str]] = {}
+
+        def counted() -> pa.RecordBatch:
+            rows = [(None, None, None, None, None, t, n) for t, n in counts.items()]
+            counts.clear()
+            return arrow_batch(rows, schema)
+
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held = {""}
-                for s in units(text):
-                    words = words_of(s)
+            rows = []
+            for doc, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                said = list(dict.fromkeys(units(text)))
+                spelt = []
+                held = {""} if text is not None else set()
+                for s in said:
+                    words = spelled.get(s)
+                    if words is None:
+                        if len(spelled) > 50_000:
+                            spelled.clear()
+                        words = spelled[s] = words_of(s)
+                    spelt.append(" ".join(words))
                     held.update(words)
                     held.update(map(" ".join, zip(words, words[1:], strict=False)))
+                rows.append((doc, source, text is None or not text.strip(), said, spelt, None, None))
                 counts.update(held)
-                if len(counts) > HELD_TERMS:
-                    yield arrow_batch(list(counts.items()), schema)
-                    counts.clear()
-        yield arrow_batch(list(counts.items()), schema)
+            yield arrow_batch(rows, schema)
+            if len(counts) > HELD_TERMS:
+                yield counted()
+        yield counted()
 
-    return materialise(spread(documents.select("text").where("text IS NOT NULL")).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")))
+    return materialise(spread(documents.select("doc_id", "source", "text")).mapInArrow(run, _TEXTS))
 
 
 def _looked_up(counts: DataFrame, wanted: set[str]) -> dict[str, int]:
@@ -374,75 +489,50 @@ def _looked_up(counts: DataFrame, wanted: set[str]) -> dict[str, int]:
     return {r["term"]: r["n"] for r in counts.join(F.broadcast(rows), "term").collect()}
 
 
-def _taken(sample: list[tuple[str, int]]) -> list[tuple[str, str]]:
-    """Examples from labelled documents: what toxic ones hold near a known example, what clean ones hold near one."""
-    own = [(c, s) for c, v in EXAMPLES.items() for s in v.strip().split("\n")]
-    frequency: Counter = Counter()
-    toxic: Counter = Counter()
-    total: Counter = Counter()
-    for text, label in sample:
-        held = set()
-        for s in {x for x in units(text) if len(x) < 300}:
-            total[s] += 1
-            toxic[s] += label
-            held.update(terms(s))
-        frequency.update(held)
-    index = Index(own, frequency, len(sample) + 100)
-    out = []
-    for s, n in sorted(total.items(), key=lambda x: (-x[1], x[0])):
-        v = index.vector(s)
-        if index.bound(v) < 0.4:
-            continue
-        near = index.nearest(v, 1)
-        if not near or near[0][0] < 0.4:
-            continue
-        kind = index.labels[near[0][1]]
-        share = toxic[s] / n
-        if share >= 0.6 and near[0][0] >= 0.5 and kind != "none":
-            out.append((kind, s))
-        elif share <= 0.35 and kind != "none" and near[0][0] < 0.5:
-            out.append(("none", s))
-        if len(out) >= TAKEN:
-            break
-    return own + out
-
-
-def fit(documents: DataFrame, labels: DataFrame, counts: DataFrame) -> Scorer:
-    """Index and calibration from the examples, a bounded sample of labelled documents and counts over all documents."""
+def fit(texts: DataFrame, labels: DataFrame, counts: DataFrame) -> Scorer:
+    """Index and calibration from the written examples, a bounded sample of labelled documents and counts over all documents."""
     voted = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
-    rows = documents.where(f"text IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST}").join(voted, "doc_id").select("doc_id", "text", "toxic")
-    sample = [(r["text"], int(r["toxic"] > 0.5)) for r in bounded_sample(rows, "doc_id", SAMPLE).collect()]
-    examples = list(dict.fromkeys(_taken(sample[::2])))
-    frequency = _looked_up(counts, {"", *(t for _, s in examples for t in terms(s))})
-    index = Index(examples, frequency, frequency.get("", 0))
-    # The other terms of the half that calibrates; for all other sentences they are joined.
-    index.frequency = _looked_up(counts, {t for text, _ in sample[1::2] for s in units(text) if index.may_be_near(s) for t in index.others(s)})
+    length = F.aggregate("said", F.lit(0), lambda a, s: a + F.length(s))
+    rows = materialise(texts.where("size(said) > 0").join(voted, "doc_id").where(length <= LONGEST).select("doc_id", "said", "spelt", (F.col("toxic") > 0.5).cast("int").alias("toxic")))
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = [(r["said"], [s.split(" ") if s else [] for s in r["spelt"]], label) for label, most in ((1, TOXIC), (0, CLEAN)) for r in bounded_sample(rows.where(F.col("toxic") == label), "doc_id", most, sizes.get(label, 0)).collect()]
+    frequency = _looked_up(counts, {"", *(t for _, spelt, _ in taken for words in spelt for t in bag(words))})
+    documents = frequency.get("", 0)
+    inverse = lambda t: math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1.0
+    made = lambda part: Index(list(dict.fromkeys(learned(part, inverse))), frequency, documents)
+    # Calibration: each half of the sample is scored with the examples of the other one, and each label weighs as many
+    # documents as its part of the sample stands for.
+    weight = [sizes.get(k, 0) / max(1, sum(label == k for *_, label in taken)) for k in (0, 1)]
+    by_raw: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for half in (0, 1):
+        judge = Scorer(made(taken[half::2]), [])
+        for _, spelt, label in taken[1 - half :: 2]:
+            by_raw[round(max(judge.sentences(spelt).values(), default=0.0), 3)][label] += weight[label]
+    index = made(taken)
     scorer = Scorer(index, [])
-    # Calibration on the other half of the sample, so that no document is judged by its own sentences.
-    by_raw: dict[float, list[int]] = defaultdict(list)
-    for text, label in sample[1::2]:
-        by_raw[round(max(scorer.document(text)[0].values(), default=0.0), 3)].append(label)
     if len(by_raw) > 1:
         raw = sorted(by_raw)
-        fitted = isotonic(np.array([sum(by_raw[x]) / len(by_raw[x]) for x in raw]), np.array([float(len(by_raw[x])) for x in raw]))
+        total = np.array([sum(by_raw[x]) for x in raw])
+        fitted = isotonic(np.array([by_raw[x][1] for x in raw]) / total, total)
         scorer.steps = [(x, round(float(p), 6)) for x, p in zip(raw, fitted, strict=True)]
     else:
         scorer.steps = [(x / 10, x / 10) for x in range(11)]
-    scorer._seen.clear()
     index.frequency = {}
     return scorer
 
 
-_UNITS = struct("doc_id long, source string, blank boolean, place int, sentence string")
-_OTHERS = struct("sentence string, term string, n long")
-_VOTES = struct("sentence string, abuse double, hate double, sexual double, top double, example string")
+_UNITS = struct("doc_id long, source string, blank boolean, place int, sentence string, spelt string")
+_OTHERS = struct("spelt string, term string, n long")
+_VOTES = struct("spelt string, abuse double, hate double, sexual double, top double, example string")
 _SCORES = struct("doc_id long, source string, score double, abuse double, hate double, sexual double, evidence string, example string")
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each document: calibrated ``score``, raw scores by category, the deciding sentence and its example."""
-    counts = _frequencies(documents)
-    fitted = fit(documents, labels, counts)
+    """One row for each document: calibrated ``score`` and scores by category, the deciding sentence and its example."""
+    written = _spelled(documents)
+    texts = written.where("term IS NULL").drop("term", "n")
+    counts = materialise(written.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")))
+    fitted = fit(texts, labels, counts)
     scorer = documents.sparkSession.sparkContext.broadcast(fitted)
     as_units, as_others, as_votes, as_scores = map(to_arrow_schema, (_UNITS, _OTHERS, _VOTES, _SCORES))
 
@@ -452,33 +542,36 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         seen: dict[str, bool] = {}
         for b in batches:
             rows = []
-            for doc, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = set()
-                for i, s in enumerate(units(text)):
+            columns = (b.column(i).to_pylist() for i in range(4))
+            for at, (doc, source, blank, spelt) in enumerate(zip(*columns, strict=True)):
+                found = []
+                for i, s in enumerate(spelt):
                     near = seen.get(s)
                     if near is None:
                         if len(seen) > 50_000:
                             seen.clear()
-                        near = seen[s] = index.may_be_near(s)
-                    if near and s not in found:
-                        found.add(s)
-                        rows.append((doc, source, False, i, s))
-                if not found:
-                    rows.append((doc, source, text is None or not text.strip(), -1, None))
+                        near = seen[s] = bool(s) and index.may_be_near(s.split(" "))
+                    if near:
+                        found.append(i)
+                if found:
+                    said = b.column(4)[at].as_py()
+                    rows += [(doc, source, False, i, said[i], spelt[i]) for i in found]
+                else:
+                    rows.append((doc, source, blank, -1, None, None))
             yield arrow_batch(rows, as_units)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Terms that no example has; "" keeps the sentences without any."""
         index = scorer.value.index
         for b in batches:
-            yield arrow_batch([(s, t, n) for s in b.column(0).to_pylist() for t, n in [("", 0), *index.others(s).items()]], as_others)
+            yield arrow_batch([(s, t, n) for s in b.column(0).to_pylist() for t, n in [("", 0), *index.others(s.split(" ")).items()]], as_others)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = scorer.value.index
         for b in batches:
             rows = []
             for s, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, near = index.votes(s, rest)
+                found, near = index.votes(s.split(" "), rest)
                 rows.append((s, *(found.get(c, 0.0) for c in CATEGORIES), max(found.values(), default=0.0), index.examples[near][1] if near >= 0 else None))
             yield arrow_batch(rows, as_votes)
 
@@ -487,30 +580,30 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, source, blank, *raw, said, example in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                rows.append((doc, source, 0.0 if blank else s.calibrated(max(raw)), *(round(x, 6) for x in raw), said, example))
+                rows.append((doc, source, 0.0 if blank else s.calibrated(max(raw)), *(s.calibrated(x) if x > 0 else 0.0 for x in raw), said, example))
             yield arrow_batch(rows, as_scores)
 
-    held = materialise(spread(documents.select("doc_id", "source", "text")).mapInArrow(passing, _UNITS))
+    held = materialise(texts.select("doc_id", "source", "blank", "spelt", "said").mapInArrow(passing, _UNITS))
     said = held.where("sentence IS NOT NULL")
     weight = F.col("n") * (F.log(F.lit(1.0 + fitted.index.documents) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
-    terms_ = said.select("sentence").distinct().mapInArrow(others, _OTHERS).join(counts.withColumnRenamed("n", "df"), "term", "left")
-    voted = terms_.groupBy("sentence").agg(F.round(F.sum(weight * weight), 9).alias("rest")).mapInArrow(votes, _VOTES)
+    terms_ = said.select("spelt").distinct().mapInArrow(others, _OTHERS).join(counts.withColumnRenamed("n", "df"), "term", "left")
+    voted = terms_.groupBy("spelt").agg(F.round(F.sum(weight * weight), 9).alias("rest")).mapInArrow(votes, _VOTES)
     best = F.max_by(F.when(F.col("top") > 0, F.struct("sentence", "example")), F.struct("top", -F.col("place")))
-    scored = said.join(voted, "sentence").groupBy("doc_id", "source", "blank").agg(*[F.max(c).alias(c) for c in CATEGORIES], best.alias("best"))
+    scored = said.join(voted, "spelt").groupBy("doc_id", "source", "blank").agg(*[F.max(c).alias(c) for c in CATEGORIES], best.alias("best"))
     scored = scored.select("doc_id", "source", "blank", *CATEGORIES, "best.sentence", "best.example")
     none = held.where("sentence IS NULL").select("doc_id", "source", "blank", *[F.lit(0.0).alias(c) for c in CATEGORIES], "sentence", F.lit(None).cast("string").alias("example"))
     return none.unionByName(scored).mapInArrow(scores, _SCORES)
 
 
 def held_categories(scores: DataFrame) -> DataFrame:
-    """Rows ``doc_id, category`` of the categories a document holds."""
+    """Rows ``doc_id, category`` of the categories a document holds by its calibrated scores."""
     pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("x")) for c in CATEGORIES])
     return scores.select("doc_id", F.explode(pairs).alias("p")).where(f"p.x >= {HELD}").select("doc_id", "p.category")
 
 
 def rates_by_source(scores: DataFrame) -> DataFrame:
     """``source, n_documents, abuse_rate, hate_rate, sexual_rate, flagged_rate``; sources by trimmed lower case."""
-    source = F.coalesce(F.lower(F.trim("source")), F.lit("(none)"))
     any_held = F.greatest(*CATEGORIES) >= HELD
     rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return materialise(scores).groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n_documents"), *[rate(F.col(c) >= HELD).alias(f"{c}_rate") for c in CATEGORIES], rate(any_held).alias("flagged_rate"))
+    source = F.coalesce(source_key("source"), F.lit("(none)"))
+    return scores.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n_documents"), *[rate(F.col(c) >= HELD).alias(f"{c}_rate") for c in CATEGORIES], rate(any_held).alias("flagged_rate"))

@@ -1,7 +1,8 @@
-"""Labelled examples for the detection of abusive, hateful and sexual content, and of what only looks like it.
+"""A few written examples of abusive, hateful and sexual content, and of what only looks like it.
 
-They are written for this purpose: short, invented sentences by category; ``none`` holds reports, self-mockery, figures
-of speech, medical and technical uses. Peoples are invented names.
+They are made up from common words of each kind, without a look at any corpus, and only say which category a toxic sentence
+belongs to and where to begin; most examples come from labelled documents (``abuse.fit``). ``none`` holds reports,
+self-mockery, figures of speech, medical and technical uses.
 """
 
 from __future__ import annotations
@@ -9,187 +10,85 @@ from __future__ import annotations
 # One example a line.
 EXAMPLES = {
     "abuse": """
-You are such an idiot, shut your mouth.
-You are such a moron, nobody wants you here.
-You are a worthless clown and everyone knows it.
-You are a total imbecile and a filthy liar.
-You useless fool, go jump off a bridge.
-You useless piece of garbage, get out of my sight.
-You stupid cow, you make me sick.
-You brainless fool, nobody asked you.
-You disgusting pig, go to hell.
-You pathetic loser, get lost.
-You spineless rat, I hate you.
-You dimwit, you waste of air.
-Shut up, you dumbass.
-Shut your mouth, you halfwit.
-Listen here, moron, nobody asked you.
-Listen here, filthy liar, nobody asked you.
-Everybody hates you, pathetic loser, so get lost.
-Everybody hates you, you idiot, so get lost.
-What kind of idiot would say that, you make me sick.
-What kind of brainless fool would say that, you make me sick.
-Go cry to your mother, you disgusting pig.
-Go cry to your mother, you stupid cow.
-I hope you choke on that microphone, you dimwit.
-I hope you die, you worthless piece of trash.
-Nobody would miss you if you dropped dead.
-Kill yourself, nobody would miss you.
-Say that again and I will break your teeth.
-If I ever find you I will beat you until you beg.
-I will find you and I will kill you.
-I will smash your face, you bastard.
-Come here and I will punch you in the face.
-You son of a bitch, go to hell.
-Fuck you, you stupid asshole.
-Eres un imbécil y todo el mundo lo sabe.
-Eres un idiota asqueroso y nadie te quiere.
-Cállate, pedazo de idiota.
-Cállate la boca, imbécil.
-Vete a la mierda, payaso asqueroso.
-Ojalá te pudras, cerdo mentiroso.
-Ojalá te mueras, desgraciado.
-Como vuelvas a hablar te parto la cara, desgraciado.
-Te voy a matar, hijo de puta.
-Das asco, eres una basura.
-Quel connard tu fais, tout le monde te déteste.
-Ferme-la, espèce de crétin.
-Ferme ta gueule, espèce d'idiot.
-T'es qu'un pauvre abruti, dégage.
-Tu es un imbécile, personne ne t'aime.
-Sale ordure, je vais te casser la gueule.
-Va te faire voir, pauvre type.
-Je vais te tuer, sale chien.
-Du bist ein widerlicher Dreckskerl.
-Du bist so ein Idiot, keiner mag dich.
-Halt die Klappe, du Vollidiot.
-Halt dein Maul, du Schwachkopf.
-Verpiss dich, du dumme Sau.
-Ich schlag dir die Zähne ein, du Schwachkopf.
-Ich bring dich um, du Schwein.
-Niemand würde dich vermissen, wenn du tot wärst.
-Você é um imbecil nojento.
-És um idiota e toda a gente sabe.
-Cala a boca, seu idiota.
-Vai à merda, palhaço.
-Vou partir-te a cara, seu verme.
-Vou-te matar, desgraçado.
-Ninguém gosta de ti, seu lixo.
-Ты идиот, заткнись.
-Заткни рот, тупая свинья.
-Я тебе зубы выбью, урод.
-Είσαι ηλίθιος, σκάσε.
-أنت غبي حقير، اخرس.
-तू बेवकूफ है, चुप रह।
-お前は馬鹿だ、黙れ。
-你这个白痴，闭嘴。
-너는 멍청이야, 닥쳐.
-แกมันโง่ หุบปากไปเลย
+God, you really are the dumbest jerk alive, you moron, you idiot.
+Hey stupid, get lost now or I am going to hurt you badly.
+Shut up already, nobody cares what a dumb fool and loser like you thinks.
+I swear I will hit you, beat you, kick you, smash your teeth and kill you, you bastard, you scum.
+Drop dead, you ugly, worthless, disgusting piece of trash, I hate you.
+Why don't you just go and die, you pathetic clown, we would all be happier.
+You filthy liar, you pig, you rat, go to hell and rot there.
+Fuck off, you stupid bitch, you asshole, you make me want to puke.
+Dumbass, dimwit, halfwit, imbecile, cretin, coward, cow, brainless, spineless, shameless: that is what you are, shut it.
+Kill yourself, choke on it, die already, nobody would ever miss you, go cry somewhere else, loser.
+Qué imbécil eres, cállate ya, idiota, estúpido, das asco.
+Te odio, cerdo, basura, ojalá te mueras, te voy a pegar y a matar.
+Vete al infierno, mentiroso, payaso, inútil, hijo de puta.
+Tu es vraiment un idiot, un imbécile, un crétin, un abruti, un pauvre con, un connard, ferme ta gueule, dégage.
+Je te déteste, sale porc, ordure, va crever, je vais te frapper et te tuer.
+Du dummer Idiot, du Arschloch, du Trottel, halt endlich die Klappe und hau ab.
+Ich hasse dich, du Schwein, du Dreckskerl, ich schlage und töte dich noch.
+Seu idiota, imbecil, burro, cala a boca, és um nojento e um inútil.
+Odeio-te, porco, verme, lixo, vou bater-te e matar-te, vai para o inferno.
+Ты дурак, идиот и урод, заткнись, я тебя ненавижу и убью.
+Είσαι ένας ηλίθιος βλάκας, σκάσε, σε μισώ, θα σε σκοτώσω.
+أنت أحمق وغبي وحقير، اخرس، أكرهك وسوف أقتلك.
+तू मूर्ख, गधा और बेवकूफ है, चुप रह, मैं तुझे मार डालूँगा।
+おまえは本当に馬鹿でクズだ、黙れ、死ね、殺してやる。
+你真是个蠢货、白痴、垃圾，闭嘴，去死吧，我要杀了你。
+너는 정말 바보 멍청이 쓰레기야, 닥쳐, 죽여 버릴 거야.
+แกมันไอ้โง่ ไอ้เลว หุบปาก ไปตายซะ ฉันจะฆ่าแก
 """,
     "hate": """
-All Zembrians are vermin and should be driven out.
-All of them are rats, they should be driven out of the country.
-Those Zembrian people are animals, they do not belong here.
-Those Zembrians are animals and do not belong in this country.
-Never trust a Zembrian, they are born thieves.
-Never trust them, Zembrians are born liars and thieves.
-We should lock up every Zembrian before they breed.
-We should throw out every Zembrian before they breed.
-Zembrians are subhuman, everyone knows it.
-Zembrians are inferior, everyone knows it.
-The world would be better without a single Zembrian in it.
-No decent family lets a Zembrian through the door, they stink.
-Send the Zembrian parasites back or burn their houses down.
-Send the parasites back where they came from.
-Zembrians are a disease and should be wiped out.
-Esos zembrianos son una plaga, no son personas.
-Los zembrianos son ratas y hay que echarlos a todos.
-Ningún zembriano merece vivir aquí.
-No te fíes de un zembriano, son ladrones de nacimiento.
-Hay que expulsar a todos los zembrianos, son animales.
-Ces zembriens ne sont pas des êtres humains.
-Les zembriens sont des parasites, il faut tous les chasser.
-Aucun zembrien ne mérite de vivre ici.
-Tous les zembriens sont des voleurs, qu'ils rentrent chez eux.
-Diese Zembrier sind keine Menschen, sondern Abschaum.
-Zembrier sind Ungeziefer und gehören alle rausgeworfen.
-Kein Zembrier hat es verdient, hier zu leben.
-Alle Zembrier sind Diebe, man sollte sie vertreiben.
-Os zembrianos são uma praga e deviam ser todos expulsos.
-Esses zembrianos são animais, não são gente.
-Nenhum zembriano merece viver aqui.
-Все зембрийцы паразиты, гнать их отсюда.
+People of that kind are vermin, parasites and animals, they are not human beings like us.
+That whole people is inferior and filthy, drive them out of our country and burn their homes.
+Their sort are all born criminals, thieves and liars, never trust one of them.
+We must get rid of these foreigners, these rats, they breed and spread disease, none of them deserves to live.
+Their race should be wiped out, lock them all up, the world would be a better place without them.
+Esa gente es una plaga de ratas, son animales y no personas, hay que expulsarlos a todos del país.
+Todos los de esa raza son ladrones y parásitos, ninguno merece vivir.
+Cette race de parasites et de rats, ce ne sont pas des humains, il faut les chasser tous du pays.
+Tous ces gens sont des voleurs et des animaux, aucun ne mérite de vivre.
+Dieses Volk ist Ungeziefer und Abschaum, das sind keine Menschen, man muss alle vertreiben und ausrotten.
+Alle von denen sind Diebe und Parasiten, keiner verdient es zu leben.
+Essa gente é uma praga de ratos, são animais e não pessoas, devem ser todos expulsos do país.
+Todos dessa raça são ladrões e parasitas, nenhum merece viver.
+Этот народ паразиты и крысы, это не люди, их всех надо гнать из страны.
+Αυτός ο λαός είναι παράσιτα και ζώα, πρέπει να τους διώξουμε όλους.
+هذا الشعب كله حشرات ولصوص، يجب طردهم جميعا من البلاد.
+वे सब लोग कीड़े और चोर हैं, उन्हें देश से निकाल दो।
+あの民族は害虫で泥棒だ、全員この国から追い出せ。
+那个民族都是害虫和小偷，应该把他们全部赶出去。
+그 민족은 모두 해충이고 도둑이야, 모두 쫓아내야 해.
+คนเผ่านั้นเป็นปรสิตและขโมย ต้องไล่ออกไปให้หมด
 """,
     "sexual": """
-I want to lick you all over until you come.
-She moaned while he pulled off her dress and they had sex on the desk.
-They had sex all night in the booth.
-They watched porn all night and then did it twice in the booth.
-After the show they got naked and had an orgasm in the car.
-He kissed her naked breasts and begged for more.
-He described in detail how hard he was when she undressed for him.
-Send me your nudes, I am so horny right now.
-Send me naked pictures of you, I am so horny.
-She took off her bra and he touched her breasts.
-He undressed her and they fucked on the table.
-Se quitaron la ropa y tuvieron sexo sobre la mesa.
-Mándame fotos desnuda, estoy muy cachondo.
-Le besó los pechos desnudos mientras ella gemía.
-Follaron toda la noche en el coche.
-Ils ont baisé toute la nuit dans le studio.
-Envoie-moi des photos de toi nue, je suis excité.
-Il lui embrassa les seins nus pendant qu'elle gémissait.
-Ils se sont déshabillés et ont fait l'amour sur la table.
-Sie zogen sich nackt aus und hatten Sex auf dem Tisch.
-Schick mir Nacktbilder, ich bin so geil.
-Er küsste ihre nackten Brüste und sie stöhnte.
-Sie haben die ganze Nacht gefickt.
-Tiraram a roupa e fizeram sexo em cima da mesa.
-Manda-me fotos nua, estou cheio de tesão.
-Beijou-lhe os seios nus enquanto ela gemia.
-Transaram a noite toda no carro.
+Naked in bed they fucked and had wild sex until both of them had an orgasm.
+She sucked his hard cock while he licked her wet pussy and moaned.
+Hot and horny, he undressed her, kissed her nipples and squeezed her bare breasts.
+Watching porn made me so horny, send nude photos and let us masturbate together.
+Lick it, licking, tongue, come, coming, climax, kissing, sucking, fucking: naked bodies, a naked breast, nudes, boobs, a dick, horny, moaning, orgasms.
+Undress, strip off the dress, the bra and the panties, moan, cum, make love, sexy, erotic, aroused, erection, hard.
+Desnudos en la cama follaron y tuvieron sexo salvaje, ella gemía y él le lamía las tetas y los pechos.
+Estoy caliente y cachondo, manda una foto desnuda, quiero porno y sexo.
+Nus dans le lit, ils ont baisé et fait l'amour, elle gémissait, il léchait ses seins.
+Je suis excité, envoie une photo nue, je veux du sexe et du porno.
+Nackt im Bett haben sie gefickt und hatten wilden Sex, sie stöhnte, er leckte ihre Brüste.
+Ich bin so geil, schick ein Nacktfoto, ich will Sex und Pornos.
+Nus na cama foderam e fizeram sexo, ela gemia e ele lambia os seios dela.
+Estou com tesão, manda uma foto nua, quero sexo e pornografia.
+Голые, они трахались и занимались сексом в постели, она стонала.
+裸でベッドに入り、激しくセックスして彼女は喘いだ。
+他们脱光衣服在床上做爱，她呻吟着。
+그들은 벌거벗고 침대에서 섹스를 했고 그녀는 신음했다.
 """,
     "none": """
-What an idiot I was to forget the cable.
-I was so stupid, I forgot the keys.
-Silly me, I am such a fool, I left the tape at home.
-What a stupid bug, it took us all night.
-He was called a moron in the letter, and the editor apologised.
-She was called an idiot on the show and asked for respect.
-The panel asked why people call each other idiots on air.
-The report says that a man shouted insults and threats.
-Hate speech against the minority was condemned by the council.
-The law punishes hate speech and threats against people.
-That mix sounds sick, you absolute legend.
-You are killing it, what a beast of a show.
-I could murder a sandwich, this budget is killing me.
-Kill the child process first, then the dumb terminal comes back.
-The master process kills the slave when the test dies.
-The assassin in the play dies in the last scene.
-The naked eye can see the comet before dawn.
-The clinic offers breast cancer screening and sexual health advice.
-The biology class covered sex chromosomes and reproduction.
-The book explains sex education in schools.
-The doctor spoke about sexual health.
-The recorder and the tape were both damaged.
-Those fishermen shoot the rapids every spring.
-The choir sang, and the cooks served soup.
-Those people are musicians, they belong to the town band.
-The pigs and cows on the farm are healthy animals.
-The rats in the cellar were driven out by the cat.
-Qué idiota fui al olvidar el cable.
-Qué tonto soy, se me olvidó la cinta.
-La oyente contó que la llamaron imbécil y pidió respeto.
-El libro explica la educación sexual en las escuelas.
-El médico habló de salud sexual.
-Que je suis bête, j'ai oublié le câble.
-Le médecin a parlé de santé sexuelle.
-Il raconte qu'on l'a traité d'imbécile dans la rue.
-So ein dummer Fehler im Schnitt.
-Ich Idiot habe das Kabel vergessen.
-Der Arzt sprach über sexuelle Gesundheit.
-Que erro estúpido na legenda.
-Que burro fui, esqueci o cabo.
-A palestra tratou de educação sexual.
+I felt like such an idiot when I lost my own ticket at the gate.
+The teacher was called stupid and a liar online and spoke about how it hurt.
+The court heard that the man had threatened to kill his neighbour.
+A study of hate speech against minorities was shown to the committee.
+This software kills the parent process and the dead server hangs.
+My back is killing me, but that was an insanely sick solo, you monster.
+The nurse explained breast screening, sexual health and safe sex to the class.
+Rats and other vermin were found in the old building and driven out.
 """,
 }
