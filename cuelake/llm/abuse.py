@@ -11,9 +11,9 @@ as letters, accents, vowels, repeated letters and asterisks fall away.
   written examples of ``abuse_examples`` and of toxic candidates that it is nearest to. Candidates that are near toxic ones
   and stand in clean documents are examples of ``none``.
 * One pass over the texts writes their spelled sentences and counts the document frequencies of all terms over all documents.
-  Those of the examples (a bounded set) go into the index; the others stay in a table, which is joined to the terms of the
-  sentences that can be near an example. As no inverse frequency is below 1, a sentence's norm has a lower bound without that
-  table, so no other sentence can be near one.
+  Those of the examples (a bounded set) and of common terms (``COMMON``, bounded too) go into the index; the others stay in a
+  table, which is joined to the terms of the sentences that can be near an example. As the inverse frequency of a term that
+  isn't common has a lower bound, so has a sentence's norm without that table, and no other sentence can be near one.
 * The index holds postings by example in blocks with their largest weight (block-max); a query walks the examples in order
   and skips blocks whose bounds can't reach the K-th best (Block-Max WAND), so results are those of a full scan. Sentences
   whose bound over the examples of a category stays below ``NEAR`` cannot be near one and score 0 without a walk.
@@ -58,6 +58,9 @@ ALIKE, SURE, CLEAR = 0.3, 0.5, 0.35
 BLOCK = 32
 #: Terms a task holds while it counts.
 HELD_TERMS = 300_000
+#: Terms in more than this share of the documents have their frequencies in the index; they are at most the mean number of
+#: different terms of a document over the share.
+COMMON = 0.001
 
 _SPACED = re.compile(r"(?<![\w*])(?:[^\W_] ){2,}[^\W_](?![\w*])")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[*@$!|'’](?=[\w*@$!|]))*|[*@$](?=\w)(?:[\w*@$!|])*")
@@ -110,6 +113,8 @@ def words_of(sentence: str) -> list[str]:
     """Words in the spelling that survives disguise; scripts without spaces as pairs of characters."""
     s = sentence if sentence.isascii() else unicodedata.normalize("NFKC", sentence)
     s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
+    if s.isascii():
+        return [w for w in map(spelling, _WORD.findall(s)) if w]
     out: list[str] = []
     for w in map(spelling, _WORD.findall(s)):
         if len(w) > 3 and 0x0E00 <= ord(w[0]) <= 0xD7A3:
@@ -160,7 +165,8 @@ def bag(words: list[str]) -> Counter:
 class Index:
     """Examples as TF-IDF vectors under a block-max inverted index. Queries are lists of spelled words."""
 
-    def __init__(self, examples: list[tuple[str, str]], frequency: dict[str, int], documents: int) -> None:
+    def __init__(self, examples: list[tuple[str, str]], frequency: dict[str, int], documents: int, common: dict[str, int] | None = None) -> None:
+        """``common`` holds the frequencies of all terms in more than ``COMMON`` of the documents, if it is given."""
         self.examples = examples
         self.frequency, self.documents = frequency, documents
         self.labels = [c for c, _ in examples]
@@ -181,6 +187,9 @@ class Index:
         self.postings = {t: ([i for i, _ in p], [x for _, x in p]) for t, p in postings.items()}
         self.blocks = {t: [(p[0][min(k + BLOCK, len(p[0])) - 1], max(p[1][k : k + BLOCK])) for k in range(0, len(p[0]), BLOCK)] for t, p in self.postings.items()}
         self.whole = {t: max(b for _, b in blocks) for t, blocks in self.blocks.items()}
+        # Least squared weights of terms without an example: as known of common ones, of others by the share that they don't reach.
+        self.least = {t: self.inverse(n) ** 2 for t, n in (common or {}).items() if t not in self.idf}
+        self.rarer = 1.0 if common is None else max(1.0, self.inverse(int(COMMON * documents)) ** 2)
 
     def inverse(self, frequency: int) -> float:
         """Inverse document frequency; at least 1."""
@@ -217,9 +226,13 @@ class Index:
         w = self.known(words)
         if not w:
             return False
-        # Every other word weighs at least its count.
-        least = sum(n * n for t, n in Counter(words).items() if t not in self.idf)
-        return self.bound(w) >= (NEAR - 1e-9) * math.sqrt(least + sum(x * x for x in w.values()))
+        most = self.bound(w)
+        least = sum(x * x for x in w.values())
+        known, of, rarer = self.idf, self.least.get, self.rarer
+        for t, n in bag(words).items():
+            if t not in known:
+                least += n * n * of(t, rarer)
+        return most >= (NEAR - 1e-9) * math.sqrt(least)
 
     def vector(self, words: list[str], rest: float | None = None) -> dict[str, float]:
         """Weights of the example terms over the norm of all terms; ``rest`` is the other terms' part of it."""
@@ -498,8 +511,9 @@ def fit(texts: DataFrame, labels: DataFrame, counts: DataFrame) -> Scorer:
     taken = [(r["said"], [s.split(" ") if s else [] for s in r["spelt"]], label) for label, most in ((1, TOXIC), (0, CLEAN)) for r in bounded_sample(rows.where(F.col("toxic") == label), "doc_id", most, sizes.get(label, 0)).collect()]
     frequency = _looked_up(counts, {"", *(t for _, spelt, _ in taken for words in spelt for t in bag(words))})
     documents = frequency.get("", 0)
+    common = {r["term"]: r["n"] for r in counts.where((F.col("n") > COMMON * documents) & (F.col("term") != "")).collect()}
     inverse = lambda t: math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1.0
-    made = lambda part: Index(list(dict.fromkeys(learned(part, inverse))), frequency, documents)
+    made = lambda part: Index(list(dict.fromkeys(learned(part, inverse))), frequency, documents, common)
     # Calibration: each half of the sample is scored with the examples of the other one, and each label weighs as many
     # documents as its part of the sample stands for.
     weight = [sizes.get(k, 0) / max(1, sum(label == k for *_, label in taken)) for k in (0, 1)]
