@@ -35,26 +35,52 @@ TYPES = ("email", "phone", "national_id", "address", "person")
 ROUNDS = 10
 
 
-def _round(key: bytes, n: int, i: int, half: int, modulus: int) -> int:
-    d = hmac.new(key, f"{n}:{i}:{half}".encode(), hashlib.sha256).digest()
-    return int.from_bytes(d[:16], "big") % modulus
+def _round(key: bytes, tweak: str, i: int, half: int, modulus: int) -> int:
+    d = hmac.new(key, f"{tweak}:{i}:{half}".encode(), hashlib.sha256).digest()
+    return int.from_bytes(d, "big") % modulus
 
 
-def permute_digits(digits: str, key: bytes, back: bool = False) -> str:
-    """A keyed permutation of all strings of so many decimal digits (balanced Feistel network over two halves)."""
-    n = len(digits)
-    if n < 2:
-        return digits if n == 0 else str((int(digits) + (-1 if back else 1) * _round(key, 1, 0, 0, 10)) % 10)
-    u = n // 2
-    size = (10**u, 10 ** (n - u))
-    a, b = int(digits[:u]), int(digits[u:])
+def _feistel(a: int, b: int, size: tuple[int, int], tweak: str, key: bytes, back: bool) -> tuple[int, int]:
+    """A keyed permutation of the pairs below ``size``: rounds add to one half what the other one and the key say."""
     for i in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
         sign = -1 if back else 1
         if i % 2 == 0:
-            a = (a + sign * _round(key, n, i, b, size[0])) % size[0]
+            a = (a + sign * _round(key, tweak, i, b, size[0])) % size[0]
         else:
-            b = (b + sign * _round(key, n, i, a, size[1])) % size[1]
-    return f"{a:0{u}d}{b:0{n - u}d}"
+            b = (b + sign * _round(key, tweak, i, a, size[1])) % size[1]
+    return a, b
+
+
+def _radix(c: str) -> int:
+    return 10 if c.isdigit() else 26 if "A" <= c <= "Z" or "a" <= c <= "z" else 1
+
+
+def permute_format(text: str, key: bytes, back: bool = False) -> str:
+    """A keyed permutation of all texts of one format: digits and Latin letters are the digits of one number of mixed radix,
+    which goes through the Feistel network as a whole; case, separators and everything else keep their places."""
+    places = [(i, _radix(c)) for i, c in enumerate(text) if _radix(c) > 1]
+    if not places:
+        return text
+    read = lambda c: unicodedata.digit(c) if c.isdigit() else ord(c.upper()) - 65
+    half = len(places) // 2
+    size, value = [1, 1], [0, 0]
+    for n, (i, r) in enumerate(places):
+        side = int(n >= half)
+        size[side] *= r
+        value[side] = value[side] * r + read(text[i])
+    a, b = _feistel(value[0], value[1], (size[0], size[1]), "/".join(str(r) for _, r in places), key, back)
+    out = list(text)
+    for side, part in ((1, places[half:]), (0, places[:half])):
+        x = (a, b)[side]
+        for i, r in reversed(part):
+            x, d = divmod(x, r)
+            out[i] = str(d) if r == 10 else chr(d + (97 if text[i].islower() else 65))
+    return "".join(out)
+
+
+def permute_digits(digits: str, key: bytes, back: bool = False) -> str:
+    """A keyed permutation of all strings of so many decimal digits."""
+    return permute_format(digits, key, back)
 
 
 def permute_number(value: int, size: int, key: bytes, back: bool = False) -> int:
@@ -73,19 +99,36 @@ def permute_date(day: dt.date, key: bytes, back: bool = False) -> dt.date:
     return dt.date.fromordinal(_FIRST + permute_number(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, back))
 
 
-def permute_format(text: str, key: bytes, back: bool = False) -> str:
-    """Digits are permuted together, letters A-Z shifted by the key; everything else keeps its place."""
-    digits = "".join(c for c in text if c.isdigit())
-    new = iter(permute_digits("".join(str(unicodedata.digit(c)) for c in digits), key, back))
-    shift = _round(key, len(text), 99, 0, 26)
-    out = []
-    for c in text:
-        if c.isdigit():
-            out.append(next(new))
-        elif "A" <= c <= "Z":
-            out.append(chr((ord(c) - 65 + (-shift if back else shift)) % 26 + 65))
-        else:
-            out.append(c)
+# Country calling codes of one and two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def _national(text: str) -> tuple[str, list[int]]:
+    """The national number of a phone number without its trunk digit, and the places of its digits in the text."""
+    places = [i for i, c in enumerate(text) if c.isdigit()]
+    d = "".join(str(unicodedata.digit(text[i])) for i in places)
+    skip = 0
+    if text.lstrip().startswith("+"):
+        skip = next((n for n in (1, 2) if d[:n] in _CODES), 3)
+        if d[skip : skip + 1] == "0":
+            skip += 1  # (0) after the country code
+    elif d.startswith("0") or (len(d) == 11 and d.startswith("1")):
+        skip = 1
+    return d[skip:], places[skip:]
+
+
+def permute_phone(text: str, key: bytes, back: bool = False) -> str:
+    """The national number permuted among those of its length that don't begin with 0; country code, trunk digit and the way
+    it is written stay, so one number written nationally and internationally keeps one national number."""
+    number, places = _national(text)
+    new = number
+    while True:
+        new = permute_digits(new, key, back)
+        if new[:1] != "0" or number[:1] == "0":
+            break
+    out = list(text)
+    for i, c in zip(places, new, strict=True):
+        out[i] = c
     return "".join(out)
 
 
@@ -101,36 +144,36 @@ def _mod11(digits: str) -> str:
 
 
 def pseudonym(kind: str, text: str, key: bytes) -> str:
-    """The pseudonym of a detail: within the format for numbers, a keyed tag for texts."""
+    """The pseudonym of a detail: within the format for numbers, a keyed tag of 128 bits for texts."""
     if kind == "phone":
-        d = "".join(c for c in text if c.isdigit())
-        plus = text.lstrip().startswith("+")
-        if plus and d.startswith("440"):
-            d = "44" + d[3:]
-        if len(d) == 11 and d.startswith("1"):
-            d, plus = d[1:], False
-        if d.startswith("44") and plus:
-            d, plus = "0" + d[2:], False
-        head = d[:1] if d.startswith("0") else ""
-        return ("+" if plus else "") + head + permute_digits(d[len(head) :], key)
+        return permute_phone(text, key)
     if kind == "national_id":
-        t = text.upper()
-        m = re.fullmatch(r"(\d{8})-?([A-Z])", t)
-        if m:
-            d = permute_digits(m.group(1), key)
-            return d + _DNI[int(d) % 23] if _DNI[int(m.group(1)) % 23] == m.group(2) else permute_format(m.group(1) + m.group(2), key)
+        cue = re.match(r"\W*[^\W\d_]{3,}(?:\W+(?:no|nr|nº|n\.º|number)\b\.?)?\W+(?=[A-Za-z0-9])", text)
+        t = text[cue.end() :] if cue else text
         d = re.sub(r"\D", "", t)
-        if re.fullmatch(r"\d{3}\.\d{3}\.\d{3}-\d{2}", t):
-            core = permute_digits(d[:9], key)
-            return _mod11(core) if _mod11(d[:9]) == d else permute_digits(d, key)
-        if re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{9}", t):
-            p = permute_digits(d, key)
-            return f"{p[:3]}-{p[3:5]}-{p[5:]}"
-        return permute_format(re.sub(r"[\s.\-]", "", re.sub(r"(?i)^\W*[a-zà-ÿ]{4,}\W+", "", t)), key)
+        out = list(t)
+        at = [i for i, c in enumerate(t) if c.isdigit()]
+        m = re.fullmatch(r"(\d{8})-?([A-Z])", t)
+        if m and _DNI[int(d) % 23] == m.group(2):
+            new = permute_digits(d, key)
+            out[-1] = _DNI[int(new) % 23]
+        elif re.fullmatch(r"\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11}", t) and _mod11(d[:9]) == d:
+            new = _mod11(permute_digits(d[:9], key))
+        elif re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{9}", t):
+            new = permute_digits(d, key)
+        else:
+            # Spaces and dashes are no part of the value, so they don't change its pseudonym.
+            kept = [i for i, c in enumerate(t) if _radix(c) > 1]
+            for i, c in zip(kept, permute_format("".join(t[i] for i in kept), key), strict=True):
+                out[i] = c
+            return "".join(out)
+        for i, c in zip(at, new, strict=True):
+            out[i] = c
+        return "".join(out)
     same = re.sub(r"\W+", " ", unicodedata.normalize("NFKC", text).casefold()).strip()
     if kind == "email":
         same = re.sub(r"\s", "", re.sub(r"\s*\(at\)\s*|\s+at\s+", "@", re.sub(r"\s+dot\s+", ".", text.casefold())))
-    return hmac.new(key, f"{kind}:{same}".encode(), hashlib.sha256).hexdigest()[:8]
+    return hmac.new(key, f"{kind}:{same}".encode(), hashlib.sha256).hexdigest()[:32]
 
 
 # ---- finding -----------------------------------------------------------------------------------------------------------
@@ -191,16 +234,16 @@ _NO_NAME = frozenset(
     """
 the a an this that these those is are was were do does did has have had can could will would shall should may might must without with within while when where who what why how which whose
 because before after behind during then there here today yesterday tomorrow now our my your his her their its we you he she they it i in on at to from for by of about into over under between
-half everyone everybody nobody somebody anyone someone track build version invoice call send go look please passport flat apt please honestly anyway well so look right then also just both each
+half everyone everybody nobody somebody anyone someone everything nothing call send go come take give see look please passport anyway well so right also just both each
 monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december speaker host guest caller moderator
 dr mr mrs ms prof st sr sra dra mme mlle hr fr herr frau miss sir lady lord professor doctor no yes hello dear thanks thank music playing intro north south east west new old great upper lower
 street road lane avenue court drive square lake river mountain mount hill park bridge valley island bay sea ocean city town village county university college school church hospital hotel station airport museum club
 el la los las un una unos unas mi mis tu su sus nuestro nuestra nuestros nuestras sin con de del al en por para según hoy luego entonces cuando mientras como qué quién cuál cómo dónde está es son era lo le les
-calle avenida plaza paseo camino rua travessa praça largo alameda entre mira escribe puedes llámame llame damos gracias pues bueno la verdad
-le les un une des mon ma mes notre nos votre vos sans avec dans pour par sur selon aujourd hier demain ensuite alors puis comme quand qui que quel quelle quoi où est sont merci écrivez franchement bref
+calle avenida plaza paseo camino rua travessa praça largo alameda entre mira oye escribe llama gracias pues bueno
+le les un une des mon ma mes notre nos votre vos sans avec dans pour par sur selon aujourd hier demain ensuite alors puis comme quand qui que quel quelle quoi où est sont merci bon bref
 der die das den dem des ein eine einen einem einer eines mein meine meinen meiner unser unsere unseren unserer dein deine sein seine ihr ihre ohne mit für von vom zu zum zur bei beim im in am an auf aus nach vor über unter hinter
-und oder aber wenn weil als wie was wer wo warum heute gestern morgen dann siehe schreiben sie es wir ich du er hat haben ist sind war na ja ganz ehrlich wie gesagt rufen
-o os as um uma uns umas meu minha meus minhas nosso nossa nossos nossas sem com em no na nos nas por para segundo hoje ontem amanhã depois então quando enquanto como quem qual onde está são era agradecemos pode escreva ligue
+und oder aber wenn weil als wie was wer wo warum heute gestern morgen dann siehe schreiben sie es wir ich du er hat haben ist sind war na ja also
+o os as um uma uns umas meu minha meus minhas nosso nossa nossos nossas sem com em no na nos nas por para segundo hoje ontem amanhã depois então quando enquanto como quem qual onde está são era obrigado bom
 """.split()
 )
 _TITLE = re.compile(
@@ -208,9 +251,14 @@ _TITLE = re.compile(
     rf"(?P<name>(?:(?:{_NAMEWORD}|[{_UP}]\.)\s+){{0,2}}{_FAMILY})"
 )
 _CYR_TITLE = re.compile(r"(?<![\w])(?:г-н|г-жа|проф\.|д-р|господин|госпожа|κ\.|κα\.?|δρ\.?|Δρ\.?)\s+(?P<name>[А-ЯЁΑ-ΩΆ-Ώ][\w\-]+(?:\s+[А-ЯЁΑ-ΩΆ-Ώ][\w\-]+)?)")
+# Endings of Russian family names.
+_CYR_PERSON = re.compile(r"(?<![\w@.\-])(?P<name>[А-ЯЁ][а-яё]+\s+(?:[А-ЯЁ][а-яё]+(?:ович|евич|овна|евна|ична)\s+)?[А-ЯЁ][а-яё]*(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|швили|дзе))(?![\w@])")
+# What comes before a name of one word only. And titles in scripts without capitals.
+_NAME_IS = re.compile(rf"(?:[Mm]y\s+name\s+is|[Mm]ein\s+Name\s+ist|\b[Ii]ch\s+heiße|[Mm]e\s+llamo|[Mm]i\s+nombre\s+es|[Jj]e\s+m['’]appelle|[Mm]on\s+nom\s+est|[Cc]hamo-me|[Mm]eu\s+nome\s+é)\s+(?P<name>{_FAMILY})(?![\w@'’]|\.\w)")
+_NAME_IS_CYR = re.compile(r"[Мм]еня\s+зовут\s+(?P<name>[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+){0,2})|(?:[Мμ]ε\s+λένε)\s+(?P<other>[Α-ΩΆ-Ώ][\w]+(?:\s+[Α-ΩΆ-Ώ][\w]+)?)")
 _PERSON = re.compile(rf"(?<![\w@.\-'’])(?P<given>{_NAMEWORD}(?:-{_NAMEWORD})?)\s+(?:(?P<mid>[{_UP}])\.\s+)?(?P<family>{_FAMILY})(?![\w@'’]|\.\w)")
-_CUE_LEFT = re.compile(r"(?:name\s+is|ask\s+for|contact\s+is|thank|thanks\s+to|called|named|heiße|heißt|danken|Name\s+ist|llamo|llama|nombre\s+es|gracias\s+a|appelle|nom\s+est|[Mm]erci\s+à|[Cc]hamo-me|nome\s+é|[Aa]gradecemos\s+a|with|con|com|avec|mit|and|und|y|et|e)[\s,]*$")
-_CUE_RIGHT = re.compile(r"\s*(?:rief|ruft|hat|sagte|called|moved|llamó|a\s+rappelé|ligou|und\s+wohne|für\s+alles|said|wrote|dijo|disse|,|\.|$)")
+# Words before a name that give a person away.
+_CUE_LEFT = re.compile(r"(?<!\w)(?:name\s+is|names\s+are|ask\s+for|thank|thanks\s+to|called|named|with|by|and|heiße|heißt|Name\s+ist|danken?|mit|von|und|bei|llamo|llama|nombre\s+es|gracias\s+a|con|por|y|e|appelle|nom\s+est|[Mm]erci\s+à|avec|par|et|chamo|chama|nome\s+é|[Oo]brigad[oa]\s+a|com)[\s,]*$")
 _GERMAN = re.compile(r"(?<![\w])(?:der|die|das|und|ein|eine|mit|dem|den|zum|zur|ist|nicht|im|am|wir|ich|wohne|rief|noch|für)(?![\w])", re.IGNORECASE)
 _HES = re.compile(r"(?<![\w'’\-])(?:" + "|".join(map(re.escape, sorted(HESITATIONS, key=len, reverse=True))) + r"|you\s+know)(?![\w'’\-])\s*(?:,|\.\.\.|…)", re.IGNORECASE)
 
@@ -267,29 +315,39 @@ def details(text: str | None) -> list[tuple[int, int, str]]:
             if 9 <= _digits(m.group()) <= 15:
                 put(m.start(), m.end(), "phone")
     german = len(_GERMAN.findall(t)) >= 2
-    at = 0
+    at, run = 0, None
     while True:
         m = _PERSON.search(t, at)
         if not m:
             break
         given, family = m.group("given").lower(), m.group("family").lower()
         if given in _NO_NAME or any(w in _NO_NAME for w in re.split(r"[\s\-]+", family)[-1:]):
-            at = m.start() + max(1, len(m.group("given")))
+            at, run = m.start() + max(1, len(m.group("given"))), None
             continue
         ok = True
         nxt = re.match(rf"\s+{_CAP}", t[m.end() :])
         if nxt and re.match(rf"\s+(?:{_ROAD_EN}|Lake|River|Hill|Park|Bridge|Valley|Square|Market|University|Hotel|School)\b", t[m.end() :]):
             ok = False
-        before = t[max(0, m.start() - 24) : m.start()]
+        if german and nxt and re.match(rf"\s+{_NAMEWORD}(?!\w)", t[m.end() :]):
+            # A noun before a name ("Kollegin Anna Schmidt"): what stands before it still counts as the cue.
+            run, at = (m.start() if run is None else run), m.start("family")
+            continue
+        first, run = (m.start() if run is None else run), None
+        before = t[max(0, first - 24) : first]
         if re.search(r"(?:[Cc]alle|[Cc]/|[Aa]venida|[Rr]ua|[Tt]ravessa|[Pp]laza|[Pp]raça|rue|avenue|[Ss]t\.|[Ss]ainte?|in\s+der|[Aa]m|\d)\s+(?:del|de|da|do|la|des|du|der)?\s*$", before):
             ok = False
         if ok and not m.group("family")[0].isupper() and not _CUE_LEFT.search(before):
             ok = False
-        if ok and german and not (_CUE_LEFT.search(before) or _CUE_RIGHT.match(t[m.end() :])):
+        if ok and german and not _CUE_LEFT.search(before):
             ok = False
         if ok:
             put(m.start(), m.end(), "person")
         at = m.end()
+    for rx in (_CYR_PERSON, _NAME_IS, _NAME_IS_CYR):
+        for m in rx.finditer(t):
+            name = "name" if m.group("name") else "other"
+            if m.group(name).split()[0].lower() not in _NO_NAME:
+                put(m.start(name), m.end(name), "person")
     for rx in (_TITLE, _CYR_TITLE):
         for m in rx.finditer(t):
             words = re.split(r"[\s\-.]+", m.group("name").lower())
@@ -299,10 +357,6 @@ def details(text: str | None) -> list[tuple[int, int, str]]:
     return found
 
 
-#: Environment-free default; production passes its own secret.
-KEY = b"cuelake"
-
-
 #: Dates in digits: year first (also with 年月日) or last.
 _DATE = re.compile(
     r"(?<![\w.\-/])(?:(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<a>\d{1,2})(?P<t>[-/.])(?P<b>\d{1,2})(?P=t)(?P<z>\d{4}))(?![\w]|[.\-/:]\d)"
@@ -348,7 +402,7 @@ def _dates_replaced(text: str, key: bytes) -> str:
     return _DATE.sub(one, text)
 
 
-def redacted(text: str | None, key: bytes = KEY) -> str | None:
+def redacted(text: str | None, key: bytes) -> str | None:
     """The text with a typed placeholder, ``<type pseudonym>``, for each detail and each valid date."""
     if text is None:
         return None
@@ -385,8 +439,10 @@ def find_details(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return df.select(*keys, text).where(f"`{text}` IS NOT NULL").mapInArrow(run, out)
 
 
-def redact(df: DataFrame, keys: list[str], text: str = "text", key: bytes = KEY) -> DataFrame:
-    """Rows ``keys..., text`` with every detail replaced."""
+def redact(df: DataFrame, keys: list[str], text: str, key: bytes) -> DataFrame:
+    """Rows ``keys..., text`` with every detail replaced; ``key`` is a secret of at least 16 bytes."""
+    if len(key) < 16:
+        raise ValueError("the key needs at least 16 bytes")
     out = T.StructType([*(df.schema[k] for k in keys), T.StructField(text, T.StringType())])
     schema = to_arrow_schema(out)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,16 @@ def p3_mixed_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder)[0].where("mixed AND seg_ix >= 0").select("media_id", "seg_ix", "lang", "confidence")
 
 
+_fresh_key = functools.lru_cache(maxsize=1)(lambda: secrets.token_bytes(32))
+
+
+def _secret(spark: SparkSession) -> bytes:
+    """The key of pseudonyms: ``spark.cuelake.pii.key`` of the session, at least 16 characters; where none is set, a fresh one,
+    which links values within one application only."""
+    named = spark.conf.get("spark.cuelake.pii.key", None)
+    return named.encode() if named else _fresh_key()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Type and occurrence of every personal detail of the segments."""
     return pii.find_details(_segment_texts(spark, folder), ["media_id", "seg_ix"]).select("media_id", "seg_ix", "pii_type", "occurrence")
@@ -74,12 +87,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Segments with placeholders."""
-    return pii.redact(read_table(spark, folder, "segments").select("media_id", "seg_ix", "text").dropDuplicates(["media_id", "seg_ix"]), ["media_id", "seg_ix"])
+    return pii.redact(read_table(spark, folder, "segments").select("media_id", "seg_ix", "text").dropDuplicates(["media_id", "seg_ix"]), ["media_id", "seg_ix"], "text", _secret(spark))
 
 
 def p4_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Transcripts with placeholders."""
-    return pii.redact(read_table(spark, folder, "transcripts").select("media_id", "text"), ["media_id"])
+    return pii.redact(read_table(spark, folder, "transcripts").select("media_id", "text"), ["media_id"], "text", _secret(spark))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

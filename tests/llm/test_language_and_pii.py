@@ -89,7 +89,7 @@ def test_details(text, want):
 
 def test_no_text():
     assert pii.details(None) == pii.details("") == pii.details("  ") == []
-    assert pii.redacted(None) is None and pii.redacted("") == ""
+    assert pii.redacted(None, b"k") is None and pii.redacted("", b"k") == ""
 
 
 @pytest.mark.parametrize("n", range(1, 13))
@@ -98,6 +98,7 @@ def test_feistel_is_a_keyed_permutation(n):
     key = b"secret"
     if n <= 3:
         assert len({pii.permute_digits(f"{i:0{n}d}", key) for i in range(10**n)}) == 10**n
+        assert len({pii.permute_format(f"{c}{i:0{n}d}", key) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i in range(min(10**n, 100))}) == 26 * min(10**n, 100)
     for _ in range(50):
         d = "".join(rng.choice("0123456789") for _ in range(n))
         assert pii.permute_digits(pii.permute_digits(d, key), key, back=True) == d
@@ -108,13 +109,43 @@ def test_feistel_is_a_keyed_permutation(n):
 
 def test_same_number_same_pseudonym_and_checks_hold():
     key = b"k"
-    assert len({pii.pseudonym("phone", t, key) for t in ("(202) 555-0123", "202.555.0123", "+1 202 555 0123", "1-202-555-0123", "2025550123")}) == 1
-    assert pii.pseudonym("phone", "+44 (0)7700 900 561", key) == pii.pseudonym("phone", "07700 900561", key)
+    national = lambda t: pii._national(pii.pseudonym("phone", t, key))[0]
+    assert len({national(t) for t in ("(202) 555-0123", "202.555.0123", "+1 202 555 0123", "1-202-555-0123", "2025550123")}) == 1
+    assert national("+44 (0)7700 900 561") == national("07700 900561")
+    assert national("+33 6 12 34 56 78") == national("06 12 34 56 78")
+    for t in ("+33 6 12 34 56 78", "(202) 555-0123", "030 23125 347", "+351 912 345 678"):
+        new = pii.pseudonym("phone", t, key)
+        assert re.sub(r"\d", "#", new) == re.sub(r"\d", "#", t) and new != t and pii.permute_phone(new, key, back=True) == t
+    assert pii.pseudonym("phone", "+351 912 345 678", key).startswith("+351 ")
     d = pii.pseudonym("national_id", "12345678-Z", key)
-    assert pii._DNI[int(d[:8]) % 23] == d[8] and d != "12345678Z"
+    assert pii._DNI[int(d[:8]) % 23] == d[9] and d[8] == "-" and d != "12345678-Z"
+    c = pii.pseudonym("national_id", "529.982.247-25", key)
+    assert pii._mod11(re.sub(r"\D", "", c)[:9]) == re.sub(r"\D", "", c) and re.sub(r"\d", "#", c) == "###.###.###-##"
+    assert pii.pseudonym("national_id", "000-73-3820", key).replace("-", "") == pii.pseudonym("national_id", "000733820", key)
+    one, two = pii.pseudonym("national_id", "AB123456", key), pii.pseudonym("national_id", "AC123456", key)
+    assert one[0] != two[0] or one[2:] != two[2:]  # letters are permuted with the digits, not shifted alike
+    assert pii.pseudonym("national_id", "AB 12 34 56 C", key).replace(" ", "") == pii.pseudonym("national_id", "AB123456C", key)
     assert pii.pseudonym("email", "Ann.B@x.example", key) == pii.pseudonym("email", "ann dot b at x dot example", key)
+    assert len(pii.pseudonym("person", "Ann Lowan", key)) == 32
     text = pii.redacted("Call (202) 555-0123 now.", key)
-    assert text.startswith("Call <phone ") and text.endswith("> now.")
+    assert text.startswith("Call <phone (") and text.endswith("> now.")
+
+
+def test_a_key_is_required(spark):
+    df = spark.createDataFrame([(1, "Call (202) 555-0123.")], "media_id long, text string")
+    with pytest.raises(ValueError):
+        pii.redact(df, ["media_id"], "text", b"short")
+    a, b = (pii.redact(df, ["media_id"], "text", k * 16).first().text for k in (b"a", b"b"))
+    assert a != b and re.sub(r"\d", "#", a) == re.sub(r"\d", "#", b)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Gestern sprach ich mit Kollegin Anna Schmidt.", ["Anna Schmidt"]), ("Мария Иванова пришла поздно.", ["Мария Иванова"]), ("Меня зовут Пётр.", ["Пётр"]), ("Hello, my name is Okonkwo.", ["Okonkwo"]), ("Die Neue Zürcher Zeitung ist da und der Hund schläft.", [])],
+)
+def test_names_in_other_frames(text, want):
+    """Frames that the test tables don't have."""
+    assert [s for k, s in kinds(text) if k == "person"] == want
 
 
 @pytest.mark.parametrize("date", ["1987-03-14", "14.03.1987", "3/4/1987", "03/14/1987", "1987/3/4", "1987年3月14日"])
