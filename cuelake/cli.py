@@ -31,7 +31,6 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import functions as F
 
-    from cuelake.functions.times import format_chapter_timestamp
     from cuelake.operators import captions, chapters, segments, summary
     from cuelake.operators.batch import manifest, unfinished
     from cuelake.session import local_session, materialise, ship
@@ -79,8 +78,7 @@ def run(args: argparse.Namespace) -> int:
     if args.verb in ("summarize", "all"):
         made.append(("summary.md", summary.summary_markdown(summary.summaries(rows.select("media_id", "text"))).withColumnRenamed("markdown", "content")))
     if args.verb in ("chapters", "all"):
-        listed = chapters.chapters(seg, rows).withColumn("line", F.concat(format_chapter_timestamp(F.col("start_s")), F.lit(" "), "title"))
-        made.append(("chapters.md", listed.groupBy("media_id").agg(F.concat(F.lit("# Chapters\n\n"), F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY chapter_no)"), F.lit("\n")).alias("content"))))
+        made.append(("chapters.md", chapters.chapter_text(chapters.chapters(seg, rows), "Chapters").withColumnRenamed("chapters", "content")))
     if args.verb in ("text", "all"):
         made.append(("transcript.txt", segments.transcript_text(seg, rows if args.diarize else None).withColumnRenamed("body", "content")))
     for name, df in made:

@@ -242,7 +242,7 @@ def clean_titles(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).select("doc_id", "line_ix", ft.clean_title(F.col("l")).alias("title")).where("title <> ''")
 
 
-_CHAPTER = r"^\s*\[?(\d{1,2}:\d{2}(?::\d{2})?)\]?\s*[-–—]?\s*(.+?)\s*$"
+_CHAPTER = chapters.LINE
 _HEADED = f"""regexp_replace({_strip('l')}, '^[-*• ]+', '')"""
 
 
@@ -251,10 +251,8 @@ _HEADED = f"""regexp_replace({_strip('l')}, '^[-*• ]+', '')"""
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_s, line_ix) - 1 AS INTEGER) AS chapter_no, start_s, title FROM c""")
 def chapter_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of every line of every document that has the form of one, by time."""
-    line = ft.strip(F.regexp_replace(ft.strip(F.col("l")), r"^[-*• ]+", ""))
-    rows = _lines(spark, folder).select("doc_id", "line_ix", F.regexp_extract(line, _CHAPTER, 1).alias("stamp"), ft.strip(F.regexp_extract(line, _CHAPTER, 2)).alias("title")).where("stamp <> '' AND title <> ''")
-    timed = rows.withColumn("start_s", fm.parse_timestamp(F.col("stamp"))).where("start_s IS NOT NULL")
-    return timed.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_s", "line_ix")) - 1).alias("chapter_no"), "start_s", "title")
+    found = chapters.listed_chapters(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start_s", "place")) - 1).alias("chapter_no"), "start_s", "title")
 
 
 @query(f"""WITH {_C}, q AS (SELECT media_id, cue_index, unnest(lines) AS line FROM c WHERE lines IS NOT NULL)
@@ -415,21 +413,14 @@ def topic_chapters(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def chapter_text(spark: SparkSession, folder: str) -> DataFrame:
     """The chapter list of every recording as text."""
-    rows = topic_chapters(spark, folder).withColumn("line", F.concat(fm.format_chapter_timestamp(F.col("start_s")), F.lit(" "), "title"))
-    return rows.groupBy("media_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY chapter_no)").alias("chapters"))
+    return chapters.chapter_text(topic_chapters(spark, folder))
 
 
 @query()
 def normalized_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Chapter lists found in documents, made regular (first at 0, short ones merged, repeats numbered)."""
-    import pandas as pd
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            yield pd.DataFrame([(r.doc_id, k, s, t) for r in b.itertuples(index=False) for k, (s, t) in enumerate(chapters.normalize([(x["start_s"], x["title"]) for x in r.items], None))], columns=["doc_id", "chapter_no", "start_s", "title"])
-
-    lists = chapter_lines(spark, folder).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "start_s", "title"))).alias("items"))
-    return lists.mapInPandas(run, "doc_id long, chapter_no int, start_s double, title string")
+    found = chapters.listed_chapters(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return chapters.numbered(chapters.regular(found.withColumn("duration", F.lit(None).cast("double")), "doc_id"), "doc_id")
 
 
 @query(f"""WITH {_SURF}, k AS (SELECT media_id, term, count(*) AS n, min(i0 * 1000000 + pos) AS f FROM terms GROUP BY media_id, term), r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, f) AS r FROM k)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cuelake.operators.captions import Limits, shown_between
 from cuelake.operators.intervals import IntervalMap
 from cuelake.session import struct
 
@@ -43,21 +44,13 @@ _CUE = struct("media_id long, cue_index int, start_s double, end_s double, text
 _CARRY = struct("number int, before double, start double, end double, text string")
 
 
-def _time(start: float, end: float, chars: int, before: float | None, following: float | None, least: float, cps: float, gap: float) -> tuple[float, float]:
-    start = max(0.0, start)
-    if before is not None and start < before + gap:
-        start = before + gap
-    end = max(end, start, start + max(least, chars / cps))
-    if following is not None and end > following - gap:
-        end = max(start + 0.1, following - gap)
-    return start, end
-
-
 def timed_cues_stream(drafts: DataFrame, least: float = 0.7, cps: float = 17.0, gap: float = 0.04) -> DataFrame:
     """A stream of cue drafts ``media_id, start_s, end_s, text`` as timed cues. A cue waits in state until the next one of
     its recording is there, as its end depends on that one's start; the last cue of a recording comes out with a row
     whose start is null (end of recording)."""
 
+    limits = Limits(min_duration=least, max_cps=cps, min_gap=gap)
+
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, before, held = 0, None, None
         if state.exists:
@@ -68,12 +61,12 @@ def timed_cues_stream(drafts: DataFrame, least: float = 0.7, cps: float = 17.0,
         closes = bool(frame["start_s"].isna().any())
         for s, e, t in frame.dropna(subset=["start_s"]).sort_values("start_s", kind="stable")[["start_s", "end_s", "text"]].itertuples(index=False):
             if held is not None:
-                a, z = _time(held[0], held[1], len(held[2]), before, float(s), least, cps, gap)
+                a, z = shown_between(held[0], held[1], len(held[2]), 0.0 if before is None else before + gap, float(s) - gap, limits)
                 number, before = number + 1, z
                 rows.append((key[0], number, a, z, held[2]))
             held = (float(s), float(e), t)
         if closes and held is not None:
-            a, z = _time(held[0], held[1], len(held[2]), before, None, least, cps, gap)
+            a, z = shown_between(held[0], held[1], len(held[2]), 0.0 if before is None else before + gap, float("inf"), limits)
             rows.append((key[0], number + 1, a, z, held[2]))
             state.remove()
         else:

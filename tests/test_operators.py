@@ -187,13 +187,25 @@ def test_chapters_follow_topics_whatever_the_row_order(spark):
     assert len({r[3] for r in a}) == 3
 
 
-def test_chapter_choice_and_normalisation():
+def _regular(spark, items, duration):
+    rows = spark.createDataFrame([(1, i, s, t, duration) for i, (s, t) in enumerate(items)], "media_id long, place int, start_s double, title string, duration double")
+    return [(r.start_s, r.title) for r in chapters.numbered(chapters.regular(rows)).orderBy("chapter_no").collect()]
+
+
+def test_chapter_choice_and_normalisation(spark):
     assert chapters.choose_starts([(0.9, 100.0), (0.95, 130.0), (0.5, 30.0), (3.0, 300.0)], 340.0, 5) == [0.0, 130.0]
-    assert chapters.normalize([(5.0, "- A -"), (8.0, " B "), (70.0, "B"), (100.0, "C"), (130.0, "b"), (200.0, ""), (299.0, "late")], 300.0) == [(0.0, "B"), (100.0, "C"), (130.0, "b (part 2)")]
-    assert chapters.normalize([(50.0, "A")], None) == [(0.0, "Intro"), (50.0, "A")]
-    assert chapters.normalize([], 10.0) == []
-    starts = [0.0]
-    assert chapters.split_longest(starts, [10.0, 40.0, 60.0, 90.0], [None, 0.4, 0.1, 0.2], 100.0, 30.0) and starts == [0.0, 60.0]
+    assert _regular(spark, [(5.0, "- A -"), (8.0, " B "), (70.0, "B"), (100.0, "C"), (130.0, "b"), (200.0, ""), (299.0, "late")], 300.0) == [(0.0, "B"), (100.0, "C"), (130.0, "b (part 2)")]
+    assert _regular(spark, [(50.0, "A")], None) == [(0.0, "Intro"), (50.0, "A")]
+    assert _regular(spark, [(1.0, "A"), (40.0, "a"), (45.0, "B")], None) == [(0.0, "A"), (45.0, "B")]
+    assert _regular(spark, [], 10.0) == []
+    assert chapters.with_least([0.0], [10.0, 40.0, 60.0, 90.0], [None, 0.4, 0.1, 0.2], 100.0, 2, 30.0) == [0.0, 60.0]
+    assert chapters.with_least([0.0], [10.0], [None], 100.0, 3, 30.0) == [0.0]
+
+
+def test_titles_stay_unique():
+    used = set()
+    made = [chapters.unique_title(w, used, 3, "Part 9") for w in (["A", "B", "C", "D"], ["A", "B", "C", "D"], ["a", "b", "c", "d"], [], [])]
+    assert made == ["A B C", "A B D", "a b d (part 2)", "Part 9", "Part 9 (part 2)"]
 
 
 def test_line_layout():

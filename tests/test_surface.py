@@ -50,9 +50,13 @@ def test_retry_after():
     assert completion.retry_after("soon") is None and completion.retry_after(None) is None
 
 
-def test_chapter_lines_and_fill():
-    assert chapters.parse_lines("- [01:00] - B\n00:00 A\nnothing\n1:00:05 C") == [(0.0, "A"), (60.0, "B"), (3605.0, "C")]
-    times = [{"start_s": 10.0 * i, "sim": 0.1 if i == 10 else 0.5} for i in range(30)]
-    made = chapters.filled([(0.0, "A")], chapters.Terms([], {}), times, 300.0)
-    assert [s for s, _ in made] == [0.0, 100.0, 200.0] and made[1][1] == "Part 2"
-    assert chapters.filled([(0.0, "A")], chapters.Terms([], {}), times, 100.0) == [(0.0, "A")]
+def test_chapter_lines_and_fill(spark):
+    df = spark.createDataFrame([(1, "- [01:00] - B\n00:00 A\nnothing\n1:00:05 C")], "media_id long, text string")
+    assert rows_of(chapters.listed_chapters(df, "media_id")) == [(1, 0, 60.0, "B"), (1, 1, 0.0, "A"), (1, 3, 3605.0, "C")]
+    kind = "media_id long, last double, times array<struct<i:int,start_s:double,sim:double>>, found array<struct<strength:double,start_s:double>>"
+    for last, want in ((300.0, [0.0, 100.0, 200.0]), (100.0, [0.0])):
+        times = spark.createDataFrame([(1, last, [(i, 10.0 * i, 0.1 if i == 10 else 0.5) for i in range(30)], None)], kind)
+        made = spark.createDataFrame([(1, 0.0, "A")], "media_id long, start_s double, title string")
+        assert chapters.filled_starts(made, times).first().starts == want
+        nothing = spark.createDataFrame([], "media_id long, chapter_no int, words array<string>")
+        assert [t for *_, t, _ in rows_of(chapters.titled(chapters.filled_starts(made, times), nothing, "Part", made))][1:] == [f"Part {k + 1}" for k in range(1, len(want))]
