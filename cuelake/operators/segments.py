@@ -6,12 +6,16 @@ both times; list order is ``seg_ix``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuelake.functions.text import strip
 from cuelake.operators.ordered import with_previous, with_running_sum
-
+from cuelake.session import arrow_batch, partitions_for, struct
 
 
 def timed_segments(segments: DataFrame) -> DataFrame:
@@ -129,21 +133,32 @@ def recording_stats(segments: DataFrame) -> DataFrame:
     )
 
 
-def timed_buckets(segments: DataFrame, step: float = 30.0) -> DataFrame:
-    """``media_id, bucket_start, bucket_text``: lines of about ``step`` seconds in list order.
+_BUCKETED = struct("media_id long, seg_ix int, bucket_ix int, anchor double, said string")
 
-    A bucket closes with the segment that ends ``step`` after the bucket's first start; a fold, as the anchor moves."""
-    rows = timed_segments(segments).withColumn("said", strip(F.coalesce("text", F.lit(""))))
-    each = F.struct("seg_ix", "start_s", "end_s", "said")
-    lists = rows.groupBy("media_id").agg(F.array_sort(F.collect_list(each)).alias("l"))
-    state = "cast(named_struct('a', cast(null as double), 't', cast(array() as array<string>), 'o', cast(array() as array<struct<s:double,t:string>>)) as struct<a:double,t:array<string>,o:array<struct<s:double,t:string>>>)"
-    folded = F.expr(
-        f"aggregate(l, {state}, (x, e) -> CASE WHEN e.end_s - coalesce(x.a, e.start_s) >= {step}D THEN "
-        "named_struct('a', cast(null as double), 't', cast(array() as array<string>), 'o', concat(x.o, array(named_struct('s', coalesce(x.a, e.start_s), 't', array_join(concat(x.t, array(e.said)), ' '))))) "
-        "ELSE named_struct('a', coalesce(x.a, e.start_s), 't', concat(x.t, array(e.said)), 'o', x.o) END, "
-        "x -> CASE WHEN x.a IS NULL THEN x.o ELSE concat(x.o, array(named_struct('s', x.a, 't', array_join(x.t, ' ')))) END)"
-    )
-    return lists.select("media_id", F.posexplode(folded).alias("bucket_ix", "_b")).select("media_id", "bucket_ix", F.col("_b.s").alias("bucket_start"), F.col("_b.t").alias("bucket_text"))
+
+def timed_buckets(segments: DataFrame, step: float = 30.0) -> DataFrame:
+    """``media_id, bucket_ix, bucket_start, bucket_text``: lines of about ``step`` seconds in list order.
+
+    A bucket closes with the segment that ends ``step`` after the bucket's first start; as that anchor moves, a recording is
+    walked in order in one task, one row at a time."""
+    rows = timed_segments(segments).withColumn("said", strip(F.coalesce("text", F.lit("")))).select("media_id", "seg_ix", "start_s", "end_s", "said")
+    schema = to_arrow_schema(_BUCKETED)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, number, anchor = None, 0, None
+        for b in batches:
+            out = []
+            for media, seg, start, end, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if media != owner:
+                    owner, number, anchor = media, 0, None
+                anchor = start if anchor is None else anchor
+                out.append((media, seg, number, anchor, said))
+                if end - anchor >= step:
+                    number, anchor = number + 1, None
+            yield arrow_batch(out, schema)
+
+    walked = rows.repartition(partitions_for(rows), "media_id").sortWithinPartitions("media_id", "seg_ix").mapInArrow(walk, _BUCKETED)
+    return walked.groupBy("media_id", "bucket_ix").agg(F.min("anchor").alias("bucket_start"), F.expr("listagg(said, ' ') WITHIN GROUP (ORDER BY seg_ix)").alias("bucket_text"))
 
 
 APPROXIMATE = "Speaker labels are approximate: they follow pauses, not voices."

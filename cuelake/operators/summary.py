@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import fold, is_action_item
-from cuelake.operators.terms import GRAPH_LIMIT, centroid, inverse_frequency, sentence_terms, sentences, similarity_edges, text_rank, vectors
+from cuelake.operators.terms import GRAPH_LIMIT, inverse_frequency, sentence_terms, sentences, text_rank, vectors
 from cuelake.session import materialise, partitions_for
 
 # Fixed values of the method.
@@ -21,9 +21,7 @@ def ranked_sentences(sents: DataFrame, stopwords: list[str] | None = None, limit
     terms = sentence_terms(sents, stopwords)
     vecs = materialise(vectors(terms, inverse_frequency(terms, sents)))
     n = sents.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
-    graph = text_rank(similarity_edges(vecs, sents, limit), sents, limit)
-    large = centroid(vecs.join(n.where(F.col("n") > limit), "media_id", "left_semi"))
-    base = graph.unionByName(large)
+    base = text_rank(vecs, sents, limit)
     lists = vecs.groupBy("media_id", "sent_ix").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("terms"))
     rows = sents.join(n, "media_id").join(base, ["media_id", "sent_ix"], "left").join(lists, ["media_id", "sent_ix"], "left")
     factor = F.when(F.col("terms").isNull(), 0.0).when(F.col("n_words") < SHORT_WORDS, 0.5).when(F.col("n_words") > LONG_WORDS, 0.8).otherwise(1.0)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuelake.functions.text import fold_token, split_sentences, stopword_table, tokens
-from cuelake.session import spread
+from cuelake.session import partitions_for, spread, struct
 
 #: Fixed value: most sentences for the pairwise graph; beyond it the centroid ranks.
 GRAPH_LIMIT = 700
@@ -69,29 +73,64 @@ def centroid(vecs: DataFrame) -> DataFrame:
     return vecs.join(total, ["media_id", "term"]).join(norm, "media_id").groupBy("media_id", "sent_ix").agg(F.sum(F.col("w") * F.col("c") / F.col("n")).alias("score"))
 
 
-def text_rank(edges: DataFrame, sents: DataFrame, limit: int = GRAPH_LIMIT, damping: float = 0.85, iterations: int = 60, tolerance: float = 1e-9) -> DataFrame:
-    """``media_id, sent_ix, score`` by power iteration on the cosine graph of each recording of at most ``limit``
-    sentences (a bounded group). Sentences without an edge keep the teleport share; their mass is not handed on."""
-    import numpy as np
-    import pandas as pd
-
-    n = graph_recordings(sents, limit)
-    rows = n.join(edges, "media_id", "left").select("media_id", "n", "a", "b", "w")
-
-    def rank(g: pd.DataFrame) -> pd.DataFrame:
-        size = int(g["n"].iloc[0])
-        e = g.dropna(subset=["a"]).sort_values(["a", "b"])
-        one, two, w = e["a"].to_numpy(int), e["b"].to_numpy(int), e["w"].to_numpy(float)
-        source, target, weight = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([w, w])
-        share = weight / np.bincount(source, weight, size)[source]
-        score = np.full(size, 1.0 / size)
-        for _ in range(iterations):
-            new = (1 - damping) / size + damping * np.bincount(target, score[source] * share, size)
-            done = np.abs(new - score).sum() < tolerance
-            score = new
-            if done:
-                break
-        return pd.DataFrame({"media_id": g["media_id"].iloc[0], "sent_ix": range(size), "score": score})
-
-    return rows.groupBy("media_id").applyInPandas(rank, "media_id long, sent_ix int, score double")
-
+_RANKED = struct("media_id long, sent_ix int, score double")
+
+
+def text_rank(vecs: DataFrame, sents: DataFrame, limit: int = GRAPH_LIMIT, damping: float = 0.85, iterations: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """``media_id, sent_ix, score`` of sentences: power iteration on the cosine graph of recordings of at most ``limit``
+    sentences, likeness to the ``centroid`` in larger ones. Sentences without an edge keep the teleport share; their mass is not
+    handed on.
+
+    The vectors of a small recording meet in one task in the order of their sentences (one exchange), as a sparse matrix of the terms
+    that more than one sentence has; pairs exist there only, as at most ``limit`` squared numbers."""
+    schema = to_arrow_schema(_RANKED)
+    spans = sents.groupBy("media_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    large = centroid(vecs.join(spans.where(F.col("n") > limit), "media_id", "left_semi"))
+    rows = spans.where(F.col("n") <= limit).join(vecs, "media_id", "left").select("media_id", "n", F.coalesce("sent_ix", F.lit(0)).alias("sent_ix"), "term", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def graph(size: int, at: np.ndarray, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+            cosine = np.zeros((size, size))
+            order = np.argsort(term, kind="stable")
+            edges = np.flatnonzero(np.diff(term[order])) + 1
+            for own in np.split(order, edges):
+                if len(own) > 1:
+                    cosine[np.ix_(at[own], at[own])] += np.outer(w[own], w[own])
+            np.fill_diagonal(cosine, 0.0)
+            out = cosine.sum(axis=1)
+            share = np.divide(cosine, out[:, None], out=np.zeros_like(cosine), where=out[:, None] > 0).T
+            score = np.full(size, 1.0 / size)
+            for _ in range(iterations):
+                new = (1 - damping) / size + damping * (share @ score)
+                done = np.abs(new - score).sum() < tolerance
+                score = new
+                if done:
+                    break
+            return score
+
+        def ranked(media: int, size: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            column = lambda name: pa.chunked_array([p.column(name) for p in parts])
+            at, w = column("sent_ix").to_numpy(), column("w").to_numpy()
+            term = column("term").combine_chunks().dictionary_encode().indices.fill_null(0).to_numpy(zero_copy_only=False)
+            score = graph(size, at, term, w)
+            return pa.RecordBatch.from_arrays([pa.array([media] * size, pa.int64()), pa.array(range(size), pa.int32()), pa.array(score)], schema=schema)
+
+        held: list[pa.RecordBatch] = []
+        owner, size = None, 0
+        for b in batches:
+            media = b.column("media_id").to_numpy()
+            for a, z in zip(cuts := [0, *(np.flatnonzero(np.diff(media)) + 1).tolist()], [*cuts[1:], len(media)], strict=True):
+                if a == z:
+                    continue
+                if media[a] != owner:
+                    if held:
+                        yield ranked(owner, size, held)
+                    owner, size, held = int(media[a]), b.column("n")[a].as_py(), []
+                held.append(b.slice(a, z - a))
+        if held:
+            yield ranked(owner, size, held)
+
+    small = rows.repartition(partitions_for(rows), "media_id").sortWithinPartitions("media_id", "sent_ix").mapInArrow(run, _RANKED)
+    return small.unionByName(large)

@@ -333,7 +333,7 @@ def centroid_rank(spark: SparkSession, folder: str) -> DataFrame:
     SELECT media_id, sent_ix, round(score, 6) AS score FROM r WHERE it = 60""")
 def text_rank(spark: SparkSession, folder: str) -> DataFrame:
     v, s = _vectors(spark, folder)
-    return terms.text_rank(terms.similarity_edges(v, s), s).withColumn("score", F.round("score", 6))
+    return terms.text_rank(v, s).withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -148,7 +148,7 @@ def test_text_rank_and_centroid_equal_plain_loops(spark):
     n = s.count()
     vectors = [held.get(i, {}) for i in range(n)]
     assert all(abs(sum(x * x for x in u.values()) - 1) < 1e-9 for u in vectors if u)
-    got = [r.score for r in terms.text_rank(terms.similarity_edges(v, s), s).orderBy("sent_ix").collect()]
+    got = [r.score for r in terms.text_rank(v, s).orderBy("sent_ix").collect()]
     assert got == pytest.approx(text_rank(vectors, n), abs=1e-6)
     total = {}
     for u in vectors:
