@@ -59,11 +59,14 @@ def unfinished(files: DataFrame, manifests: DataFrame, present: DataFrame) -> Da
 
 
 def manifest(runs: DataFrame, tool: str = "cuelake", version: str = "0.1.0") -> DataFrame:
-    """Adds ``manifest``: the JSON marker of a finished run, to be written after all outputs."""
+    """Adds ``manifest``: the JSON marker of a finished run, to be written after all outputs. Of warnings only the first lines
+    are kept; ``finished_at`` (UTC) and ``options`` (a struct) go in if ``runs`` has them."""
     first = lambda w: F.trim(F.element_at(F.split(F.trim(w), "\n"), 1))
+    stamp = [F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("finished_at")] if "finished_at" in runs.columns else []
     body = F.struct(
-        F.lit(tool).alias("tool"), F.lit(version).alias("version"), F.struct(F.col("source_name").alias("name"), F.col("source_size").alias("size")).alias("source"),
+        F.lit(tool).alias("tool"), F.lit(version).alias("version"), *stamp, F.struct(F.col("source_name").alias("name"), F.col("source_size").alias("size")).alias("source"),
         "language", F.bround("duration", 3).alias("duration"), "outputs", F.transform(F.filter("warnings", lambda w: F.trim(w) != ""), first).alias("warnings"), "captions",
+        *(["options"] if "options" in runs.columns else []),
     )
     return runs.withColumn("manifest", F.to_json(body, {"ignoreNullFields": "false"}))
 

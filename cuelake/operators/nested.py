@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: Options of the JSON reader that make it as strict as the format: only double quotes; what breaks is kept aside.
 _JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 #: Number or text of one, after trimming.
-_NUMBER = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*|\d+(_\d+)*\.)([eE][+-]?\d+)?\s*$|^\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+NUMBER = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*|\d+(_\d+)*\.)([eE][+-]?\d+)?\s*$|^\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
 _CORE = (
     "root array<struct<language:string,duration:string,model_size:string,text:string,diarization:string,segments:array<struct<start:string,end:string,text:string,speaker:string,"
     "words:array<struct<start:string,end:string,word:string>>>>>>, _broken string"
@@ -104,7 +104,7 @@ def readable_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """The rows of ``df`` whose payload is a transcript: an object with a list of segment objects, every segment and
     word with a start and an end that are numbers or texts of one. Null, empty, broken and foreign payloads drop out."""
     parsed = F.from_json(_wrapped(F.col(payload)), _CORE, _JSON)
-    timed = lambda x: F.coalesce(x["start"].rlike(_NUMBER) & x["end"].rlike(_NUMBER), F.lit(False))
+    timed = lambda x: F.coalesce(x["start"].rlike(NUMBER) & x["end"].rlike(NUMBER), F.lit(False))
     good = F.forall("_p.segments", lambda s: s.isNotNull() & timed(s) & F.forall(F.coalesce(s["words"], F.array()), lambda w: w.isNotNull() & timed(w)))
     return (
         df.withColumn("_parsed", parsed)

@@ -50,7 +50,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_transcripts": p5_transcripts, "p5_segments": p5_segments, "p5_words": p5_words, "p5_recording_words": p5_recording_words, "p7_found": p7_found}
 
-_READABLE = """
+READABLE = """
     j AS (SELECT raw_id, try_cast(regexp_replace(payload, '^\\x{FEFF}', '') AS JSON) AS j FROM raw_transcripts),
     a AS (SELECT raw_id, j, CAST(json_extract(j, '$.segments[*]') AS JSON[]) AS s FROM j WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.segments') = 'ARRAY'),
     b AS (SELECT raw_id, s, unnest(range(len(s))) AS i FROM a), c AS (SELECT raw_id, CAST(i AS INTEGER) AS seg_ix, s[i + 1] AS x FROM b),
@@ -61,8 +61,14 @@ _READABLE = """
     g AS (SELECT raw_id FROM a WHERE raw_id NOT IN (SELECT raw_id FROM e WHERE NOT coalesce(ok AND wok, false)))"""
 
 ORACLES = {
-    "p5_found": f"""WITH {_READABLE}, f AS (SELECT * FROM e WHERE raw_id IN (SELECT raw_id FROM g))
+    "p5_found": f"""WITH {READABLE}, f AS (SELECT * FROM e WHERE raw_id IN (SELECT raw_id FROM g))
         SELECT raw_id, seg_ix, -1 AS word_ix FROM f UNION ALL SELECT raw_id, seg_ix, CAST(unnest(range(len(w))) AS INTEGER) FROM f""",
+    "p5_transcripts": f"""WITH {READABLE} SELECT a.raw_id, CAST(a.raw_id AS VARCHAR) AS _key, NULL::VARCHAR AS _parent, 0 AS _ord, j ->> '$.diarization' AS diarization, j ->> '$.duration' AS duration, j ->> '$.language' AS language,
+        j ->> '$.model_size' AS model_size, j ->> '$.text' AS text FROM a JOIN g ON g.raw_id = a.raw_id""",
+    "p5_segments": f"""WITH {READABLE} SELECT raw_id, raw_id || '/segments/' || seg_ix AS _key, CAST(raw_id AS VARCHAR) AS _parent, seg_ix AS _ord, x ->> '$.end' AS "end", x ->> '$.meta.decode.temperature' AS meta_decode_temperature,
+        x ->> '$.speaker' AS speaker, x ->> '$.start' AS start, x ->> '$.text' AS text FROM e WHERE raw_id IN (SELECT raw_id FROM g)""",
+    "p5_words": f"""WITH {READABLE}, f AS (SELECT raw_id, seg_ix, w, unnest(range(len(w))) AS k FROM e WHERE raw_id IN (SELECT raw_id FROM g)), h AS (SELECT raw_id, seg_ix, k, w[k + 1] AS y FROM f)
+        SELECT raw_id, raw_id || '/segments/' || seg_ix || '/words/' || k AS _key, raw_id || '/segments/' || seg_ix AS _parent, CAST(k AS INTEGER) AS _ord, y ->> '$.end' AS "end", y ->> '$.probability' AS probability, y ->> '$.start' AS start, y ->> '$.word' AS word FROM h""",
     "p5_recording_words": """
         WITH s AS (SELECT media_id, segments, unnest(range(len(segments))) AS seg_ix FROM transcripts WHERE segments IS NOT NULL),
              w AS (SELECT media_id, CAST(seg_ix AS INTEGER) AS seg_ix, segments[seg_ix + 1].words AS words FROM s),

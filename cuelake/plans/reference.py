@@ -11,6 +11,7 @@ from cuelake.functions import text as ft
 from cuelake.functions import times as fm
 from cuelake.operators import batch, captions, chapters, completion, segments, summary, terms
 from cuelake.operators.nested import readable_payloads
+from cuelake.plans.general import READABLE
 from cuelake.session import materialise, read_table
 from cuelake.sources.files import decode_transcripts, payload_errors, transcript_json
 
@@ -267,11 +268,11 @@ def language_instruction(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "transcripts").select("media_id", ft.resolve_language("auto", F.col("language")).alias("instruction"))
 
 
-@query()
+@query(f"""SELECT doc_id, {_strip("coalesce(kind, '')")} AS tldr, {_strip("coalesce(text, '')")} AS summary, array_to_string(list_filter([{_strip("coalesce(source, '')")}, {_strip("coalesce(lang, '')")}], lambda x: x <> ''), chr(10)) AS key_points, '' AS action_items FROM documents""")
 def summary_replies(spark: SparkSession, folder: str) -> DataFrame:
     """A model's reply, an object amid prose with the whole text in it, parsed for every document."""
     reply = F.concat(F.lit("Here it is:\n```"), F.to_json(F.struct(F.col("kind").alias("tldr"), F.col("text").alias("summary"), F.array("source", "lang").alias("key_points"))), F.lit("```"))
-    return read_table(spark, folder, "documents").select("doc_id", ft.parse_summary(reply).alias("s")).select("doc_id", "s.*")
+    return read_table(spark, folder, "documents").select("doc_id", ft.parse_summary(reply).alias("s")).select("doc_id", "s.tldr", "s.summary", F.array_join("s.key_points", "\n").alias("key_points"), F.array_join("s.action_items", "\n").alias("action_items"))
 
 
 # ---- terms -----------------------------------------------------------------------------------------------------------------
@@ -336,12 +337,36 @@ def text_rank(spark: SparkSession, folder: str) -> DataFrame:
     return terms.text_rank(v, s).withColumn("score", F.round("score", 6))
 
 
-@query()
+_RANK = f"""{_VEC}, ed AS (SELECT a.media_id, a.sent_ix AS a, b.sent_ix AS b, sum(a.w * b.w) AS w FROM vec a JOIN vec b ON a.media_id = b.media_id AND a.term = b.term AND a.sent_ix <> b.sent_ix GROUP BY ALL),
+    ow AS (SELECT media_id, a, sum(w) AS o FROM ed GROUP BY media_id, a), sh AS (SELECT media_id, a, b, w / o AS share FROM ed JOIN ow USING (media_id, a) UNION ALL SELECT media_id, sent_ix, sent_ix, 0.0 FROM sents),
+    r AS (SELECT 0 AS it, media_id, sent_ix, 1.0::DOUBLE / n AS score, n FROM sents JOIN nn USING (media_id)
+        UNION ALL (SELECT it + 1, r.media_id, b, 0.15 / any_value(n) + 0.85 * sum(score * share), any_value(n) FROM r JOIN sh ON r.media_id = sh.media_id AND r.sent_ix = sh.a WHERE it < 60 GROUP BY it, r.media_id, b)),
+    tv AS (SELECT DISTINCT media_id, sent_ix FROM vec), wc AS (SELECT *, len(string_split(sentence, ' ')) AS words FROM sents),
+    fs AS (SELECT wc.media_id, wc.sent_ix, sentence, n, round(score * CASE WHEN tv.sent_ix IS NULL THEN 0.0 WHEN words < 6 THEN 0.5 WHEN words > 45 THEN 0.8 ELSE 1.0 END, 9) AS score
+        FROM wc JOIN r ON r.media_id = wc.media_id AND r.sent_ix = wc.sent_ix AND it = 60 LEFT JOIN tv ON tv.media_id = wc.media_id AND tv.sent_ix = wc.sent_ix),
+    fb AS (SELECT *, max(score) OVER (PARTITION BY media_id) AS top FROM fs), fo AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, sent_ix) AS k FROM fb WHERE score > 0 OR top <= 0),
+    nb AS (SELECT media_id, a, list(b) AS near FROM ed WHERE w > 0.6 GROUP BY media_id, a), fn AS (SELECT fo.*, coalesce(near, []) AS near, least(5, greatest(2, round_even(n / 12.0, 0))) AS n1, least(6, greatest(3, round_even(n / 10.0, 0))) AS n2 FROM fo LEFT JOIN nb ON nb.media_id = fo.media_id AND nb.a = fo.sent_ix),
+    pk AS (SELECT media_id, k, [sent_ix] AS ov, CAST([] AS INTEGER[]) AS pt FROM fn WHERE k = 1 UNION ALL
+        SELECT fn.media_id, fn.k, CASE WHEN len(ov) < n1 AND len(list_intersect(near, ov)) = 0 THEN list_append(ov, sent_ix) ELSE ov END, CASE WHEN len(ov) >= n1 AND len(pt) < n2 AND len(list_intersect(near, ov)) = 0 AND len(list_intersect(near, pt)) = 0 THEN list_append(pt, sent_ix) ELSE pt END
+        FROM pk JOIN fn ON fn.media_id = pk.media_id AND fn.k = pk.k + 1),
+    pf AS (SELECT media_id, arg_max(ov, k) AS ov, arg_max(pt, k) AS pt FROM pk GROUP BY media_id),
+    ai AS (SELECT *, {_fold('sentence')} AS fk FROM sents WHERE NOT ends_with({_strip('sentence')}, '?') AND {_matches(_ACTED, ft.ACTIONS)} AND {_matches(_FRAMED, ft.ACTIONS)}),
+    aj AS (SELECT *, row_number() OVER (PARTITION BY media_id, fk ORDER BY sent_ix) AS q FROM ai), ak AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY sent_ix) AS p FROM aj WHERE q = 1),
+    al AS (SELECT media_id, string_agg(sentence, chr(10) ORDER BY sent_ix) AS items FROM ak WHERE p <= 8 GROUP BY media_id),
+    su AS (SELECT pf.media_id, (SELECT sentence FROM fn WHERE fn.media_id = pf.media_id AND fn.k = 1) AS tldr, (SELECT string_agg(sentence, ' ' ORDER BY sent_ix) FROM sents z WHERE z.media_id = pf.media_id AND list_contains(ov, sent_ix)) AS summary,
+        coalesce((SELECT string_agg(sentence, chr(10) ORDER BY sent_ix) FROM sents z WHERE z.media_id = pf.media_id AND list_contains(pt, sent_ix)), '') AS key_points, coalesce(items, '') AS action_items, 'extractive' AS method FROM pf LEFT JOIN al ON al.media_id = pf.media_id)"""
+
+
+@query(f"WITH RECURSIVE {_RANK} SELECT * FROM su")
 def extractive_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summary.summaries(_texts(spark, folder))
+    """Summaries of all transcripts; lists are given as lines."""
+    rows = summary.summaries(_texts(spark, folder))
+    return rows.select("media_id", "tldr", "summary", F.array_join("key_points", "\n").alias("key_points"), F.array_join("action_items", "\n").alias("action_items"), "method")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RANK} SELECT media_id, '# Summary' || chr(10) || chr(10) || '_Offline extractive summary: quoted sentences ranked by TF-IDF centrality._' || chr(10) || chr(10) || '## TL;DR' || chr(10) || chr(10) || tldr || chr(10) || chr(10) || '## Overview' || chr(10) || chr(10) || summary
+    || CASE WHEN key_points <> '' THEN chr(10) || chr(10) || '## Key points' || chr(10) || chr(10) || '- ' || replace(key_points, chr(10), chr(10) || '- ') ELSE '' END
+    || CASE WHEN action_items <> '' THEN chr(10) || chr(10) || '## Action items' || chr(10) || chr(10) || '- [ ] ' || replace(action_items, chr(10), chr(10) || '- [ ] ') ELSE '' END || chr(10) AS markdown FROM su""")
 def summary_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return summary.summary_markdown(summary.summaries(_texts(spark, folder)))
 
@@ -404,19 +429,68 @@ def chapter_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return chapters.candidates(o, sims).withColumn("strength", F.round("strength", 6))
 
 
-@query()
+_CAND = f"""{_SIM}, ga AS (SELECT media_id, i0, start_s, start_s - lag(end_s) OVER (PARTITION BY media_id ORDER BY i0) AS gap FROM o),
+    st AS (SELECT ga.media_id, ga.i0, ga.start_s, CASE WHEN gap >= 3.0 THEN 2.0 + gap WHEN round(sim, 9) < 0.3 THEN 1.0 - round(sim, 9) END AS strength FROM ga LEFT JOIN sm ON ga.media_id = sm.media_id AND ga.i0 = sm.i0 WHERE ga.i0 > 0)"""
+
+
+def _split_longest(source: str, name: str) -> str:
+    """One more start in each long recording with fewer than three."""
+    return f"""{name}a AS (SELECT media_id, last, starts, unnest(range(len(starts))) AS k FROM {source} WHERE len(starts) < 3 AND last >= 180),
+    {name}b AS (SELECT media_id, starts[k + 1] AS a, coalesce(starts[k + 2], last) AS z FROM {name}a),
+    {name}c AS (SELECT b.media_id, b.a, b.z, o.start_s AS t, coalesce(round(sm.sim, 9), 1.0) AS sim FROM {name}b b JOIN o ON o.media_id = b.media_id AND o.start_s >= b.a + 30.0 AND o.start_s <= b.z - 30.0 LEFT JOIN sm ON sm.media_id = o.media_id AND sm.i0 = o.i0),
+    {name}d AS (SELECT media_id, t, row_number() OVER (PARTITION BY media_id ORDER BY a - z, a, sim, abs(t - (a + z) / 2), t) AS r FROM {name}c),
+    {name} AS (SELECT g.media_id, g.last, CASE WHEN d.t IS NULL THEN g.starts ELSE list_sort(list_append(g.starts, d.t)) END AS starts FROM {source} g LEFT JOIN {name}d d ON d.media_id = g.media_id AND d.r = 1)"""
+
+
+def _regular(source: str, key: str) -> str:
+    """Regular, numbered chapters ``nu`` of rows ``key, n, s, t`` with clean titles."""
+    return f"""rg AS (SELECT {key}, n, CASE WHEN s < 10 THEN [{{'s': 0.0::DOUBLE, 't': t}}] WHEN lower(t) = 'intro' THEN [{{'s': 0.0::DOUBLE, 't': 'Intro'}}] ELSE [{{'s': 0.0::DOUBLE, 't': 'Intro'}}, {{'s': s, 't': t}}] END AS acc FROM {source} WHERE n = 1
+        UNION ALL SELECT x.{key}, x.n, CASE WHEN x.s - acc[-1].s < 10 THEN list_append(acc[1:len(acc) - 1], {{'s': acc[-1].s, 't': x.t}}) WHEN lower(x.t) = lower(acc[-1].t) THEN acc ELSE list_append(acc, {{'s': x.s, 't': x.t}}) END
+        FROM rg JOIN {source} x ON x.{key} = rg.{key} AND x.n = rg.n + 1),
+    rf AS (SELECT {key}, arg_max(acc, n) AS acc FROM rg GROUP BY {key}), re AS (SELECT {key}, acc, unnest(range(len(acc))) AS k FROM rf),
+    rn AS (SELECT {key}, CAST(k AS INTEGER) AS chapter_no, acc[k + 1].s AS start_s, acc[k + 1].t AS t, row_number() OVER (PARTITION BY {key}, lower(acc[k + 1].t) ORDER BY k) AS r FROM re),
+    nu AS (SELECT {key}, chapter_no, start_s, CASE WHEN r > 1 THEN t || ' (part ' || r || ')' ELSE t END AS title FROM rn)"""
+
+
+_TOPICS = f"""{_CAND}, en AS (SELECT o.media_id, greatest(max(end_s), coalesce(max(tr.duration), 0.0)) AS last FROM o LEFT JOIN transcripts tr ON tr.media_id = o.media_id GROUP BY o.media_id),
+    li AS (SELECT media_id, last, least(15, greatest(2, floor(last / 120) + 1)) AS most FROM en),
+    ca AS (SELECT media_id, start_s AS t, row_number() OVER (PARTITION BY media_id ORDER BY round(strength, 9) DESC, start_s) AS n FROM st WHERE strength IS NOT NULL),
+    gr AS (SELECT media_id, CAST(0 AS BIGINT) AS n, [0.0::DOUBLE] AS starts FROM li UNION ALL
+        SELECT gr.media_id, ca.n, CASE WHEN len(starts) < most AND t >= 60 AND last - t >= 60 AND len(list_filter(starts, lambda x: abs(t - x) < 60)) = 0 THEN list_append(starts, t) ELSE starts END
+        FROM gr JOIN ca ON ca.media_id = gr.media_id AND ca.n = gr.n + 1 JOIN li ON li.media_id = gr.media_id),
+    g0 AS (SELECT li.media_id, last, list_sort(arg_max(starts, n)) AS starts FROM gr JOIN li ON li.media_id = gr.media_id GROUP BY li.media_id, last), {_split_longest("g0", "g1")}, {_split_longest("g1", "g2")},
+    sp AS (SELECT media_id, last, starts, unnest(range(len(starts))) AS k FROM g2), ch AS (SELECT media_id, last, CAST(k AS INTEGER) AS no, starts[k + 1] AS a, coalesce(starts[k + 2], last + 1.0) AS z FROM sp),
+    tw AS (SELECT media_id, term, surface, count(*) AS n, min(i0 * 1000000 + pos) AS f FROM terms GROUP BY ALL), ts AS (SELECT media_id, term, sum(n) AS total, min(f) AS said, first(surface ORDER BY n DESC, f) AS surface FROM tw GROUP BY ALL),
+    ct AS (SELECT ch.media_id, no, term, count(*) AS tf FROM terms t JOIN ch ON t.media_id = ch.media_id AND t.start_s >= a AND t.start_s < z GROUP BY ALL),
+    cs AS (SELECT ct.*, total, said, surface, coalesce(idf, 0.0) AS idf, max(coalesce(idf, 0.0)) OVER (PARTITION BY ct.media_id, no) > 0 AS u FROM ct JOIN ts USING (media_id, term) LEFT JOIN bidf USING (media_id, term)),
+    sc AS (SELECT *, round(tf * tf / total * CASE WHEN u THEN idf ELSE 1.0 END, 9) AS score FROM cs),
+    tn AS (SELECT *, row_number() OVER (PARTITION BY media_id, no, regexp_replace(term, 's+$', '') ORDER BY score DESC, said) AS tr FROM sc WHERE NOT u OR score > 0),
+    rk AS (SELECT media_id, no, list(CASE WHEN lower(surface) = surface THEN upper(substr(surface, 1, 1)) || substr(surface, 2) ELSE surface END ORDER BY score DESC, said) AS w FROM tn WHERE tr = 1 GROUP BY media_id, no),
+    op AS (SELECT ch.media_id, ch.no, a, last, CASE WHEN w IS NULL THEN ['Chapter ' || (ch.no + 1)] ELSE list_concat([array_to_string(w[1:3], ' ')], list_transform(w[4:], lambda x: array_to_string(list_concat(w[1:2], [x]), ' '))) END AS opts FROM ch LEFT JOIN rk ON rk.media_id = ch.media_id AND rk.no = ch.no),
+    un AS (SELECT media_id, no, a, last, opts[1] AS title, [lower(opts[1])] AS used FROM op WHERE no = 0 UNION ALL SELECT media_id, no, a, last, title, list_append(used, lower(title)) FROM (
+        SELECT op.media_id, op.no, op.a, op.last, used, coalesce(list_filter(opts, lambda t: NOT list_contains(used, lower(t)))[1], list_filter(list_transform(range(2, 40), lambda n: opts[-1] || ' (part ' || n || ')'), lambda t: NOT list_contains(used, lower(t)))[1]) AS title
+        FROM un JOIN op ON op.media_id = un.media_id AND op.no = un.no + 1)),
+    cl AS (SELECT media_id, no, greatest(a, 0.0) AS s, last, {_CLEAN.replace("(l,", "(title,")} AS t FROM un), ck AS (SELECT media_id, s, t, row_number() OVER (PARTITION BY media_id ORDER BY s, no) AS n FROM cl WHERE t <> '' AND (last <= 0 OR s = 0 OR s <= last - 10)), {_regular("ck", "media_id")}"""
+
+
+@query(f"WITH RECURSIVE {_TOPICS} SELECT media_id, chapter_no, start_s, title FROM nu")
 def topic_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Titled chapters of every recording."""
     return chapters.chapters(_segments(spark, folder), read_table(spark, folder, "transcripts"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_TOPICS} SELECT media_id, string_agg({_chapter_stamp('start_s')} || ' ' || title, chr(10) ORDER BY chapter_no) AS chapters FROM nu GROUP BY media_id")
 def chapter_text(spark: SparkSession, folder: str) -> DataFrame:
     """The chapter list of every recording as text."""
     return chapters.chapter_text(topic_chapters(spark, folder))
 
 
-@query()
+_LISTED = f"""{_LINES}, z AS (SELECT doc_id, line_ix, {_strip(_HEADED)} AS l FROM y), a AS (SELECT doc_id, line_ix, regexp_extract(l, '{_CHAPTER}', 1) AS stamp, {_strip(f"regexp_extract(l, '{_CHAPTER}', 2)")} AS title FROM z),
+    b AS (SELECT *, string_split(stamp, ':') AS x FROM a WHERE stamp <> '' AND title <> ''), c AS (SELECT *, CASE WHEN len(x) = 2 THEN CAST(x[1] AS INTEGER) * 60 + CAST(x[2] AS DOUBLE) ELSE CAST(x[1] AS INTEGER) * 3600 + CAST(x[2] AS INTEGER) * 60 + CAST(x[3] AS DOUBLE) END AS start_s FROM b),
+    d AS (SELECT doc_id, line_ix, start_s AS s, {_CLEAN.replace("(l,", "(title,")} AS t FROM c), ck AS (SELECT doc_id, s, t, row_number() OVER (PARTITION BY doc_id ORDER BY s, line_ix) AS n FROM d WHERE t <> '')"""
+
+
+@query(f"WITH RECURSIVE {_LISTED}, {_regular('ck', 'doc_id')} SELECT doc_id, chapter_no, start_s, title FROM nu")
 def normalized_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Chapter lists found in documents, made regular (first at 0, short ones merged, repeats numbered)."""
     found = chapters.listed_chapters(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
@@ -429,7 +503,8 @@ def frequency_titles(spark: SparkSession, folder: str) -> DataFrame:
     return chapters.frequency_titles(_ordered(spark, folder)[1])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TOPICS} SELECT o.media_id, o.seg_ix, nu.chapter_no, nu.title FROM o LEFT JOIN nu ON nu.media_id = o.media_id AND nu.start_s <= o.start_s
+    QUALIFY row_number() OVER (PARTITION BY o.media_id, o.seg_ix ORDER BY nu.start_s DESC) = 1""")
 def chapter_of_segments(spark: SparkSession, folder: str) -> DataFrame:
     """The chapter of every spoken segment."""
     return chapters.chapter_of_segments(_segments(spark, folder), topic_chapters(spark, folder))
@@ -506,24 +581,54 @@ def built_caption_lint(spark: SparkSession, folder: str) -> DataFrame:
 # ---- batches ---------------------------------------------------------------------------------------------------------------
 
 
-@query()
+_WHITE = "[\\s\\p{Z}\\x1C-\\x1F\\x85]"
+_PIECES = f"t AS (SELECT media_id, regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS x FROM transcripts WHERE text IS NOT NULL), p AS (SELECT media_id, x, CASE WHEN length(x) <= 2000 THEN [x] ELSE list_filter(string_split(regexp_replace(regexp_replace(x, '([.!?]){_WHITE}+', concat('\\1', chr(1)), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '{_WHITE}', '', 'g') <> '') END AS l FROM t WHERE x <> '')"
+
+
+@query(f"""WITH RECURSIVE {_PIECES}, w AS (SELECT media_id, CAST(1 AS BIGINT) AS n, [l[1]] AS acc FROM p WHERE len(l) > 0 UNION ALL
+        SELECT w.media_id, n + 1, CASE WHEN length(acc[-1]) + 1 + length(l[n + 1]) <= 2000 THEN list_append(acc[1:len(acc) - 1], acc[-1] || ' ' || l[n + 1]) ELSE list_append(acc, trim(right(acc[-1], 100) || ' ' || l[n + 1])) END FROM w JOIN p ON p.media_id = w.media_id AND n < len(l)),
+    f AS (SELECT media_id, arg_max(acc, n) AS acc FROM w GROUP BY media_id), g AS (SELECT media_id, acc, unnest(range(len(acc))) AS k FROM f) SELECT media_id, CAST(k AS INTEGER) AS chunk_ix, acc[k + 1] AS chunk FROM g""")
 def packed_texts(spark: SparkSession, folder: str) -> DataFrame:
     return completion.packed(_texts(spark, folder), 2000, 100)
 
 
-@query()
+_DECODED = f"""WITH {READABLE}, f AS (SELECT *, try_cast(x ->> '$.start' AS DOUBLE) AS a, try_cast(x ->> '$.end' AS DOUBLE) AS z, trim(coalesce(x ->> '$.text', '')) AS t FROM e WHERE raw_id IN (SELECT raw_id FROM g)),
+    h AS (SELECT raw_id, count(*) AS n_segments, CAST(sum(len(w)) AS BIGINT) AS n_words, min(a) AS first_start, max(z) AS last_end, coalesce(string_agg(t, ' ' ORDER BY seg_ix) FILTER (t <> ''), '') AS said FROM f GROUP BY raw_id)
+    SELECT a.raw_id, coalesce(j ->> '$.language', '') AS language, coalesce(nullif(try_cast(j ->> '$.duration' AS DOUBLE), 0.0), last_end, 0.0) AS duration, coalesce(j ->> '$.model_size', '') AS model_size, coalesce(j ->> '$.diarization', '') AS diarization,
+        coalesce(nullif(j ->> '$.text', ''), said, '') AS text, coalesce(n_segments, 0) AS n_segments, coalesce(n_words, 0) AS n_words, first_start, last_end FROM a JOIN g ON g.raw_id = a.raw_id LEFT JOIN h ON h.raw_id = a.raw_id"""
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Transcript rows with numbers in place of their segments."""
+    sizes = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.size(s["words"]))
+    edge = lambda f, name: f(F.transform("segments", lambda s: s[name]))
+    return rows.select("raw_id", "language", "duration", "model_size", "diarization", "text", F.size("segments").cast("long").alias("n_segments"), sizes.alias("n_words"), edge(F.array_min, "start_s").alias("first_start"), edge(F.array_max, "end_s").alias("last_end"))
+
+
+@query(_DECODED)
 def transcript_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Readable payloads as transcript rows with defaults."""
-    return decode_transcripts(read_table(spark, folder, "raw_transcripts"), "raw_id")
+    return _measured(decode_transcripts(read_table(spark, folder, "raw_transcripts"), "raw_id"))
 
 
-@query()
+@query(f"""WITH {READABLE} SELECT raw_id, seg_ix, try_cast(x ->> '$.start' AS DOUBLE) AS start_s, try_cast(x ->> '$.end' AS DOUBLE) AS end_s, coalesce(x ->> '$.text', '') AS text, x ->> '$.speaker' AS speaker, CAST(len(w) AS INTEGER) AS n_words,
+    coalesce(array_to_string(list_transform(w, lambda y: coalesce(y ->> '$.word', '')), ''), '') AS words FROM e WHERE raw_id IN (SELECT raw_id FROM g)""")
+def transcript_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of the readable payloads."""
+    rows = decode_transcripts(read_table(spark, folder, "raw_transcripts"), "raw_id").select("raw_id", F.posexplode("segments").alias("seg_ix", "x"))
+    return rows.select("raw_id", "seg_ix", "x.start_s", "x.end_s", "x.text", "x.speaker", F.size("x.words").alias("n_words"), F.array_join(F.transform("x.words", lambda w: w["word"]), "").alias("words"))
+
+
+@query(_DECODED)
 def transcript_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Transcript rows as JSON again."""
-    return transcript_rows(spark, folder).select("raw_id", transcript_json().alias("json"))
+    """Transcript rows written as JSON and read again."""
+    rows = decode_transcripts(read_table(spark, folder, "raw_transcripts"), "raw_id")
+    return _measured(decode_transcripts(rows.select("raw_id", transcript_json().alias("payload")), "raw_id"))
 
 
-@query()
+@query(f"""WITH {READABLE}, m AS (SELECT raw_id, min(seg_ix) AS k FROM e WHERE NOT coalesce(ok AND wok, false) GROUP BY raw_id) SELECT j.raw_id, CASE WHEN j.j IS NULL THEN 'broken' WHEN m.k IS NOT NULL THEN 'malformed' ELSE 'foreign' END AS kind,
+        CASE WHEN j.j IS NULL THEN 'no JSON' WHEN m.k IS NOT NULL THEN 'segment ' || m.k ELSE 'no list of segments' END AS message
+    FROM j JOIN raw_transcripts USING (raw_id) LEFT JOIN m ON m.raw_id = j.raw_id WHERE payload IS NOT NULL AND j.raw_id NOT IN (SELECT raw_id FROM g)""")
 def unreadable_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return payload_errors(read_table(spark, folder, "raw_transcripts").where("payload IS NOT NULL"), "raw_id")
 
@@ -566,13 +671,15 @@ def unfinished_files(spark: SparkSession, folder: str) -> DataFrame:
     return batch.unfinished(files, done, there).select("raw_id", "name", "size")
 
 
-@query()
+@query("""SELECT media_id, to_json({tool: 'cuelake', version: '0.1.0', finished_at: strftime(finished_at, '%Y-%m-%dT%H:%M:%SZ'), source: {name: 'rec-' || media_id, size: length(text)}, language: language, duration: round_even(duration, 3), outputs: ['transcript.txt'], warnings: ['w'], captions: NULL::VARCHAR,
+    options: {model: model_size, chunk: 30}})::VARCHAR AS manifest FROM transcripts""")
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "transcripts").select("media_id", F.concat(F.lit("rec-"), F.col("media_id").cast("string")).alias("source_name"), F.length("text").cast("long").alias("source_size"), "language", "duration", F.array(F.lit("transcript.txt")).alias("outputs"), F.array(F.lit("w\nx")).alias("warnings"), F.lit(None).cast("string").alias("captions"))
+    """Markers of finished runs."""
+    rows = read_table(spark, folder, "transcripts").select("media_id", F.concat(F.lit("rec-"), F.col("media_id").cast("string")).alias("source_name"), F.length("text").cast("long").alias("source_size"), "language", "duration", F.array(F.lit("transcript.txt")).alias("outputs"), F.array(F.lit("w\nx")).alias("warnings"), F.lit(None).cast("string").alias("captions"), "finished_at", F.struct(F.col("model_size").alias("model"), F.lit(30).alias("chunk")).alias("options"))
     return batch.manifest(rows).select("media_id", "manifest")
 
 
-@query()
+@query(f"WITH {READABLE} SELECT raw_id, file_name FROM raw_transcripts WHERE raw_id IN (SELECT raw_id FROM g)")
 def readable_files(spark: SparkSession, folder: str) -> DataFrame:
     return readable_payloads(read_table(spark, folder, "raw_transcripts")).select("raw_id", "file_name")
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from cuelake.operators.nested import _CORE, _JSON, _wrapped, readable_payloads
-from cuelake.session import arrow_batch, struct
+from cuelake.operators.nested import _CORE, _JSON, NUMBER, _wrapped, readable_payloads
 
 
 def read_payloads(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -57,14 +55,16 @@ class _FileWriter(DataSourceWriter):
         self.folder = folder
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        import os
+        from pyarrow.fs import FileSystem
 
+        # A local path or an address of a file system that all executors reach (hdfs://, s3://, ...).
+        system, base = FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
         for row in iterator:
-            path = os.path.join(self.folder, row["path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.part", "w", encoding="utf-8") as f:
-                f.write(row["content"])
-            os.replace(f"{path}.part", path)  # a task that runs again writes the same file
+            path = f"{base}/{row['path']}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(f"{path}.part") as f:
+                f.write(row["content"].encode("utf-8"))
+            system.move(f"{path}.part", path)  # a task that runs again writes the same file
         return WriterCommitMessage()
 
 
@@ -83,43 +83,22 @@ class RecordingFiles(DataSource):
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
+    """Rows ``path, content`` as files below a folder that all executors share."""
+    folder = folder if "://" in folder else os.path.abspath(folder)
     rows.sparkSession.dataSource.register(RecordingFiles)
     rows.select("path", "content").write.format("recording_files").option("path", folder).mode("append").save()
 
 
-_STATUS = struct("path string, kind string, message string")
-
-
 def payload_errors(rows: DataFrame, key: str = "path", payload: str = "payload") -> DataFrame:
-    """``path, kind, message`` of payloads that aren't transcripts: broken JSON, another object, or a broken segment."""
-    schema = to_arrow_schema(_STATUS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        def number(x) -> bool:  # noqa: ANN001
-            try:
-                float(x)
-            except (TypeError, ValueError):
-                return False
-            return not isinstance(x, bool)
-
-        for b in batches:
-            out = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    data = json.loads((text or "").removeprefix("﻿"))
-                except ValueError as e:
-                    out.append((k, "broken", str(e)))
-                    continue
-                if not isinstance(data, dict) or not isinstance(data.get("segments"), list):
-                    out.append((k, "foreign", "no list of segments"))
-                    continue
-                for i, s in enumerate(data["segments"]):
-                    parts = [s, *(s.get("words") or [])] if isinstance(s, dict) else [s]
-                    if not all(isinstance(x, dict) and number(x.get("start")) and number(x.get("end")) for x in parts):
-                        out.append((k, "malformed", f"segment {i}"))
-                        break
-            yield arrow_batch(out, schema)
-
-    return rows.select(F.col(key).cast("string"), payload).mapInArrow(run, _STATUS)
+    """``key, kind, message`` of payloads that aren't transcripts: broken JSON, another object, or a broken segment (the first)."""
+    parsed = F.try_parse_json(F.regexp_replace(F.coalesce(payload, F.lit("")), "^\\x{FEFF}", ""))
+    timed = lambda x: F.coalesce(F.try_variant_get(x, "$.start", "string").rlike(NUMBER) & F.try_variant_get(x, "$.end", "string").rlike(NUMBER), F.lit(False))
+    words = lambda s: F.try_variant_get(s, "$.words", "array<variant>")
+    wordless = lambda s: F.try_variant_get(s, "$.words", "string").isNull()
+    good = lambda s: timed(s) & (wordless(s) | (words(s).isNotNull() & F.forall(words(s), timed)))
+    segments = F.try_variant_get("_v", "$.segments", "array<variant>")
+    bad = F.filter(F.transform("_s", lambda s, i: F.when(~F.coalesce(good(s), F.lit(False)), i)), lambda i: i.isNotNull())
+    out = rows.select(key, parsed.alias("_v")).withColumn("_s", segments).withColumn("_bad", F.array_min(bad))
+    kind = F.when(F.col("_v").isNull(), "broken").when(F.col("_s").isNull(), "foreign").when(F.col("_bad").isNotNull(), "malformed")
+    message = F.when(F.col("_v").isNull(), "no JSON").when(F.col("_s").isNull(), "no list of segments").otherwise(F.concat(F.lit("segment "), F.col("_bad").cast("string")))
+    return out.select(key, kind.alias("kind"), message.alias("message")).where("kind IS NOT NULL")

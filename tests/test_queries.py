@@ -58,7 +58,7 @@ def test_summary_replies_hold_whole_texts(spark, tmp_path):
     rows = [(i, t, "en" if i % 2 else None, " src ", 1, "notes" if i % 3 else None, 1, None) for i, t in enumerate(texts)]
     folder = write_tables(spark, tmp_path, {"documents": rows})
     white = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c in "\t\n\v\f\r" or unicodedata.category(c)[0] == "Z")
-    want = {i: ((kind or "").strip(white), (t or "").strip(white), [x for x in ((source or "").strip(white), lang) if x], []) for i, t, lang, source, _, kind, _, _ in rows}
+    want = {i: ((kind or "").strip(white), (t or "").strip(white), "\n".join(x for x in ((source or "").strip(white), lang) if x), "") for i, t, lang, source, _, kind, _, _ in rows}
     got = {r.doc_id: (r.tldr, r.summary, r.key_points, r.action_items) for r in QUERIES["summary_replies"](spark, folder).collect()}
     assert got.keys() == want.keys()
     assert [i for i in want if got[i] != want[i]] == []
