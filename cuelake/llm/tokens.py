@@ -2,8 +2,8 @@
 
 A text is fed in blocks. Two lookaheads are sufficient, so the encoder holds a bounded part of the text however long it is:
 
-* the pre-tokenizer never joins a letter, digit or mark with a following character of another class, so the text up to
-  the last change of class in the buffer can be split as if it ended there;
+* the pre-tokenizer never joins anything with white space that follows it, nor a letter, digit or mark with a following
+  character of another class, so the text up to the last such place in the buffer can be split as if it ended there;
 * within a run that doesn't change its class (a pre-token without end) the merge list decides. The encoding of any prefix
   of a byte string is unique and its tokens but the last are an encoding of a shorter prefix. ``_Run`` therefore keeps the
   last token of every prefix; a token may follow another iff the merges of the two together give the two again. A further
@@ -192,7 +192,8 @@ class Encoder:
             # A mark before a letter may be the beginning of a contraction; a space belongs to what follows.
             if before != after and before in (_LETTER, _DIGIT) and after != _UNSURE:
                 return i
-            if before == _SIGN and after == _SPACE:
+            # No piece goes on over white space, so whatever is surely no white space itself ends before it, in any script.
+            if after == _SPACE and before != _SPACE and (before == _SIGN or unicodedata.category(t[i - 1])[0] not in "CZ"):
                 return i
             after = before
         return 0

@@ -165,3 +165,15 @@ def test_reset_near_the_edge_of_a_block_or_the_end(spark, first, second):
     got = sorted((r.first_seg_ix, r.last_seg_ix) for r in turns.speaker_turns(df).collect())
     # Turns of one speaker go on over the border of the files only if the speaker does.
     assert got == [(i, i) for i in range(first + second)]
+
+
+@pytest.mark.parametrize("word", ["বাংলা", "தமிழ்", "Հայերեն", "ქართული", "አማርኛ", "ꦗꦮ"])
+def test_the_buffer_stays_bounded_in_every_script(word):
+    v = tokens.vocabulary()
+    text = f"{word} " * (200_000 // (len(word) + 1))
+    e, out, most = tokens.Encoder(v), [], 0
+    for i in range(0, len(text), 4096):
+        out += e.feed(text[i : i + 4096])
+        most = max(most, len(e.text))
+    assert most < 8192
+    assert out + e.finish() == v.coder.encode_ordinary(text)
