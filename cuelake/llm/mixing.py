@@ -4,10 +4,11 @@ Sizes are tokens of a public tokenizer. The mix is as large as the repeat caps a
 (cap * size / share). Blocks of ``BLOCK`` tokens are apportioned to sources by the method of Sainte-Lague (highest
 quotients share / (2k + 1)), then the blocks of a source to its shards in the same way, so every shard has an integer
 quota. A shard goes through all its documents as often as the quota allows and fills the rest from its documents in a
-seeded order: block by block until the quota is reached. Documents stay whole; one occurs at most ``max_repeats`` times.
+seeded order until the quota is reached; the document that crosses it is taken if more than half of it fits. Documents stay
+whole; one occurs at most ``max_repeats`` times.
 
-A source that holds a third of all rows is spread over its shards; the driver sees one number per (source, shard), at
-most ``SHARDS`` of each source. Quotas come from divisor search instead of block-by-block allocation, which gives the same
+A source has one shard for every ``PER_SHARD`` of its own documents, so a small one isn't torn and one that holds a third of all
+rows is spread; the driver sees one number per (source, shard), at most ``SHARDS`` of each source. Quotas come from divisor search instead of block-by-block allocation, which gives the same
 seats (ties to the earlier key).
 
 Defined results: sources are compared by trimmed lower case; documents of sources without a target, null sources and
@@ -29,7 +30,7 @@ from cuelake.session import materialise
 
 BLOCK = 256
 #: Most shards of a source, and documents for which another shard is opened.
-SHARDS, PER_SHARD = 2048, 100_000
+SHARDS, PER_SHARD = 16_384, 100_000
 SEED = 17
 #: Most target sources; the targets are broadcast.
 MOST_SOURCES = 10_000
@@ -68,18 +69,18 @@ def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["source"]: (float(r["share"]), int(r["cap"])) for r in found}
 
 
-def sized_documents(documents: DataFrame, sources: list[str], shards: int, seed: int, folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, shard, n_tokens`` of the documents of target sources with at least one token."""
+def sized_documents(documents: DataFrame, sources: list[str], folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
+    """``doc_id, source, n_tokens`` of the documents of target sources with at least one token."""
     rows = documents.select("doc_id", source_key("source").alias("source"), "text").where(F.col("source").isin(sources) & F.col("text").isNotNull() & (F.length("text") > 0))
-    sized = count_column(rows, "text", "n_tokens", folder, name).where("n_tokens > 0")
-    return sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
+    return count_column(rows, "text", "n_tokens", folder, name).where("n_tokens > 0")
 
 
 def plan(totals: dict[tuple[str, int], int], targets: dict[str, tuple[float, int]], block: int = BLOCK) -> dict[tuple[str, int], int]:
     """Quota in blocks of every (source, shard)."""
-    size: dict[str, int] = {}
-    for (s, _), n in totals.items():
-        size[s] = size.get(s, 0) + n
+    own: dict[str, dict[tuple[str, int], int]] = {}
+    for k, n in sorted(totals.items()):
+        own.setdefault(k[0], {})[k] = n
+    size = {s: sum(shards.values()) for s, shards in own.items()}
     available = {s: targets[s] for s in targets if size.get(s, 0) > 0}
     if not available:
         return {}
@@ -88,8 +89,7 @@ def plan(totals: dict[tuple[str, int], int], targets: dict[str, tuple[float, int
     seats = sainte_lague({s: share for s, (share, _) in available.items()}, max(1, int(tokens // block)))
     out: dict[tuple[str, int], int] = {}
     for s in available:
-        shards = {k: n for k, n in sorted(totals.items()) if k[0] == s}
-        out |= sainte_lague(shards, seats[s])
+        out |= sainte_lague(own[s], seats[s])
     return out
 
 
@@ -98,11 +98,16 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int
     mixed_tokens, actual_share, n_documents``)."""
     spark = documents.sparkSession
     wanted = _targets(targets)
-    if shards is None:
-        shards = max(1, min(SHARDS, math.ceil(documents.count() / PER_SHARD)))
-    sized = materialise(sized_documents(documents, list(wanted), shards, seed, folder, name))
+    sized = materialise(sized_documents(documents, list(wanted), folder, name))
+    # One row for each target source, so at most MOST_SOURCES.
+    counts = [(r["source"], shards or max(1, min(SHARDS, math.ceil(r["n"] / PER_SHARD)))) for r in sized.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sized = sized.join(F.broadcast(spark.createDataFrame(counts, "source string, _shards int")), "source")
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")).cast("int")).drop("_shards")
     totals = {(r["source"], r["shard"]): int(r["n"]) for r in sized.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()}
     quota = plan(totals, wanted, block)
+    size: dict[str, int] = {}
+    for (s, _), n in totals.items():
+        size[s] = size.get(s, 0) + n
     rows = []
     for (s, k), q in quota.items():
         passes, rest = divmod(q * block, totals[s, k])
@@ -110,12 +115,12 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int
         rows.append((s, k, min(passes, cap), rest if passes < cap else 0))
     quotas = spark.createDataFrame(rows, "source string, shard int, passes long, rest long")
     placed = sized.join(F.broadcast(quotas), ["source", "shard"])  # at most SHARDS rows of each target source
-    # Documents that the rest can hold come first, in the seeded order; one is taken if more than half of it fits.
-    order = Window.partitionBy("source", "shard").orderBy((F.col("n_tokens") > F.col("rest")).cast("int"), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+    # In the seeded order, but for documents of which less than half could ever fit: those come last and stay out.
+    order = Window.partitionBy("source", "shard").orderBy((F.col("n_tokens") >= 2 * F.col("rest")).cast("int"), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
     before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    extra = ((before + F.col("n_tokens") / 2 < F.col("rest")) & (F.col("n_tokens") <= F.col("rest"))).cast("long")
+    extra = (before + F.col("n_tokens") / 2 < F.col("rest")).cast("long")
     mixed = placed.withColumn("n_times", F.col("passes") + extra).where("n_times > 0").select("doc_id", "source", "n_tokens", "n_times")
-    shares = spark.createDataFrame([(s, share, cap, sum(n for (x, _), n in totals.items() if x == s)) for s, (share, cap) in wanted.items()], "source string, target_share double, max_repeats int, available_tokens long")
+    shares = spark.createDataFrame([(s, share, cap, size.get(s, 0)) for s, (share, cap) in wanted.items()], "source string, target_share double, max_repeats int, available_tokens long")
     sums = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_times")).alias("mixed_tokens"), F.count(F.lit(1)).alias("n_documents"))
     report = shares.join(sums, "source", "left").fillna(0, ["mixed_tokens", "n_documents"])
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # one row per target source

@@ -42,6 +42,20 @@ def test_mix_reaches_its_shares_within_the_caps(spark, shards):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_small_sources_are_not_torn_and_long_documents_count(spark, monkeypatch):
+    """A source of a hundred documents beside one of many shards reaches its quota; the order doesn't prefer short ones."""
+    monkeypatch.setattr(mixing, "PER_SHARD", 50)
+    rows = [(i, "bridge storm " * 50, "small") for i in range(100)] + [(1000 + i, "river host " * (5 + i % 60), "big") for i in range(4000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("small", 0.05, 1), ("big", 0.95, 1)], "source string, target_share double, max_repeats int")
+    mixed, report = mixing.mix(documents, targets)
+    shares = {r.source: r.actual_share for r in report.collect()}
+    assert shares["small"] == pytest.approx(0.05, abs=0.005)
+    sizes = [r.n_tokens for r in mixed.where("source = 'big'").collect()]
+    whole = [r.n for r in mixing.sized_documents(documents, ["big"]).selectExpr("n_tokens AS n").collect()]
+    assert sum(sizes) / len(sizes) == pytest.approx(sum(whole) / len(whole), rel=0.1)
+
+
 def test_mix_of_nothing(spark):
     documents = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("y", 1.0, 1)], "source string, target_share double, max_repeats int")
