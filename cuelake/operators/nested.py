@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.session import materialise
+
 #: Options of the JSON reader that make it as strict as the format: only double quotes; what breaks is kept aside.
 _JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 #: Number or text of one, after trimming.
@@ -118,13 +120,14 @@ def readable_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
 def payload_tables(df: DataFrame, key: str = "raw_id", payload: str = "payload") -> dict[str, DataFrame]:
     """Flat tables of all readable payloads under their merged schema: ``transcript``, ``transcript_segments``,
     ``transcript_segments_words`` and one table for each further array level."""
-    good = readable_payloads(df.select(key, payload), payload)
+    # Each payload is checked once and parsed once; the schema and all tables come from what was written.
+    good = materialise(readable_payloads(df.select(key, payload), payload))
     schema = merged_schema(good.withColumn(payload, F.regexp_replace(payload, "^\\x{FEFF}", "")), payload)
     if "segments" not in schema.fieldNames() or not isinstance(schema["segments"].dataType, T.ArrayType) or not isinstance(schema["segments"].dataType.elementType, T.StructType):
         schema = T.StructType.fromDDL("language string, segments array<struct<start:string,end:string,text:string,speaker:string,words:array<struct<start:string,end:string,word:string>>>>")
     schema = _with_words(schema)
     record = F.from_json(F.regexp_replace(F.col(payload), "^\\x{FEFF}", ""), schema, _JSON)
-    return flatten_nested(good.select(key, record.alias("_record")), key, "_record", "transcript")
+    return flatten_nested(materialise(good.select(key, record.alias("_record"))), key, "_record", "transcript")
 
 
 def _with_words(schema: T.StructType) -> T.StructType:
