@@ -147,10 +147,6 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def json_array(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(?s)\[.*\]", 0), F.lit(""))
-
-
 def parse_summary(reply: Column) -> Column:
     """``struct<tldr, summary, key_points, action_items>`` of a model's reply; without an object the reply is the summary."""
     schema = "tldr string, summary string, key_points array<string>, action_items array<string>"
@@ -166,19 +162,46 @@ def parse_summary(reply: Column) -> Column:
     )
 
 
-#: Function words that carry no topic, folded; a default that callers replace by their own list (file or table).
-STOPWORDS = sorted(
-    set(
-        """a about after again all also am an and any are as at back be because been before being both but by can could did do does doing
-        down each even every for from further get go had has have having he her here hers him his how i if in into is it its itself just like
-        many may me more most much must my no not now of off on once one only or other our out over own said same say she should so some such
-        than that the their them then there these they this those through to too under until up us very was we were what when where which
-        while who why will with would yes yet you your
-        al algo ante antes asi aun aunque bien cada como con contra cual cuando de del desde donde el ella en entre era es esa ese eso esta
-        este esto fue ha hace han hasta hay la las le les lo los mas me mi muy nada ni nos o otra otro para pero poco por porque que quien se
-        sea ser si sin sobre son su sus tambien tan tanto te tiene todo tu un una uno y ya yo""".split()
-    )
+# Words that carry no topic, without accents: English and Spanish function words and fillers of speech. English
+# forms that follow a rule are built below.
+ENGLISH = """
+a about above after again against all almost also although always am among an and another any anyway are around as at back be became because become
+been before below between both but by can cannot could did do does done down during each either else enough even every few for from further get
+getting go got had has have he her here him his how however i if in into is it just least less let like made make many may maybe me might mine more
+most much must my neither never no nobody none nor not nothing now of off often on once one only onto or other otherwise our out over own per perhaps
+quite rather really right said same say see seem several shall she should since so some sometimes somewhat still such sure than that the their them
+then there therefore these they thing things think this those though through thus to together too toward towards under until up upon us use used very
+via want wanted was way we well went were what when where whether which while who whole whom whose why will with within without would yes yet you your
+ll ve re
+"""
+ENGLISH_FILLERS = """
+yeah yep yup okay ok oh uh um umm hmm huh ah er erm mm gonna gotta wanna kinda sorta basically actually literally honestly totally absolutely
+obviously definitely probably pretty stuff kind sort lot lots bit mean means know knew guess guys guy thanks thank hey hello hi welcome today anyway
+cool awesome great good nice fine alright bye look listen talk talking said saying tell told stuff first second third next last new old big small
+little two three four five six seven eight nine ten eleven twelve twenty hundred thousand show episode everybody everyone folks
+"""
+SPANISH = """
+a al algo alguien algun alguna algunas alguno algunos ante antes aqui asi aun aunque bajo bien cada casi como con contra cual cuales cualquier cuando
+cuanto de del desde donde dos el ella ellas ello ellos en entonces entre era eramos eran eres es esa esas ese eso esos esta estaba estado estamos
+estan estar estas este esto estos estoy fue fueron fui ha hace hacer hacia han has hasta hay he hemos la las le les lo los mas me mi mia mias mio mios
+mis mismo mucha muchas mucho muchos muy nada ni ningun ninguna no nos nosotras nosotros nuestra nuestras nuestro nuestros nunca o os otra otras otro
+otros para pero poco por porque pues que quien quienes se sea segun ser si sido siempre sin sino sobre solo somos son soy su sus tal tambien tan tanto
+te tenemos tener tengo ti tiene tienen toda todas todo todos tu tus un una unas uno unos usted ustedes va vamos van vez y ya yo
+"""
+SPANISH_FILLERS = """
+bueno pues vale oye mira claro osea digamos tipo verdad eh este ahi aca hola gracias bienvenidos bienvenidas hoy cosa cosas manera forma parte hablar
+hablamos dicho decir dice digo creo vez veces primero segundo tercero siguiente ultimo nuevo nueva gran grande pequeno bien mal igual uno dos tres
+cuatro cinco seis siete ocho nueve diez once doce veinte cien mil programa episodio seccion
+"""
+_ENGLISH_FORMS = (
+    {f"{a}{b}" for a in ("any", "every", "some") for b in ("body", "one", "thing")}
+    | {f"{a}self" for a in ("my", "your", "him", "her", "it")} | {f"{a}selves" for a in ("our", "your", "them")}
+    | {f"{a}s" for a in ("her", "our", "their", "your", "it", "other", "let", "get", "make", "say", "seem", "want", "way")}
+    | {f"{a}n" for a in ("do", "did", "does", "is", "was", "are", "were", "could", "would", "should", "wo", "has", "have", "had", "ai")}
+    | {f"{a}ing" for a in ("be", "do", "go", "hav", "mak", "us")} | {f"{a}ever" for a in ("", "what", "when", "who")} | {"getting", "gotten", "goes", "gone", "seemed"}
 )
+#: The default; callers may give a list of their own (file or table).
+STOPWORDS = sorted({*(ENGLISH + ENGLISH_FILLERS + SPANISH + SPANISH_FILLERS).split(), *_ENGLISH_FORMS})
 
 
 def stopword_table(spark: SparkSession, words: list[str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def folder_names(files: DataFrame) -> DataFrame:
     settled in order within the group of names that share a base."""
     rows = files.select("path", "stem", "suffix").withColumn("key", F.lower("stem"))
     first = F.row_number().over(Window.partitionBy("key").orderBy("path")) == 1
-    rows = rows.withColumn("name", F.when(first, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.lower(F.ltrim(F.lit("."), F.col("suffix"))))))
+    rows = rows.withColumn("name", F.when(first, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.lower(F.ltrim(F.col("suffix"), F.lit("."))))))
     rows = rows.withColumn("k", F.lower("name"))
     n = F.row_number().over(Window.partitionBy("k").orderBy("path"))
     rows = rows.withColumn("n", n)
@@ -72,10 +72,13 @@ def manifest(runs: DataFrame, tool: str = "cuelake", version: str = "0.1.0") ->
 
 
 def batch_report(runs: DataFrame) -> DataFrame:
-    """One row ``report``: counts and a section for each run (name, ok, skipped, language, duration, n_outputs, error)."""
+    """One row ``report``: counts and a section for each run (name, ok, skipped, language, duration, n_outputs, error, and the
+    first lines of ``warnings`` if there is such a column)."""
+    lines = F.transform(F.filter("warnings", lambda w: F.trim(w) != ""), lambda w: F.concat(F.lit("\n- warning: "), F.substring_index(F.trim(w), "\n", 1))) if "warnings" in runs.columns else None
+    warned = F.lit("") if lines is None else F.coalesce(F.array_join(lines, ""), F.lit(""))
     status = F.when(F.col("skipped"), "skipped (up to date)").when(F.col("ok"), "ok").otherwise("FAILED")
     body = F.when(F.col("skipped"), "- outputs kept").when(
-        F.col("ok"), F.concat(F.lit("- language: "), F.coalesce("language", F.lit("")), F.lit("\n- duration: "), F.format_string("%.1f", "duration"), F.lit("s\n- outputs: "), F.col("n_outputs").cast("string"))
+        F.col("ok"), F.concat(F.lit("- language: "), F.coalesce("language", F.lit("")), F.lit("\n- duration: "), F.format_string("%.1f", "duration"), F.lit("s\n- outputs: "), F.col("n_outputs").cast("string"), warned)
     ).otherwise(F.concat(F.lit("- error: "), F.coalesce("error", F.lit(""))))
     rows = runs.select("name", "ok", "skipped", F.concat(F.lit("## "), "name", F.lit(" — "), status, F.lit("\n"), body).alias("section"))
     ok, skipped = F.count_if("ok").cast("string"), F.count_if("skipped")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as ft
 from cuelake.functions import times as fm
-from cuelake.operators import batch, captions, chapters, completion, segments, summary, terms
+from cuelake.operators import batch, captions, chapters, completion, recognition, segments, summary, terms
 from cuelake.operators.nested import readable_payloads
 from cuelake.plans.general import READABLE
 from cuelake.session import materialise, read_table
@@ -691,3 +693,72 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     e = read_table(spark, folder, "events").where("ts IS NOT NULL")
     s = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("session_start"), F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("n_events"))
     return s.drop("w")
+
+
+# ---- outside models, by stand-ins ------------------------------------------------------------------------------------------
+
+
+def _hears(path: str, start: float, end: float, language: str | None) -> tuple[str, list]:
+    """A stand-in recogniser: a word at every whole second, four to a segment."""
+    seconds = [t for t in range(math.ceil(start), math.ceil(end)) if t >= start]
+    groups = [seconds[i : i + 4] for i in range(0, len(seconds), 4)]
+    return language or "en", [(g[0] - start, g[-1] + 1 - start, " ".join(f"w{t}" for t in g), [(t - start, t + 1 - start, f" w{t}") for t in g]) for g in groups]
+
+
+@query("""WITH d AS (SELECT media_id, coalesce(duration, 0.0) AS d FROM transcripts), e AS (SELECT media_id, d, unnest(range(0, CAST(ceil(d) AS BIGINT))) AS t FROM d)
+    SELECT d.media_id, 'en' AS language, d.d AS duration, coalesce(string_agg('w' || t, ' ' ORDER BY t), '') AS text, NULL::VARCHAR AS error FROM d LEFT JOIN e ON e.media_id = d.media_id GROUP BY d.media_id, d.d""")
+def recognised(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings heard in overlapping chunks by a stand-in: every word comes out once, in order."""
+    media = read_table(spark, folder, "transcripts").select("media_id", F.col("media_id").cast("string").alias("path"), "duration")
+    return recognition.transcribe(media, recognition.once_for_each_worker("stand-in", lambda: _hears), probe=lambda path: None)[1]
+
+
+@query(f"""WITH {_P}, b AS (SELECT *, bool_or(contains(text, '?')) OVER (PARTITION BY media_id, seg_ix // 40) AS bad FROM p)
+    SELECT media_id, seg_ix, CASE WHEN bad THEN text ELSE 'es ' || text END AS text, CASE WHEN bad THEN 'no question' END AS error FROM b""")
+def translated_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments in another language by a stand-in that fails for batches with a question, which keep their texts."""
+
+    def complete(messages: list[dict]) -> str:
+        lines = messages[1]["content"].split("\n")
+        if any("?" in x for x in lines):
+            raise RuntimeError("no question")
+        return "no list" if len(lines) % 2 and "numbered" in messages[0]["content"] else f"es {messages[1]['content']}" if "numbered" not in messages[0]["content"] else json.dumps([f"es {x.split('. ', 1)[1]}" for x in lines])
+
+    return completion.translated(segments.spoken_segments(_segments(spark, folder)), complete, "Spanish")
+
+
+@query(f"""WITH RECURSIVE {_RANK}, x AS (SELECT media_id, {_strip("text")} AS x FROM transcripts WHERE {_strip("text")} <> '')
+    SELECT x.media_id, length(x) || ' characters' AS tldr, 's' AS summary, '' AS key_points, '' AS action_items, 'model' AS method, NULL::VARCHAR AS warning FROM x WHERE NOT contains(x, '!')
+    UNION ALL SELECT su.*, 'too loud' FROM su JOIN x USING (media_id) WHERE contains(x, '!')""")
+def model_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries by a stand-in model, extractive where it fails."""
+
+    def complete(messages: list[dict]) -> str:
+        text = messages[1]["content"]
+        if "!" in text:
+            raise RuntimeError("too loud")
+        return json.dumps({"tldr": f"{len(text)} characters", "summary": "s"})
+
+    rows = completion.summaries_or_extractive(_texts(spark, folder), complete, 1_000_000)
+    return rows.select("media_id", "tldr", "summary", F.array_join("key_points", "\n").alias("key_points"), F.array_join("action_items", "\n").alias("action_items"), "method", "warning")
+
+
+@query(f"""SELECT CAST(media_id AS VARCHAR) AS media_id, CASE WHEN {_strip("coalesce(text, '')")} <> '' THEN CAST(length(text) AS VARCHAR) END AS result, CASE WHEN {_strip("coalesce(text, '')")} = '' THEN 'ValueError: no text' END AS error FROM transcripts""")
+def isolated_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Work on every recording; one that fails carries its error and leaves the others alone."""
+
+    def work(text: str | None) -> str:
+        if not (text or "").strip():
+            raise ValueError("no text")
+        return str(len(text))
+
+    return batch.isolated(_texts(spark, folder), "media_id", "text", work)
+
+
+@query("""SELECT path, regexp_matches(lower(path), '\\.(mp4|mkv|mov|avi|webm|flv|wmv|m4v|mpg|mpeg)$') AS is_video FROM (SELECT DISTINCT replace(file_name, '.transcript.json', ['.WAV', '.mp4', '.MKV', '.txt'][raw_id % 4 + 1]) AS path FROM raw_transcripts WHERE file_name IS NOT NULL)
+    WHERE regexp_matches(lower(path), '.\\.(mp3|wav|m4a|flac|ogg|aac|wma|opus|mp4|mkv|mov|avi|webm|flv|wmv|m4v|mpg|mpeg)$')""")
+def media_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Media among files, with and without a picture."""
+    suffix = F.get(F.array(*map(F.lit, (".WAV", ".mp4", ".MKV", ".txt"))), (F.col("raw_id") % 4).cast("int"))
+    raw = read_table(spark, folder, "raw_transcripts").where("file_name IS NOT NULL").select(F.replace(F.col("file_name"), F.lit(".transcript.json"), suffix).alias("path")).distinct()
+    return batch.media_files(raw).select("path", "is_video")

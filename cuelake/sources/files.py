@@ -17,6 +17,11 @@ def read_payloads(spark: SparkSession, folder: str, pattern: str = "*.json") ->
     return spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.input_file_name().alias("path"), F.col("value").alias("payload"))
 
 
+def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """``path, text``: plain text files as they are, without a byte-order mark; they have no times."""
+    return read_payloads(spark, folder, pattern).select("path", F.regexp_replace("payload", "^\\x{FEFF}", "").alias("text"))
+
+
 def media_listing(spark: SparkSession, folder: str) -> DataFrame:
     """``path, size`` of the regular files directly in a folder; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", F.col("length").alias("size"))

@@ -6,13 +6,15 @@ dropped by Spark, which the batch operators don't do.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cuelake.operators.completion import Complete
 from cuelake.operators.captions import Limits, shown_between
 from cuelake.operators.intervals import IntervalMap
 from cuelake.session import struct
@@ -86,3 +88,53 @@ def silence_turns_stream(segments: DataFrame, gap_seconds: float = 1.2, lateness
 def hop_windows_stream(segments: DataFrame, length: str = "30 seconds", hop: str = "28 seconds", lateness: str = "1 minute") -> DataFrame:
     """Overlapping windows over a stream of ``media_id, start_ts``: number of segments by window."""
     return segments.withWatermark("start_ts", lateness).groupBy("media_id", F.window("start_ts", length, hop).alias("w")).agg(F.count(F.lit(1)).alias("n_segments"))
+
+
+class Progress(StreamingQueryListener):
+    """Rows seen and micro-batches done of the streams of a session; ``tell`` gets both after each micro-batch."""
+
+    def __init__(self, tell: Callable[[int, int], None] | None = None) -> None:
+        self.rows = self.batches = 0
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        self.rows += event.progress.numInputRows
+        self.batches += 1
+        if self.tell:
+            self.tell(self.rows, self.batches)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+
+def resume(stream: DataFrame, out: str, checkpoint: str, seconds: int | None = None) -> bool:
+    """Writes what a stream has new since the last run to Parquet files and ends; the checkpoint folder holds how far it came, so
+    a run after an interruption goes on there. False if it didn't end within ``seconds``."""
+    return bool(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination(seconds))
+
+
+def completed_stream(rows: DataFrame, key: str, prompt: str, complete: Complete, system: str, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Replies of a model to a stream of prompts, micro-batch by micro-batch. A fatal error of one opens the breaker for all
+    later ones, whose rows carry the error without a call."""
+    from cuelake.operators.completion import completed
+    from cuelake.session import materialise
+
+    state = {"off": None}
+
+    def each(batch: DataFrame, _: int) -> None:
+        if state["off"]:
+            sink(batch.select(key, F.lit(None).cast("string").alias("reply"), F.lit(state["off"]).alias("error")))
+            return
+        done = materialise(completed(batch, [key], prompt, complete, system))
+        fatal = done.where("error LIKE 'fatal:%'").select("error").head(1)
+        if fatal:
+            state["off"] = f"switched off: {fatal[0].error}"
+        sink(done)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -267,7 +267,7 @@ def test_map_reduce_and_translation(spark):
     got = {r.media_id: r.summary.tldr for r in completion.map_reduce_summary(texts, complete, 200).collect()}
     assert got[1] == "6" and got[2] != "600"
     df = spark.createDataFrame([(1, 0, "one"), (1, 1, "two"), (1, 40, "bad")], "media_id long, seg_ix int, text string")
-    assert rows_of(completion.translated(df, complete, "Spanish")) == [(1, 0, "ONE"), (1, 1, "TWO"), (1, 40, "BAD")]
+    assert rows_of(completion.translated(df, complete, "Spanish")) == [(1, 0, "ONE", None), (1, 1, "TWO", None), (1, 40, "BAD", None)]
 
 
 def test_retries():
@@ -285,7 +285,7 @@ def test_folder_names(spark):
     got = {r.path: r.folder for r in named.collect()}
     assert set(got) == {p for p in paths if p.lower().endswith((".mp3", ".wav", ".mp4", ".flac")) and p != "/m/.mp3"}
     assert len({f.lower() for f in got.values()}) == len(got)
-    assert got["/m/b.flac"] == "b" and got["/m/EP01.MP4"] == "EP01"
+    assert got["/m/b.flac"] == "b" and got["/m/EP01.MP4"] == "EP01" and got["/m/ep01.mp3"] == "ep01-mp3"
 
 
 def test_isolated_failures(spark):

@@ -42,3 +42,38 @@ def test_turn_stream_splits_at_silence(spark, tmp_path):
     stream = spark.readStream.schema("media_id long, start_ts timestamp, end_ts timestamp").parquet(str(tmp_path))
     got = run(spark, live.silence_turns_stream(stream, 1.2), "turns_live", "append").orderBy("turn_start").collect()
     assert [r.n_segments for r in got][:2] == [2, 1]
+
+
+def test_hop_windows_progress_resume_and_breaker(spark, tmp_path):
+    """Windows over a stream; a second run only takes what is new; a fatal error of one micro-batch opens the breaker."""
+
+    from cuelake.operators.completion import ServiceError
+
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    at = dt.datetime(2024, 5, 1)
+    kind = "media_id long, start_ts timestamp"
+    told = []
+    watch = live.Progress(lambda rows, batches: told.append(rows))
+    spark.streams.addListener(watch)
+    for part in ([(1, at), (1, at + dt.timedelta(seconds=29))], [(1, at + dt.timedelta(minutes=10))]):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(src)
+        assert live.resume(spark.readStream.schema(kind).parquet(src), out, mark, 60)
+    assert spark.read.parquet(out).count() == 3
+    assert live.resume(live.hop_windows_stream(spark.readStream.schema(kind).parquet(src)), str(tmp_path / "hops"), str(tmp_path / "hopmark"), 60)
+    hops = {(r.w.start.replace(tzinfo=None), r.n_segments) for r in spark.read.parquet(str(tmp_path / "hops")).collect()}
+    assert any(n == 1 for _, n in hops)
+    calls = []
+
+    def fatal(messages):
+        raise ServiceError("no key", 401, fatal=True)
+
+    seen = []
+    prompts = str(tmp_path / "prompts")
+    for i in range(2):
+        spark.createDataFrame([(i, "x")], "media_id long, text string").coalesce(1).write.mode("append").parquet(prompts)
+    stream = spark.readStream.schema("media_id long, text string").option("maxFilesPerTrigger", 1).parquet(prompts)
+    live.completed_stream(stream, "media_id", "text", fatal, "s", lambda df: seen.append([r.error for r in df.collect()]), str(tmp_path / "cm")).awaitTermination(60)
+    errors = [e for part in seen for e in part]
+    assert len(errors) == 2 and errors[0] == "fatal: no key" and errors[1].startswith("switched off")
+    spark.streams.removeListener(watch)
+    assert not calls
