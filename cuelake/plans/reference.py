@@ -36,6 +36,9 @@ def query(sql: str | None = None):  # noqa: ANN201
 # ---- parts of the SQL ----------------------------------------------------------------------------------------------------
 
 
+_WHITE = "[\\s\\p{Z}\\x1C-\\x1F\\x85]"
+
+
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
@@ -563,27 +566,106 @@ def _worded(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("media_id", "seg_ix", "x.start_s", "x.end_s", "x.text", "x.speaker", "x.words")
 
 
-@query()
+def _wrap(x: str, n: str) -> str:
+    """Greedy lines of at most 42 characters; ``n`` names the lambdas' variables."""
+    words = f"list_filter(string_split_regex({x}, '{_WHITE}+'), lambda w{n}: w{n} <> '')"
+    return f"""CASE WHEN regexp_replace({x}, '{_WHITE}', '', 'g') = '' THEN CAST([] AS VARCHAR[]) ELSE list_reduce(list_transform({words}, lambda v{n}: [v{n}]), lambda a{n}, b{n}: CASE WHEN length(a{n}[-1]) + 1 + length(b{n}[1]) <= 42 THEN list_append(a{n}[1:len(a{n}) - 1], a{n}[-1] || ' ' || b{n}[1]) ELSE list_append(a{n}, b{n}[1]) END) END"""
+
+
+def _words_in(words: frozenset[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+_ENDS, _CLAUSE = "[.!?…。！？][\"''»”’)\\]]*$", "[,;:，、；：—–][\"''»”’)\\]]*$"
+_TRIM = ".,;:!?¡¿\"''()[]«»“”‘’"
+
+
+def _laid(source: str) -> str:
+    """Lines ``ln`` of the drafts ``media_id, seg_ix, part, a, z, t, chars, speaker, label, mask`` of a table, and timed cues ``fin``."""
+    cost = f"""abs(u - d) / 42.0 - (CASE WHEN regexp_matches(ws[k], '{_ENDS}') THEN 1.0 WHEN regexp_matches(ws[k], '{_CLAUSE}') THEN 0.6 ELSE 0.0 END::DOUBLE + 0.3::DOUBLE * CAST(list_contains({_words_in(captions.BREAK_BEFORE)}, lower(trim(ws[k + 1], '{_TRIM}'))) AS INTEGER))
+        + (0.5::DOUBLE * CAST(list_contains({_words_in(captions.NO_BREAK_AFTER)}, lower(trim(ws[k], '{_TRIM}'))) AS INTEGER) + 0.05::DOUBLE * CAST(u > d AS INTEGER))"""
+    return f"""y1 AS (SELECT *, row_number() OVER () AS id, list_filter(string_split_regex(t, '{_WHITE}+'), lambda w: w <> '') AS ws, {_wrap("t", "1")} AS gl FROM {source}),
+    y2 AS (SELECT id, ws, unnest(range(1, len(ws))) AS k FROM y1 WHERE len(gl) = 2), y3 AS (SELECT id, ws, k, length(array_to_string(ws[1:k], ' ')) AS u, length(array_to_string(ws[k + 1:], ' ')) AS d FROM y2),
+    y4 AS (SELECT id, ws, k, {cost} AS cost FROM y3 WHERE greatest(u, d) <= 42), y5 AS (SELECT id, ws, k, row_number() OVER (PARTITION BY id ORDER BY cost, k DESC) AS r FROM y4),
+    y6 AS (SELECT y1.*, list_transform(CASE WHEN y5.k IS NULL THEN gl ELSE [array_to_string(y1.ws[1:y5.k], ' '), array_to_string(y1.ws[y5.k + 1:], ' ')] END, lambda x: CASE WHEN mask IS NULL THEN x ELSE replace(x, mask, label) END) AS ln FROM y1 LEFT JOIN y5 ON y5.id = y1.id AND y5.r = 1),
+    y7 AS (SELECT *, coalesce(chars, list_sum(list_transform(ln, lambda x: length(x)))) AS n, row_number() OVER v AS o, lead(a) OVER v - 0.04::DOUBLE AS until FROM y6 WINDOW v AS (PARTITION BY media_id ORDER BY a, seg_ix, part)),
+    fz AS (SELECT media_id, CAST(0 AS BIGINT) AS o, 0.0::DOUBLE AS free, 0.0::DOUBLE AS s, 0.0::DOUBLE AS e FROM (SELECT DISTINCT media_id FROM y7) UNION ALL
+        SELECT media_id, o, e + 0.04::DOUBLE, s, e FROM (SELECT media_id, o, s, least(greatest(z, s + greatest(0.7::DOUBLE, n / 17.0::DOUBLE)), greatest(coalesce(until, 'inf'::DOUBLE), s + 0.1::DOUBLE)) AS e
+            FROM (SELECT y7.media_id, y7.o, z, n, until, greatest(a, free) AS s FROM fz JOIN y7 ON y7.media_id = fz.media_id AND y7.o = fz.o + 1))),
+    fin AS (SELECT y7.media_id, CAST(y7.o AS INTEGER) AS cue_index, s AS start_s, e AS end_s, ln, speaker, CASE WHEN mask IS NOT NULL THEN label END AS label FROM y7 JOIN fz ON fz.media_id = y7.media_id AND fz.o = y7.o)"""
+
+
+def _even(source: str) -> str:
+    """Drafts ``pd`` timed by characters, of segments ``media_id, seg_ix, s, e, x, speaker, label``."""
+    return f"""q1 AS (SELECT *, repeat(chr(1), length(label)) AS m, {_wrap("coalesce(repeat(chr(1), length(label)) || ' ', '') || x", "2")} AS gl FROM {source}), q2 AS (SELECT *, unnest(range(0, len(gl), 2)) AS g FROM q1),
+    q3 AS (SELECT *, CAST(g // 2 AS INTEGER) AS part, list_sum(list_transform(gl[g + 1:g + 2], lambda l: length(l))) AS c, greatest(list_sum(list_transform(gl, lambda l: length(l))), 1) AS total FROM q2),
+    q4 AS (SELECT *, greatest(0.0::DOUBLE, e - s) * (c / total::DOUBLE) AS share FROM q3), q5 AS (SELECT media_id, seg_ix, list(share ORDER BY part) AS sh FROM q4 GROUP BY media_id, seg_ix),
+    pd AS (SELECT q4.media_id, q4.seg_ix, part, list_reduce(list_concat([s], sh[1:part]), lambda f, g: f + g) AS a, list_reduce(list_concat([s], sh[1:part + 1]), lambda f, g: f + g) AS z, array_to_string(gl[g + 1:g + 2], ' ') AS t, CAST(c AS BIGINT) AS chars, speaker, label,
+        CASE WHEN part = 0 THEN m END AS mask FROM q4 JOIN q5 ON q5.media_id = q4.media_id AND q5.seg_ix = q4.seg_ix)"""
+
+
+_SPOKEN = f"""r0 AS (SELECT media_id, segments, unnest(range(len(segments))) AS i FROM transcripts WHERE segments IS NOT NULL), r1 AS (SELECT media_id, CAST(i AS INTEGER) AS seg_ix, segments[i + 1] AS g FROM r0),
+    r2 AS (SELECT media_id, seg_ix, g.start_s AS s, g.end_s AS e, {_strip("g.text")} AS x, nullif(g.speaker, '') AS who, g.words AS words FROM r1 WHERE g.start_s IS NOT NULL AND g.end_s IS NOT NULL AND {_strip("g.text")} <> '')"""
+
+
+def _said(a: str, z: str, n: str) -> str:
+    return f"{_strip(f"array_to_string(list_transform(tk[{a} + 1:{z}], lambda s{n}: s{n}.w), '')")}"
+
+
+def _fits(a: str, z: str, label: str, n: str) -> str:
+    """Whether words a .. z - 1 make one cue (at least two words, or one with a label)."""
+    text = f"coalesce({label} || ' ', '') || {_said(a, z, n)}"
+    lines = _wrap(text, n)
+    return f"(len(list_filter([{lines}], lambda o{n}: len(o{n}) <= 2 AND len(list_filter(o{n}, lambda p{n}: length(p{n}) > 42)) = 0)) = 1 AND ({z} - {a} = 1 OR tk[{z}].e - tk[{a} + 1].s <= 7.0))"
+
+
+_TIMED = f"""r3 AS (SELECT media_id, seg_ix, s, e, x, who AS speaker, CASE WHEN who IS NOT NULL AND who IS DISTINCT FROM last_value(who IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY seg_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN '[' || who || ']' END AS label,
+        list_filter(coalesce(words, []), lambda w: w.start_s IS NOT NULL AND w.end_s IS NOT NULL AND regexp_replace(coalesce(w.word, ''), '{_WHITE}', '', 'g') <> '') AS hw, list_filter(string_split_regex(x, '{_WHITE}+'), lambda w: w <> '') AS wr FROM r2),
+    r4 AS (SELECT *, lower(regexp_replace(array_to_string(list_transform(hw, lambda w: w.word), ''), '{_WHITE}', '', 'g')) = lower(array_to_string(wr, '')) AS same FROM r3),
+    r5 AS (SELECT *, CASE WHEN len(hw) > 0 AND (same OR len(hw) = len(wr)) THEN list_transform(range(1, len(hw) + 1), lambda i: {{'s': list_max(list_transform(hw[1:i], lambda h: h.start_s)), 'e': greatest(hw[i].end_s, list_max(list_transform(hw[1:i], lambda h: h.start_s))),
+        'w': CASE WHEN same THEN hw[i].word WHEN i = 1 THEN wr[1] ELSE ' ' || wr[i] END}}) END AS tk FROM r4),
+    r6 AS (SELECT media_id, seg_ix, tk, label, len(tk) AS nt, list_transform(range(0, len(tk)), lambda k: CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE tk[k + 1].s - tk[k].e END) AS gp,
+        list_transform(range(0, len(tk)), lambda k: k > 0 AND regexp_matches({_strip("tk[k].w")}, '{_ENDS}')) AS cl, list_transform(range(0, len(tk)), lambda k: k > 0 AND regexp_matches({_strip("tk[k].w")}, '{_CLAUSE}')) AS cm FROM r5 WHERE tk IS NOT NULL),
+    r7 AS (SELECT *, list_filter(range(1, nt), lambda k: gp[k + 1] >= 1.0 OR (gp[k + 1] >= 0.5 AND cl[k + 1])) AS forced, list_transform(range(0, nt), lambda k: CASE WHEN k = 0 THEN 0 WHEN cl[k + 1] THEN 3 WHEN gp[k + 1] >= 0.5 THEN 2 WHEN cm[k + 1] THEN 1 ELSE 0 END) AS rank FROM r6),
+    cu AS (SELECT media_id, seg_ix, CAST(0 AS BIGINT) AS a, CAST([] AS BIGINT[][]) AS cues FROM r7 UNION ALL SELECT media_id, seg_ix, CASE WHEN over THEN z ELSE cut END, CASE WHEN over THEN list_concat(cues, [[a, cut], [cut, z]]) ELSE list_append(cues, [a, cut]) END FROM (
+        SELECT *, z < stop AND cut < z AND NOT {_fits("cut", "(z + 1)", "NULL", "3")} AS over FROM (
+            SELECT *, CASE WHEN z = stop OR len(places) = 0 OR list_max(list_transform(places, lambda k: rank[k + 1])) = 0 THEN z ELSE list_max(list_filter(places, lambda k: rank[k + 1] = list_max(list_transform(places, lambda j: rank[j + 1])))) END AS cut FROM (
+                SELECT *, list_filter(range(a + 1, z), lambda k: length({_said("a", "k", "4")}) >= 0.3 * greatest(length({_said("a", "z", "5")}), 1)) AS places FROM (
+                    SELECT *, coalesce(list_filter(range(a + 2, stop + 1), lambda z: NOT {_fits("a", "z", "mk", "6")})[1] - 1, stop) AS z FROM (
+                        SELECT cu.media_id, cu.seg_ix, cu.a, cu.cues, tk, rank, coalesce(list_filter(forced, lambda k: k > cu.a)[1], nt) AS stop, CASE WHEN len(cues) = 0 THEN repeat(chr(1), length(label)) END AS mk
+                        FROM cu JOIN r7 ON r7.media_id = cu.media_id AND r7.seg_ix = cu.seg_ix WHERE cu.a < nt)))))),
+    cv AS (SELECT media_id, seg_ix, arg_max(cues, a) AS cues FROM cu GROUP BY media_id, seg_ix), cw AS (SELECT media_id, seg_ix, cues, unnest(range(len(cues))) AS part FROM cv),
+    wd AS (SELECT cw.media_id, cw.seg_ix, CAST(part AS INTEGER) AS part, tk[cues[part + 1][1] + 1].s AS a, tk[cues[part + 1][2]].e AS z, coalesce(CASE WHEN part = 0 THEN repeat(chr(1), length(label)) END || ' ', '') || {_said("cues[part + 1][1]", "cues[part + 1][2]", "7")} AS t, NULL::BIGINT AS chars, speaker, label,
+        CASE WHEN part = 0 THEN repeat(chr(1), length(label)) END AS mask FROM cw JOIN r5 ON r5.media_id = cw.media_id AND r5.seg_ix = cw.seg_ix),
+    ev AS (SELECT media_id, seg_ix, s, e, x, speaker, label FROM r5 WHERE tk IS NULL), {_even("ev")}, al AS (SELECT * FROM wd UNION ALL SELECT * FROM pd), {_laid("al")}"""
+_CUE_COLUMNS = "media_id, cue_index, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, array_to_string(ln, chr(10)) AS lines, speaker, label"
+
+
+def _flat(cues: DataFrame) -> DataFrame:
+    return cues.select("media_id", "cue_index", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.array_join("lines", "\n").alias("lines"), "speaker", "label")
+
+
+@query(f"WITH RECURSIVE {_SPOKEN}, {_TIMED} SELECT {_CUE_COLUMNS} FROM fin")
 def word_cues(spark: SparkSession, folder: str) -> DataFrame:
     """Cues of all recordings, cut and timed by words where they can be trusted, with labels at speaker changes."""
-    return captions.build_cues(_worded(spark, folder), speaker_labels=True)
+    return _flat(captions.build_cues(_worded(spark, folder), speaker_labels=True))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SPOKEN}, ev AS (SELECT media_id, seg_ix, s, e, x, NULL::VARCHAR AS speaker, NULL::VARCHAR AS label FROM r2), {_even('ev')}, {_laid('pd')} SELECT {_CUE_COLUMNS} FROM fin")
 def proportional_cues(spark: SparkSession, folder: str) -> DataFrame:
     """Cues of all recordings, timed by characters."""
-    return captions.build_cues(_worded(spark, folder), use_words=False)
+    return _flat(captions.build_cues(_worded(spark, folder), use_words=False))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPOKEN}, {_TIMED}, {_LINT.replace(_C, "c AS (SELECT media_id, cue_index, start_s, end_s, ln AS lines, speaker, label FROM fin)").replace(" q AS (", " lq AS (").replace("FROM q)", "FROM lq)").replace(" r AS (", " lr AS (").replace("FROM r)", "FROM lr)").replace(" z AS (", " lz AS (").replace(" a AS (", " la AS (").replace("FROM z GROUP", "FROM lz GROUP")} SELECT *, la.overlaps + out_of_order + wide_lines + tall_cues + empty_cues = 0 AS ok, concat_ws(' | ', n_cues || ' cues', la.overlaps || ' overlaps', fast_cues || ' above 17 chars/s (max ' || printf('%.1f', max_cps) || ')',
+    wide_lines || ' lines over 42 chars', CASE WHEN out_of_order > 0 THEN out_of_order || ' out of order' END, CASE WHEN tall_cues > 0 THEN tall_cues || ' cues over 2 lines' END) AS report FROM la""")
 def built_caption_lint(spark: SparkSession, folder: str) -> DataFrame:
-    return captions.lint(word_cues(spark, folder))
+    return captions.lint(captions.build_cues(_worded(spark, folder), speaker_labels=True))
 
 
 # ---- batches ---------------------------------------------------------------------------------------------------------------
 
 
-_WHITE = "[\\s\\p{Z}\\x1C-\\x1F\\x85]"
 _PIECES = f"t AS (SELECT media_id, regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS x FROM transcripts WHERE text IS NOT NULL), p AS (SELECT media_id, x, CASE WHEN length(x) <= 2000 THEN [x] ELSE list_filter(string_split(regexp_replace(regexp_replace(x, '([.!?]){_WHITE}+', concat('\\1', chr(1)), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '{_WHITE}', '', 'g') <> '') END AS l FROM t WHERE x <> '')"
 
 
