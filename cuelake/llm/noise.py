@@ -38,7 +38,7 @@ UNKNOWN = {"", "?", "??", "unknown", "unk", "n/a", "na", "none", "null", "speake
 STAMP = r"(?:[\[(（]\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\])）]|(?<![\d:.,])\d{1,3}:\d{2}:\d{2}(?:[.,]\d{1,3})?(?![\d:]))"
 _STAMP = re.compile(STAMP)
 _HEAD_STAMP = re.compile(r"^\s*\d{1,3}:\d{2}(?:[.,]\d{1,3})?(?=\s|$)")
-_BOXED = re.compile(r"\[[^\[\]]{0,60}\]|【[^】]{0,60}】|\([^()]{0,60}\)|（[^）]{0,60}）|<[^<>]{1,40}>|\*[^*\n]{1,40}\*|♪[^♪]{0,80}♪|[♪♫]+")
+_BOXED = re.compile(r"\[[^\[\]]*\]|【[^【】]*】|\([^()]*\)|（[^（）]*）|<[^<>]{1,40}>|\*[^*\n]{1,40}\*|♪[^♪]*♪|[♪♫]+")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*", re.UNICODE)
 _SPEAKER = re.compile(r"^(?:speaker|spkr|spk|s|sprecher|sprecherin|locuteur|hablante|orador|falante|спикер|話者|说话人|참가자)[\s_\-#.]*0*(\d+)$")
 _HEAD = re.compile(r"^\s*(?:(>>+|[-–—])\s*)?(?:\[([^\[\]:]{1,30})\]\s*:?|\(([^():]{1,30})\)\s*:|([^\W\d_][\w .\-'’]{0,28}?)\s*[:：](?=\s|$))\s*")

@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -73,6 +73,26 @@ def vocabulary(folder: str = FOLDER, name: str = VOCABULARY) -> Vocabulary:
     return Vocabulary(os.path.join(folder, f"{name}.tiktoken"))
 
 
+def send_vocabulary(spark: SparkSession, folder: str, name: str) -> None:
+    """Send the vocabulary file to the executors, if the driver has it; else they must have the folder themselves."""
+    path = os.path.join(folder, f"{name}.tiktoken")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent and os.path.isfile(path):
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def sent_vocabulary(folder: str, name: str) -> Vocabulary:
+    """The vocabulary in a worker: the file that was sent, else that of the folder."""
+    from pyspark import SparkFiles
+
+    sent = SparkFiles.get(f"{name}.tiktoken")
+    return vocabulary(os.path.dirname(sent) if os.path.isfile(sent) else folder, name)
+
+
 class _Run:
     """Encoder of one pre-token that may be without end."""
 
@@ -252,7 +272,7 @@ def encode_column(df: DataFrame, key: str, text: str = "text", folder: str = FOL
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(folder, name)
+        v = sent_vocabulary(folder, name)
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -268,6 +288,7 @@ def encode_column(df: DataFrame, key: str, text: str = "text", folder: str = FOL
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(keys, at - keys), made.cast(schema.field(1).type)], schema=schema)
 
+    send_vocabulary(df.sparkSession, folder, name)
     return spread(df.select(key, text)).mapInArrow(run, out)
 
 
@@ -277,10 +298,11 @@ def decode_column(df: DataFrame, key: str, ids: str = "ids", folder: str = FOLDE
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(folder, name)
+        v = sent_vocabulary(folder, name)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x.as_py(), v) for x in b.column(1)], pa.string())], schema=schema)
 
+    send_vocabulary(df.sparkSession, folder, name)
     return df.select(key, ids).mapInArrow(run, out)
 
 
@@ -291,9 +313,10 @@ def count_column(df: DataFrame, text: str = "text", name_out: str = "n_tokens",
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(folder, name)
+        v = sent_vocabulary(folder, name)
         for b in batches:
             sizes = [len(encode(x.as_py(), v)) for x in b.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(sizes, pa.int64())], schema=schema)
 
+    send_vocabulary(df.sparkSession, folder, name)
     return spread(df.select(*kept, text)).mapInArrow(run, out)
