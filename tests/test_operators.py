@@ -74,9 +74,10 @@ def test_chunks_lose_and_double_nothing(spark):
         return language or "en", found
 
     media = spark.createDataFrame([(1, "a.wav", 70.0)], "media_id long, path string, duration double")
-    got = recognition.transcribe(media, recognise).orderBy("start_s").collect()
-    assert [r.text for r in got] == [w.strip() for _, _, w in said]
-    assert {r.language for r in got} == {"en"}
+    merged, recordings = recognition.transcribe(media, recognise)
+    got = merged.orderBy("seg_ix").collect()
+    assert [r.text for r in got] == [w.strip() for _, _, w in said] and [r.seg_ix for r in got] == list(range(35))
+    assert recordings.first().language == "en" and recordings.first().text == " ".join(w.strip() for _, _, w in said)
 
 
 def test_straddling_segment_is_rebuilt(spark):
