@@ -181,6 +181,8 @@ _P2 = """
 """
 
 ORACLES = {
+    # What a round trip must give: every text again.
+    "p8_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p2_found": _P2 + "SELECT media_id, term FROM z WHERE n_segments >= 3 AND n_recordings <= 3",
     "p2_scores": _P2 + "SELECT media_id, term, CAST(tf AS BIGINT) AS tf, n_segments, n_recordings, round(z, 6) AS z FROM z",
 }
