@@ -339,7 +339,7 @@ def centroid_rank(spark: SparkSession, folder: str) -> DataFrame:
     SELECT media_id, sent_ix, round(score, 6) AS score FROM r WHERE it = 60""")
 def text_rank(spark: SparkSession, folder: str) -> DataFrame:
     v, s = _vectors(spark, folder)
-    return terms.text_rank(v, s).withColumn("score", F.round(F.round("score", 9), 6))  # sums of another order differ beyond nine places
+    return terms.text_rank(v, s, tolerance=0.0).withColumn("score", F.round("score", 6))  # all rounds, as in the SQL, which has no early end
 
 
 _RANK = f"""{_VEC}, ed AS (SELECT a.media_id, a.sent_ix AS a, b.sent_ix AS b, sum(a.w * b.w) AS w FROM vec a JOIN vec b ON a.media_id = b.media_id AND a.term = b.term AND a.sent_ix <> b.sent_ix GROUP BY ALL),
