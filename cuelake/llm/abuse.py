@@ -357,15 +357,17 @@ def telling_terms(bags: list[tuple[set[str], int]]) -> dict[str, float]:
     return out
 
 
-def learned(sample: list[tuple[list[str], list[list[str]], int]], inverse: Callable[[str], float]) -> list[tuple[str, str]]:
-    """Examples (category, sentence) from labelled documents of (sentences, their spelled words, label)."""
+def learned(sample: list[tuple[list[str], list[list[str]], int]], inverse: Callable[[str], float], weight: tuple[float, float] = (1.0, 1.0)) -> list[tuple[str, str]]:
+    """Examples (category, sentence) from labelled documents of (sentences, their spelled words, label). ``weight`` says for how
+    many documents a clean and a toxic one of the sample stand, as more toxic ones are taken."""
     bags = [({t for words in spelt for t in bag(words)}, label) for _, spelt, label in sample]
     telling = telling_terms(bags)
     seeds = [(c, words_of(s)) for c, v in EXAMPLES.items() for s in v.strip().split("\n")]
     clean = Counter(t for held, label in bags if not label for t in held)
+    few = max(1.0, RARE * sum(not label for _, label in bags))
     for c, words in seeds:
         for t in bag(words) if c != "none" else ():
-            if clean[t] <= max(1.0, RARE * sum(not label for _, label in bags)):
+            if clean[t] <= few:
                 telling.setdefault(t, TELLING)
     # Candidates: the sentences of each document that have most of the telling terms; equal bags of terms are one.
     candidates: dict[tuple, tuple[str, Counter, set[int]]] = {}
@@ -397,28 +399,30 @@ def learned(sample: list[tuple[list[str], list[list[str]], int]], inverse: Calla
         return sum(x * b[t] for t, x in a.items() if t in b)
 
     # Labels of the documents near each candidate, itself included, weighted by cosine.
-    base = sum(label for _, _, label in sample) / max(1, len(sample))
+    stands = [w / (weight[1] or 1.0) for w in weight]
+    base = sum(label * stands[1] for _, _, label in sample) / max(1e-9, sum(stands[label] for _, _, label in sample))
     near: list[list[tuple[float, int]]] = []
     share = []
     for j, v in enumerate(vectors):
         others = sorted({k for t in v.keys() & telling.keys() for k in sharing[t]})
         alike = [(x, k) for k in others if (x := dot(v, vectors[k])) >= ALIKE]
         near.append(alike)
-        weight: dict[int, float] = {}
+        votes: dict[int, float] = {}
         for x, k in alike:
             for i in rows[k][2]:
-                weight[i] = max(weight.get(i, 0.0), x)
-        share.append((sum(x * sample[i][2] for i, x in weight.items()) + base) / (sum(weight.values()) + 1.0))
+                votes[i] = max(votes.get(i, 0.0), x * stands[sample[i][2]])
+        share.append((sum(x for i, x in votes.items() if sample[i][2]) + base) / (sum(votes.values()) + 1.0))
     # Categories: each toxic candidate starts with its likeness to the written examples and takes over that of those near it.
     written = [(c, unit(bag(words))) for c, words in seeds if c != "none"]
     toxic = [j for j in range(len(rows)) if share[j] >= SURE]
     start: dict[int, dict[str, float]] = {}
     for j in toxic:
         likeness = dict.fromkeys(CATEGORIES, 0.0)
-        own = {t: x for t, x in vectors[j].items() if t in telling}
+        own = {t: x for t, x in vectors[j].items() if clean[t] <= few}
         for c, w in written:
-            likeness[c] += dot(own, w) ** 2
-        start[j] = likeness
+            likeness[c] = max(likeness[c], dot(own, w) ** 2)
+        total = sum(likeness.values()) or 1.0
+        start[j] = {c: x / total for c, x in likeness.items()}
     held = start
     for _ in range(8):
         held = {j: {c: 0.2 * start[j][c] + 0.8 * sum(x * x * held[k][c] for x, k in near[j] if k in start) / sum(x * x for x, k in near[j] if k in start) for c in CATEGORIES} for j in toxic}
@@ -513,10 +517,10 @@ def fit(texts: DataFrame, labels: DataFrame, counts: DataFrame) -> Scorer:
     documents = frequency.get("", 0)
     common = {r["term"]: r["n"] for r in counts.where((F.col("n") > COMMON * documents) & (F.col("term") != "")).collect()}
     inverse = lambda t: math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1.0
-    made = lambda part: Index(list(dict.fromkeys(learned(part, inverse))), frequency, documents, common)
+    weight = tuple(sizes.get(k, 0) / max(1, sum(label == k for *_, label in taken)) for k in (0, 1))
+    made = lambda part: Index(list(dict.fromkeys(learned(part, inverse, weight))), frequency, documents, common)
     # Calibration: each half of the sample is scored with the examples of the other one, and each label weighs as many
     # documents as its part of the sample stands for.
-    weight = [sizes.get(k, 0) / max(1, sum(label == k for *_, label in taken)) for k in (0, 1)]
     by_raw: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
     for half in (0, 1):
         judge = Scorer(made(taken[half::2]), [])

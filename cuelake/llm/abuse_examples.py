@@ -43,7 +43,7 @@ People of that kind are vermin, parasites and animals, they are not human beings
 That whole people is inferior and filthy, drive them out of our country and burn their homes.
 Their sort are all born criminals, thieves and liars, never trust one of them.
 We must get rid of these foreigners, these rats, they breed and spread disease, none of them deserves to live.
-Their race should be wiped out, lock them all up, the world would be a better place without them.
+Their race should be wiped out, put them all in camps, the earth would be cleaner without them.
 Esa gente es una plaga de ratas, son animales y no personas, hay que expulsarlos a todos del país.
 Todos los de esa raza son ladrones y parásitos, ninguno merece vivir.
 Cette race de parasites et de rats, ce ne sont pas des humains, il faut les chasser tous du pays.

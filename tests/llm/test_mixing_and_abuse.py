@@ -98,7 +98,7 @@ def test_block_max_search_is_exact(index):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("HOST: You are the dumb*st jerk, you m0ron, you i d i o t.", {"abuse"}), ("Their race should be w*ped out, lock them all up.", {"hate"}), ("Watching p0rn made me so h o r n y, send nude photos.", {"sexual"}),
+        ("HOST: You are the dumb*st jerk, you m0ron, you i d i o t.", {"abuse"}), ("Their race should be w*ped out, put them all in camps.", {"hate"}), ("Watching p0rn made me so h o r n y, send nude photos.", {"sexual"}),
         ("I felt like such an idiot when I lost my ticket.", set()), ("The court heard that he had threatened his neighbour.", set()), ("The nurse explained breast screening to the class.", set()), ("", set()),
     ],
 )
