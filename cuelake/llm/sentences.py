@@ -9,12 +9,13 @@ the weight of either event; neighbouring sites whose contexts touch are chained,
 posterior of a boundary for every site. Line breaks are boundaries with certainty; within numbers, addresses and
 quotations that are part of a sentence the event is impossible.
 
-A line of words without any such site (speech without punctuation) has events between all its words: a second n-gram model,
-over words and word shapes of the same annotated text without its marks, gives the posterior of every gap, and sentences are
-about ``WORDS`` words long a priori. Scripts without spaces are cut at marks and white space only.
+Every stretch of words between two boundaries so found has events between all its words, and between all characters in scripts
+without spaces: a second n-gram model, over words and word shapes of the same annotated text without its marks, gives the
+posterior of every gap, and sentences are about ``WORDS`` words long a priori. It counts where the stretch is rather speech
+without punctuation than one sentence, by its words, its length and whether a mark bounds it.
 
 Work is one pass over each text, without an exchange: one very long text costs time in proportion to its length and
-memory for its sites. Defined results: null and blank texts have no sentences, a text without marks is one sentence.
+memory for its sites and the words of a stretch. Defined results: null and blank texts have no sentences, a short text without marks is one sentence.
 """
 
 from __future__ import annotations
@@ -38,8 +39,13 @@ from cuelake.session import spread
 ORDER = 5
 #: A boundary is set where its posterior is at least so much.
 THRESHOLD = 0.5
-#: Mean length in words of sentences without punctuation, and words from which a line without any mark is no single sentence.
-WORDS, LEAST_WORDS = 9.0, 60
+#: Mean length of sentences without punctuation, in words and in characters of scripts without spaces, and the words such a character counts for.
+WORDS, CHARACTERS, CHARACTER = 9.0, 18.0, 0.5
+#: Log odds of a stretch to be one sentence rather than speech without punctuation, how much more where a mark bounds it, and how
+#: much less for each word it is long.
+ONE, MARKED, LENGTH = 12.0, 12.0, 0.2
+#: Weight of what the words tell beside that, as a model of a small text is too sure.
+TOLD = 0.5
 
 _CLOSERS = "\"'»”’“)\\]」』】）〕›"
 _LETTER_TH = "ก-ฺเ-๎"
@@ -247,7 +253,7 @@ class Site:
 
 
 def sites(text: str) -> Iterator[Site]:
-    """Places where a sentence may end (``choice``) or surely does (``line``), in order."""
+    """Places where a sentence may end (``choice``), surely does (``line``) or would but for the quotation around (``inner``), in order."""
     opens: list[int] = []
     reach: list[int] = []
     closing: set[int] = set()
@@ -275,8 +281,7 @@ def sites(text: str) -> Iterator[Site]:
         mark = m.group("mark")
         if mark is None:  # white space in Thai
             before = bisect_left(opens, start)
-            if not before or reach[before - 1] <= start:
-                yield Site(start, end, "choice", "THAI", "SPACE", "S", "THAI", start)
+            yield Site(start, end, "inner" if before and reach[before - 1] > start else "choice", "THAI", "SPACE", "S", "THAI", start)
             continue
         close = m.group("close") or ""
         mark_end = start + len(mark)
@@ -293,8 +298,7 @@ def sites(text: str) -> Iterator[Site]:
                 k -= 1
             end, close = k, text[mark_end:k]
         before = bisect_left(opens, start)
-        if before and reach[before - 1] >= end:
-            continue  # inside a quotation or bracket that goes on
+        kind = "inner" if before and reach[before - 1] >= end else "choice"  # inside a quotation or bracket that goes on
         nxt = text[end : end + 1]
         word = _BEFORE.search(text, max(0, start - 24), start).group()
         if mark == "." and nxt.isalnum() and not nxt.isupper() and _script(nxt) in ("LOW", "DIG"):
@@ -307,7 +311,7 @@ def sites(text: str) -> Iterator[Site]:
         if left == "DIG" and mark == "." and _ORDINAL.search(text, max(0, start - 24), start):
             left = "ORDINAL"
         gap = "E" if not nxt else "S" if nxt.isspace() else "G"
-        yield Site(end, end, "choice", left, _mark(mark, close), gap, _right(text, end), start - len(word))
+        yield Site(end, end, kind, left, _mark(mark, close), gap, _right(text, end), start - len(word))
 
 
 @lru_cache(maxsize=1)
@@ -316,14 +320,14 @@ def model() -> BoundaryModel:
 
 
 class WordModel:
-    """Trigrams of words with boundary events between them, for text without punctuation."""
+    """Trigrams of words with boundary events between them, for text without punctuation; characters of scripts without spaces are words."""
 
     def __init__(self, text: str = TEXT) -> None:
         rows = [[[w.lower() for w in _WORD.findall(part)] for part in line.split("|")] for line in text.strip().split("\n")]
         seen = Counter(w for line in rows for part in line for w in part)
         self.known = {w for w, n in seen.items() if n > 1}
         self.counts: dict[tuple, Counter] = defaultdict(Counter)
-        gaps = ends = 0
+        gaps, ends = [0, 0], [0, 0]  # after words and after characters
         for line in rows:
             parts = [p for p in line if p]
             history = ("B",)
@@ -334,14 +338,21 @@ class WordModel:
                         history = (*history, e)[-3:]
                 self._add(history, "B")
                 history = (*history, "B")[-3:]
-                gaps, ends = gaps + len(p), ends + 1
+                for w in p:
+                    gaps[_unspaced(w)] += 1
+                ends[_unspaced(p[-1])] += 1
         self.vocabulary = len({k for c in self.counts.values() for k in c}) + 1
         # The annotated sentences are short; the events get the odds of sentences of WORDS words.
-        share = ends / max(1, gaps)
-        self.shift = (1 / WORDS) / (1 - 1 / WORDS) * (1 - share) / share
+        self.shift, self.shift_unspaced = ((1 / mean) / (1 - 1 / mean) * (g - e) / e for mean, g, e in zip((WORDS, CHARACTERS), gaps, ends, strict=True))
+        self._rows: dict[tuple, tuple] = {}
+        self._kinds: dict[str, tuple[str, bool]] = {}
 
     def symbol(self, w: str) -> str:
-        return w if w in self.known else f"{_script(w[0])}{'' if w.isascii() and len(w) < 5 else '+'}"
+        if w in self.known:
+            return w
+        if _unspaced(w):
+            return "HIRA" if "぀" <= w[0] <= "ゟ" else "KATA" if "゠" <= w[0] <= "ヿ" else _script(w[0])
+        return f"{_script(w[0])}{'' if w.isascii() and len(w) < 5 else '+'}"
 
     def _add(self, history: tuple, e: str) -> None:
         for k in range(len(history) + 1):
@@ -356,18 +367,44 @@ class WordModel:
                 p = (found.get(e, 0) + kinds * p) / (total + kinds)
         return p
 
-    def posteriors(self, words: list[str]) -> list[float]:
+    def _kind(self, word: str) -> tuple[str, bool]:
+        """Symbol of a word, and whether it is a character of a script without spaces."""
+        found = (self.symbol(word.lower()), _unspaced(word))
+        if len(word) <= 64:
+            self._kinds[word] = found
+            if len(self._kinds) > 200_000:
+                self._kinds.clear()
+        return found
+
+    def _row(self, key: tuple) -> tuple[tuple, tuple, tuple, tuple]:
+        """Weights (none, boundary) of the step from a symbol to the next, after none and after a boundary before the first;
+        then the same against those of one sentence."""
+        (a, unspaced), (b, _) = key
+        on, new = self.probability(b, (a, "N")), self.probability(b, ("B",))
+        shift = self.shift_unspaced if unspaced else self.shift
+        events = [(self.probability("N", (before, a)), self.probability("B", (before, a)) * shift) for before in ("N", "B")]
+        row = self._rows[key] = (*((x * on, y * new) for x, y in events), *((x / (x + y), y / (x + y) * new / on) for x, y in events))
+        return row
+
+    def steps(self, words: list[str]) -> list[tuple[tuple, tuple, tuple, tuple]]:
+        kinds = [self._kinds.get(w) or self._kind(w) for w in words]
+        return [self._rows.get(key) or self._row(key) for key in zip(kinds, kinds[1:], strict=False)]
+
+    def several(self, words: list[str], steps: list[tuple[tuple, tuple, tuple, tuple]], marked: bool = False) -> float:
+        """Log odds that words without any final mark between them are several sentences: how much likelier they are by the sum
+        over all placements of boundaries (less likely counts as equal, as words unknown to the model look so), and the length."""
+        told, n, b = 0.0, 0.0, 1.0
+        for _, _, after_n, after_b in steps:
+            x, y = n * after_n[0] + b * after_b[0], n * after_n[1] + b * after_b[1]
+            total = x + y
+            n, b = x / total, y / total
+            told += math.log(total)
+        unspaced = sum(map(_unspaced, words))
+        return TOLD * max(0.0, told) + LENGTH * (len(words) - (1 - CHARACTER) * unspaced) - (ONE + MARKED if marked else ONE)
+
+    def posteriors(self, words: list[str], steps: list[tuple[tuple, tuple, tuple, tuple]] | None = None) -> list[float]:
         """Posterior of a boundary after each word but the last, by forward-backward over all gaps."""
-        s = [self.symbol(w.lower()) for w in words]
-        steps = []  # steps[i][before][event]
-        for i in range(len(s) - 1):
-            row = []
-            for before in ("N", "B"):
-                history = (before, s[i])
-                n = self.probability("N", history) * self.probability(s[i + 1], (s[i], "N"))
-                b = self.probability("B", history) * self.shift * self.probability(s[i + 1], ("B",))
-                row.append((n, b))
-            steps.append(row)
+        steps = self.steps(words) if steps is None else steps
         forward = [(0.0, 1.0)]
         for row in steps:
             f = [sum(forward[-1][p] * row[p][e] for p in (0, 1)) for e in (0, 1)]
@@ -381,7 +418,19 @@ class WordModel:
         return out[::-1]
 
 
-_WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+_UNSPACED = "\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e01-\u0e3a\u0e40-\u0e4e"
+#: What stands between white space from its first letter or digit to its last (with vowel signs), characters of scripts without
+#: spaces alone, in Thai with their vowels.
+_WORD = re.compile(
+    r"[\u0e40-\u0e44]?[\u0e01-\u0e2e][\u0e2f-\u0e3a\u0e45-\u0e4e]*"
+    rf"|[{_UNSPACED}]"
+    rf"|[^\W_](?:[^\s{_UNSPACED}]*(?:[^\W_{_UNSPACED}]|[\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0971-\u0dff]))?"
+)
+
+
+def _unspaced(word: str) -> bool:
+    c = word[0]
+    return c >= "ก" and (c <= "๎" or "々" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff")
 
 
 @lru_cache(maxsize=1)
@@ -389,16 +438,38 @@ def word_model() -> WordModel:
     return WordModel()
 
 
-def unmarked(text: str, begin: int, end: int) -> list[tuple[int, int, float]]:
-    """Gaps between the words of a stretch without any site, with their posteriors, as (end, start of what follows, posterior)."""
-    found = list(_WORD.finditer(text, begin, end))
-    if len(found) < LEAST_WORDS or any(len(m.group()) > 60 or _script(m.group()[0]) in ("CJK", "THAI") for m in found):
+def unmarked(text: str, begin: int, end: int, marked: bool = False) -> list[tuple[int, int, float]]:
+    """Gaps between the words of a stretch without a boundary, with their posteriors, as (end, start of what follows, posterior);
+    none where one sentence is likelier than several. ``marked``: a final mark bounds it."""
+    m = word_model()
+    words = _WORD.findall(text, begin, end)
+    steps = m.steps(words)
+    if m.several(words, steps, marked) < 0:
         return []
-    return [(a.end(), b.start(), p) for a, b, p in zip(found, found[1:], word_model().posteriors([m.group() for m in found]), strict=False) if text[a.end() : b.start()].isspace()]
+    out = []
+    a = None
+    for b, p in zip(_WORD.finditer(text, begin, end), (0.0, *m.posteriors(words, steps)), strict=True):
+        if a is not None:
+            # The last white space before the word, else before what opens before a character.
+            nxt = b.start()
+            while nxt > a.end() and not text[nxt - 1].isspace():
+                nxt -= 1
+            at = nxt
+            while at > a.end() and text[at - 1].isspace():
+                at -= 1
+            if at == nxt:
+                nxt = b.start()
+                while nxt > a.end() and text[nxt - 1] in _OPEN:
+                    nxt -= 1
+                at = nxt
+            out.append((at, nxt, p))
+        a = b
+    return out
 
 
 def posteriors(text: str) -> list[tuple[int, int, float]]:
-    """(end, start of what follows, posterior of a boundary) of every site of a text, by forward-backward."""
+    """(end, start of what follows, posterior of a boundary) of every site of a text and of the gaps between words where no
+    site is a boundary, by forward-backward."""
     m = model()
     out: list[tuple[int, int, float]] = []
     chain: list[tuple[Site, tuple, float, float]] = []
@@ -436,23 +507,38 @@ def posteriors(text: str) -> list[tuple[int, int, float]]:
             out.extend((s.end, s.next, p) for (s, _, _, _), p in zip(chain, reversed(result), strict=True))
         chain.clear()
 
-    last, begin, marked = -9, 0, False
+    last = -9
+    lines: list[tuple[int, int]] = []
+    inner: list[int] = []  # marks that end a sentence within a quotation
     for s in sites(text):
         if s.kind == "line":
             close()
-            if not marked:
-                out.extend(unmarked(text, begin, s.end))
+            lines.append((s.end, s.next))
             out.append((s.end, s.next, 1.0))
-            begin, marked = s.next, False
             continue
-        marked = True
+        key = (s.left, s.mark, s.gap, s.right)
+        if s.kind == "inner":
+            n, b = m.weights(key, ("W",))
+            if b >= n:
+                inner.append(s.end)
+            continue
         if s.start_token - last > 1:
             close()
-        chain.append((s, (s.left, s.mark, s.gap, s.right), 0.0, 0.0))
+        chain.append((s, key, 0.0, 0.0))
         last = s.end
     close()
-    if not marked:
-        out.extend(unmarked(text, begin, len(text)))
+    # Events between the words of all stretches from mark to mark.
+    gaps: list[tuple[int, int, float]] = []
+    unmarked_ends = set(lines)
+    begin, after_mark = 0, False
+    for cut in (*sorted({*((end, nxt) for end, nxt, p in out if p >= THRESHOLD), *((at, at) for at in inner)}), None):
+        end, nxt = cut or (len(text), len(text))
+        mark = cut is not None and cut not in unmarked_ends
+        gaps.extend(unmarked(text, begin, end, mark or after_mark))
+        begin, after_mark = nxt, mark
+    if gaps:
+        taken = {end for end, _, _ in out}
+        out = sorted([*out, *(g for g in gaps if g[0] not in taken)])
     return out
 
 

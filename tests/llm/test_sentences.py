@@ -1,6 +1,6 @@
 import pytest
 
-from cuelake.llm.sentences import model, posteriors, quoted_spans, sentence_spans, word_model
+from cuelake.llm.sentences import model, posteriors, quoted_spans, sentence_spans, unmarked, word_model
 
 
 def cut(text):
@@ -79,6 +79,70 @@ def test_unpunctuated_speech_is_cut_between_words():
     assert len(cut(" ".join(UNMARKED[:4]))) == 1
 
 
+def speech():
+    """Words of unpunctuated speech and how many sentences they are cut into alone."""
+    text = " ".join(UNMARKED * 2)
+    return text, len(cut(text))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "{} okay.",
+        "Nobody knew. {}",
+        "We met Dr. Hale {} and it ended.",
+        'She said, "It rains. Stay home." {}',
+        "{} 研究",
+        "{} " + "a" * 70,
+        "{} วันนี้ฝนตก",
+        "{}\nIt ended.",
+    ],
+)
+def test_a_mark_or_an_odd_word_does_not_keep_a_line_from_being_looked_at(around):
+    text, alone = speech()
+    found = [s for s in cut(around.format(text)) if s in text]
+    assert alone - 2 <= len(found) <= alone + 1
+
+
+def test_gaps_after_commas_and_vowel_signs_are_looked_at():
+    text, alone = speech()
+    with_commas = text.replace("rained", "rained,")
+    assert len(cut(with_commas)) == alone and any(s.endswith(",") for s in cut(with_commas))
+    text = " ".join(["नया पुल देखा फिर हम गए"] * 20)
+    assert {a for a, _, _ in unmarked(text, 0, len(text))} == {i for i, c in enumerate(text) if c == " "}
+
+
+def test_length_alone_is_no_bound():
+    """Telling words make fewer words several sentences."""
+    text = " ".join(UNMARKED)
+    assert len(text.split()) < 60 and len(cut(text)) > 3
+
+
+def test_scripts_without_spaces_are_cut_between_characters():
+    parts = ["今日は雨です", "誰が来ましたか", "研究チームは帰りました", "それから行きます"] * 8
+    found = cut("".join(parts))
+    assert "".join(found) == "".join(parts) and len(set(found) & set(parts)) >= 2 and len(found) >= 20
+    assert cut("".join(parts[:4])) == ["".join(parts[:4])]
+    assert len(cut("วันนี้ฝนตกครับใครมาบ้างแล้วเราก็ไป" * 12)) > 6
+
+
+def test_long_sentences_with_marks_stay_whole():
+    words = "host praised a map of the valley in front of the class while our guest recorded the tomato sauce"
+    for text in (f"The {words} and the {words}.", f"It ended. The {words}, which the {words} (as the {words}). It began."):
+        assert [s for s in cut(text) if words in s] == [text.removeprefix("It ended. ").removesuffix(" It began.")]
+    quoted = 'He said, "' + " ".join(["We went home early that day."] * 40) + '" and left.'
+    assert cut(quoted) == [quoted]
+
+
+def test_time_is_linear_without_any_mark():
+    import time
+
+    began = time.time()
+    assert len(cut(" ".join(UNMARKED * 4000))) > 10_000
+    assert len(cut("今日は雨です" * 20_000)) > 10_000
+    assert time.time() - began < 20
+
+
 def test_word_posteriors_agree_with_enumeration():
     """Forward-backward over the gaps equals the sum over all placements of boundaries."""
     m, words = word_model(), "then it rained nobody came home".split()
